@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import decontam, quality
 
 QUERIES = {
     "op3_quality": quality.op3_quality,
+    "op10_decontamination": decontam.op10_decontamination,
 }
 
 ORACLE_SQL = {
     "op3_quality": quality.OP3_SQL,
+    "op10_decontamination": decontam.OP10_SQL,
 }
