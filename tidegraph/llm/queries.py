@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, quality
+from . import decontam, pii, quality
 
 QUERIES = {
     "op3_quality": quality.op3_quality,
+    "op6_pii": pii.op6_pii,
     "op10_decontamination": decontam.op10_decontamination,
 }
 
