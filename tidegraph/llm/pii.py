@@ -25,6 +25,7 @@ KINDS = ("email", "ip", "card", "phone")
 SUPPORT, PRECISION, DOUBT, ROUNDS = 5, 0.8, 0.1, 2
 #: Characters beside an instance in which its neighbours are looked for.
 CONTEXT = 64
+BLOCK = 256
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: The same matches as the plain patterns: a run is entered at its start or where the last match ended, never inside.
@@ -36,10 +37,10 @@ _BASE = {
 }
 #: Cheap conditions without which a pattern cannot match.
 _MAYBE = {
-    "email": "instr(t, '@') > 0",
-    "ip": r"t rlike '[0-9]\\.[0-9]++\\.[0-9]'",
-    "card": "t rlike '[0-9](?:[ -]?[0-9]){15}'",
-    "phone": "instr(t, '+') > 0",
+    "email": "instr(_p_t, '@') > 0",
+    "ip": r"_p_t rlike '[0-9]\\.[0-9]++\\.[0-9]'",
+    "card": "_p_t rlike '[0-9](?:[ -]?[0-9]){15}'",
+    "phone": "instr(_p_t, '+') > 0",
 }
 _VALID = {
     "email": "true",
@@ -57,25 +58,33 @@ def _lit(pattern: str) -> str:
 
 
 def _found(kind: str, pattern: str, maybe: str, valid: str) -> str:
-    """SQL over t: the valid matches as structs (kind, s, e, inst, l, r), l and r the neighbouring words."""
+    """SQL over _p_t: the valid matches as structs (kind, s, e, inst, l, r), l and r the neighbouring words."""
     word = "lower(translate({}, '123456789', '000000000'))"
     left = word.format(f"element_at(split(rtrim(right(g[i], {CONTEXT})), '[\\\\s]+'), -1)")
     right = word.format(f"element_at(split(ltrim(left(g[i + 1], {CONTEXT})), '[\\\\s]+'), 1)")
-    lengths = "aggregate(sequence(0, size(m) - 1), struct(0 as p, cast(array() as array<int>) as o), (a, i) -> struct(a.p + length(g[i]) + length(m[i]) as p, concat(a.o, array(a.p + length(g[i]))) as o)).o"
+    # where matches start: sums over blocks of BLOCK first, then within them, so that no long list is copied for each match
+    step = "(u, v) -> struct(u.p + v as p, concat(u.o, array(u.p)) as o)"
+    total = f"aggregate(slice(a, k * {BLOCK} + 1, {BLOCK}), 0, (u, v) -> u + v)"
+    sums = f"aggregate(transform(sequence(0, (size(a) - 1) div {BLOCK}), k -> {total}), struct(0 as p, cast(array() as array<int>) as o), {step}).o"
+    within = f"flatten(transform({sums}, (c, k) -> aggregate(slice(a, k * {BLOCK} + 1, {BLOCK}), struct(c as p, cast(array() as array<int>) as o), {step}).o))"
+    lengths = f"transform(transform(array(transform(m, (x, i) -> length(g[i]) + length(x))), a -> {within})[0], (c, i) -> c + length(g[i]))"
     each = f"transform(m, (x, i) -> if({valid}, struct('{kind}' as kind, o[i] as s, o[i] + length(x) as e, x as inst, {left} as l, {right} as r), null))"
     body = f"filter(transform(array({lengths}), o -> {each})[0], y -> y is not null)"
-    cut = f"transform(array(split(t, {_lit(pattern)}, -1)), g -> if(size(m) = 0, cast(array() as {_SPAN}), {body}))[0]"
-    return f"if({maybe}, transform(array(regexp_extract_all(t, {_lit(pattern)}, 0)), m -> {cut})[0], cast(array() as {_SPAN}))"
+    cut = f"transform(array(split(_p_t, {_lit(pattern)}, -1)), g -> if(size(m) = 0, cast(array() as {_SPAN}), {body}))[0]"
+    return f"if({maybe}, transform(array(regexp_extract_all(_p_t, {_lit(pattern)}, 0)), m -> {cut})[0], cast(array() as {_SPAN}))"
 
 
-def spans(docs: DataFrame) -> DataFrame:
+def spans(docs: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
     """docs with `_p_id` (of the row), `_p_base` and `_p_more`: seeds, and other identifier-shaped tokens; written once."""
-    out = docs.withColumn("t", F.coalesce("text", F.lit(""))) if "t" not in docs.columns else docs
+    out = docs.withColumn("_p_t", F.coalesce("text", F.lit(""))).drop(*without)
     base = "concat(" + ", ".join(_found(k, _BASE[k], _MAYBE[k], _VALID[k]) for k in KINDS) + ")"
-    more = _found("", _TOKEN, "t rlike '[0-9]'", "length(x) >= 6")
+    more = _found("", _TOKEN, "_p_t rlike '[0-9]'", "length(x) >= 6")
     out = out.withColumn("_p_base", F.expr(base)).withColumn("_p_all", F.expr(more))
-    clear = "filter(_p_all, y -> not exists(_p_base, z -> z.s < y.e and y.s < z.e))"
-    out = out.withColumn("_p_more", F.expr(clear)).drop("_p_all", "t").withColumn("_p_id", F.monotonically_increasing_id())
+    # spans of a kind are sorted and apart: the last that starts before a token ends is found by halving
+    halve = "aggregate(sequence(1, 31), struct(0 as lo, size(a) as hi), (c, i) -> if(c.lo >= c.hi, c, if(a[(c.lo + c.hi) div 2].s < y.e, struct(cast((c.lo + c.hi) div 2 + 1 as int) as lo, c.hi as hi), struct(c.lo as lo, cast((c.lo + c.hi) div 2 as int) as hi)))).lo"
+    out = out.withColumn("_p_by", F.expr(f"filter(transform(array({', '.join(map(repr, KINDS))}), k -> filter(_p_base, z -> z.kind = k)), a -> size(a) > 0)"))
+    clear = f"filter(_p_all, y -> not exists(_p_by, a -> coalesce(get(a, {halve} - 1).e > y.s, false)))"
+    out = out.withColumn("_p_more", F.expr(clear)).drop("_p_all", "_p_by", "_p_t").withColumn("_p_id", F.monotonically_increasing_id())
     return materialise(out, "pii-spans")
 
 
@@ -99,9 +108,9 @@ def discovered(found: DataFrame) -> DataFrame:
     return known.withColumnRenamed("got", "kind")
 
 
-def extract(docs: DataFrame) -> DataFrame:
-    """docs, `_p_base` and `_p_spans`: seeds, and all spans in the order of kind, then start."""
-    found = spans(docs)
+def extract(docs: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
+    """docs (less some columns), `_p_base` and `_p_spans`: seeds, and all spans in the order of kind, then start."""
+    found = spans(docs, without)
     new = discovered(found)
     place = "array_sort(transform({}, x -> struct(case x.kind " + " ".join(f"when '{k}' then {i}" for i, k in enumerate(KINDS)) + " end as k, x.s as s, x.e as e, x.kind as kind)))"
     if new.isEmpty():
@@ -132,7 +141,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = extract(table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("t", F.coalesce("text", F.lit(""))).drop("text"))
+    out = extract(table(spark, sf_dir, "documents").select("doc_id", "text"), without=("text",))
     count = lambda k: F.expr(f"cast(size(filter(_p_base, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}")
     text = "array_join(transform({}, x -> concat(x.kind, ':', x.s, ':', x.e)), ',')"
     return out.select("doc_id", *[count(k) for k in KINDS], F.sha2(F.expr(text.format("_p_base")), 256).alias("base_sha256"), F.expr(text.format("_p_spans")).alias("spans"))
