@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(module: str) -> None:
+    """Functions of the module travel to the executors with the job, which need not have it installed."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder as a URI; a temporary one only where the session names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, pii, quality
+from . import decontam, pii, quality, simhash
 
 QUERIES = {
     "op3_quality": quality.op3_quality,
     "op6_pii": pii.op6_pii,
+    "op7_simhash": simhash.op7_simhash,
     "op10_decontamination": decontam.op10_decontamination,
 }
 
