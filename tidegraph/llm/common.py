@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import types
 import uuid
 
 from pyspark import cloudpickle
@@ -16,6 +17,14 @@ def ship(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+def kept_by_worker(key: str, build):
+    """build(), once for each Python worker: shipped code has globals of its own in each task, this outlives them."""
+    state = sys.modules.setdefault("_tidegraph_worker", types.ModuleType("_tidegraph_worker")).__dict__
+    if key not in state:
+        state[key] = build()
+    return state[key]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder as a URI; a temporary one only where the session names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
