@@ -17,6 +17,9 @@ def ship(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+ship(__name__)
+
+
 def kept_by_worker(key: str, build):
     """build(), once for each Python worker: shipped code has globals of its own in each task, this outlives them."""
     state = sys.modules.setdefault("_tidegraph_worker", types.ModuleType("_tidegraph_worker")).__dict__

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, pii, quality, simhash
+from . import bpe, decontam, huffman, pii, quality, simhash
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op3_quality": quality.op3_quality,
     "op6_pii": pii.op6_pii,
     "op7_simhash": simhash.op7_simhash,
+    "op8_huffman": huffman.op8_huffman,
     "op10_decontamination": decontam.op10_decontamination,
 }
 
