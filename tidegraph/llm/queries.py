@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, huffman, pii, quality, simhash, warc
+from . import bpe, chat, decontam, huffman, pii, quality, simhash, urls, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_bpe": bpe.op2_bpe,
     "op3_quality": quality.op3_quality,
+    "op4_urls": urls.op4_urls,
     "op6_pii": pii.op6_pii,
     "op7_simhash": simhash.op7_simhash,
     "op8_huffman": huffman.op8_huffman,
