@@ -121,12 +121,12 @@ def measure(docs: DataFrame, rules=RULES, rows: int = 2000, share: float = 0.02,
 def apply_rules(docs: DataFrame, rules=RULES, order: list[str] | None = None) -> DataFrame:
     """docs and `rejected_by`: the first rule, in cascade order, that rejects the row, else null."""
     order = order or [m.name for m in measure(docs, rules)]
-    by = {r.name: r for r in rules}
-    cascade = None
-    for name in order:
-        hit = F.expr(_of(by[name].rejects))
-        cascade = F.when(hit, name) if cascade is None else cascade.when(hit, name)
-    return _prepared(docs).withColumn("rejected_by", cascade).drop("_q_t", "_q_w", "_q_n", "_q_b")
+    by = {r.name: r.rejects for r in rules}
+    cascade = "case " + " ".join(f"when {by[x]} then '{x}'" for x in order) + " end"
+    # bound as lambda variables: as columns, a filter on the result would be pushed down and spell them out at each use
+    for name, value in (("b", "cast(length(bin(n)) as int)"), ("n", "size(w)"), ("w", WORDS), ("t", "coalesce(`text`, '')")):
+        cascade = _let(name, value, cascade)
+    return docs.withColumn("rejected_by", F.expr(cascade))
 
 
 def judge(docs: DataFrame, rules=RULES, order: list[str] | None = None) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, huffman, pii, quality, simhash, urls, warc
+from . import bpe, chat, decontam, huffman, pii, quality, simhash, substrings, urls, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_bpe": bpe.op2_bpe,
     "op3_quality": quality.op3_quality,
     "op4_urls": urls.op4_urls,
+    "op5_substrings": substrings.op5_substrings,
     "op6_pii": pii.op6_pii,
     "op7_simhash": simhash.op7_simhash,
     "op8_huffman": huffman.op8_huffman,

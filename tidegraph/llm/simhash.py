@@ -126,17 +126,27 @@ def components(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """docs without text, `_s_fp` and `_s_component`: the least doc_id reachable over links of RADIUS bits."""
+    """docs without text, `_s_fp`, `_s_root` (a name of the component) and `_s_component`: the least doc_id reachable over links of RADIUS bits."""
     prints = materialise(fingerprints(docs, shingle), "simhash-prints")
     tops = components(prints.select(F.col("_s_fp").alias("fp")))
     # ids of equal fingerprints meet first, then those of a component
     least = prints.groupBy("_s_fp").agg(F.min("doc_id").alias("id")).withColumnRenamed("_s_fp", "fp")
     least = tops.join(least, "fp")
     of_top = least.groupBy("root").agg(F.min("id").alias("_s_component"))
-    named = materialise(tops.join(of_top, "root").select(F.col("fp").alias("_s_fp"), "_s_component"), "simhash-named")
+    named = materialise(tops.join(of_top, "root").select(F.col("fp").alias("_s_fp"), F.col("root").alias("_s_root"), "_s_component"), "simhash-named")
     return prints.join(named, "_s_fp")
 
 
+def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """The rows of docs with the least (doc_id, hash of the text) of each component; a null doc_id comes last."""
+    keyed = docs.withColumn("_s_t", F.xxhash64("text"))
+    found = near_duplicates(keyed.select("doc_id", "_s_t", "text"), shingle)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_s_t")).alias("x")
+    best = found.groupBy("_s_root").agg(best).select(F.col("x.doc_id").alias("_s_d"), F.col("x._s_t").alias("_s_u"))
+    kept = keyed.join(best, F.expr("_s_t = _s_u and doc_id <=> _s_d"), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_s_t"]).drop("_s_t")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("_s_fp"), 16, "0")).alias("fingerprint"), F.col("_s_component").alias("component_id"))
