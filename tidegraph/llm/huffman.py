@@ -27,12 +27,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import vocabulary_path
+from .bpe import _BEYOND, stretches, vocabulary_path
 from .common import kept_by_worker, scratch, ship, table
 
 ship(__name__)
 LIMIT, BLOCK, SEGMENT, END = 18, 256, 1 << 20, 2
-CACHE = 400_000
+CACHE = 1_000_000
 MAGIC = b"TGH1"
 _PIECE = np.dtype([("doc", "<i8"), ("n", "<u4"), ("flags", "u1")])
 
@@ -117,7 +117,7 @@ def unpack(data: bytes, n: int, blocks: np.ndarray, ids: np.ndarray, sizes: np.n
 
 
 class _Ids:
-    """Ids of texts by the library, stretch by stretch between white space, which no token of this tokenizer crosses."""
+    """Ids of texts by the library, stretch by stretch; words of letters that are new to the worker go in one call."""
 
     def __init__(self, spec: str) -> None:
         from tokenizers import Tokenizer
@@ -125,25 +125,33 @@ class _Ids:
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
+        vocab = self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.kept: dict[str, bytes] = {}
 
-    def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        import re
+    def _learn(self, words: list[str]) -> None:
+        plain = [w for w in words if w.isalpha() and not _BEYOND.search(w)]
+        if plain:  # each is one word to the tokenizer, so it has one token that ends a word, its last
+            ids = np.array(self.library.encode(" ".join(plain), add_special_tokens=False).ids, "<u4")
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(plain, ((np.nonzero(self.ends[ids])[0] + 1) * 4).tolist(), strict=True):
+                self.kept[w] = raw[at:end]
+                at = end
+        rest = [w for w in words if w not in self.kept]
+        for w, e in zip(rest, self.library.encode_batch(rest, add_special_tokens=False)):
+            self.kept[w] = np.array(e.ids, "<u4").tobytes()
 
+    def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         kept = self.kept
         for text in texts:
-            # U+001C to U+001F are white space to split(), not to the library
-            words = [] if not text else text.split() if not re.search("[\x1c-\x1f]", text) else None
-            if words is None:
-                yield np.array([*self.library.encode(text, add_special_tokens=False).ids, END], np.uint32)
-                continue
-            new = [w for w in dict.fromkeys(words) if w not in kept]
+            words = stretches(text) if text else []
+            new = {w for w in words if w not in kept}
             if new:
                 if len(kept) + len(new) > CACHE:
                     kept.clear()
-                    new = list(dict.fromkeys(words))
-                for w, e in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-                    kept[w] = np.array(e.ids, "<u4").tobytes()
+                    new = set(words)
+                self._learn(list(new))
             yield np.frombuffer(b"".join([kept[w] for w in words]) + END.to_bytes(4, "little"), "<u4")
 
 

@@ -24,9 +24,12 @@ taken).
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise, ship, table
 
@@ -34,38 +37,38 @@ ship(__name__)
 
 RADIUS, SHINGLE = 3, 3
 #: Shingles hashed and summed at a time, so that a very long text takes bounded memory.
-BATCH = 1 << 16
+BATCH = 1 << 13
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    import numpy as np
-    import xxhash
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and the six spaces only
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """Of a text in UTF-8."""
+    words = text.lower().split()  # of bytes: A-Z and the six spaces only
     if not words:
         return 0
     total, n = np.zeros(64, np.int64), max(1, len(words) - shingle + 1)
     line = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(sizes) - 1
-    begins = (ends - sizes + 1)[:n].tolist()
-    ends = (ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]).tolist()
-    digest = xxhash.xxh64_intdigest
+    begins = ends - sizes + 1
+    ends = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
     for k in range(0, n, BATCH):
-        h = np.array([digest(line[a:b], 42) for a, b in zip(begins[k : k + BATCH], ends[k : k + BATCH])], dtype="<u8")
+        pairs = zip(begins[k : min(n, k + BATCH)].tolist(), ends[k : k + BATCH].tolist())
+        h = np.array([xxhash.xxh64_intdigest(line[a:b], 42) for a, b in pairs], dtype="<u8")
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(total * 2 > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(total * 2 > n, bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """docs with `_s_fp`, the fingerprint as a signed 64-bit integer; the text goes."""
+    """docs with `_s_fp`, the fingerprint as a signed 64-bit integer; the text goes. Texts are taken one by one."""
+    rest = docs.drop("text")
 
-    @F.pandas_udf("long")
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series([x - (1 << 64) if x >= 1 << 63 else x for x in (fingerprint(t, shingle) for t in batch)], dtype="int64")
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints, pa.int64())], names=[*batch.schema.names[:-1], "_s_fp"])
 
-    return docs.withColumn("_s_fp", of("text")).drop("text")
+    schema = T.StructType([*rest.schema.fields, T.StructField("_s_fp", T.LongType())])
+    return docs.select(*[F.col(f"`{c}`") for c in rest.columns], "text").mapInArrow(of, schema)
 
 
 #: The column of the Hamming code's parity check for bit i is i + 1, so the syndrome of a word is the XOR of those of its set bits.
@@ -111,12 +114,14 @@ def _components(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
 def components(prints: DataFrame) -> DataFrame:
     """(fp, root) of each distinct value of the column fp."""
     nodes = materialise(prints.select("fp").distinct(), "simhash-nodes")
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = nodes.repartition(parts, "fp")  # few bytes, that become 65 times as many
     words = nodes.select("fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")).alias("word"))
     hubs = words.groupBy("word").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).filter("b < most").drop("most")
     # only members of shared words go on: few, unless there are many near copies
     near = words.join(hubs, "word").select(F.col("fp").alias("a"), "b").filter("a != b")
     first = materialise(_components(nodes, near, "simhash-two"), "simhash-first")
-    spread = first.select("fp", "root", F.explode(F.expr(_anchors())).alias("x")).select("fp", "root", "x.half", "x.home", "x.at")
+    spread = first.repartition(parts, "fp").select("fp", "root", F.explode(F.expr(_anchors())).alias("x")).select("fp", "root", "x.half", "x.home", "x.at")
     home = spread.filter("home").select("half", "at", F.col("fp").alias("a"), F.col("root").alias("ra"))
     there = spread.select("half", "at", F.col("fp").alias("b"), F.col("root").alias("rb"))
     links = home.join(there, ["half", "at"]).filter(f"ra != rb and bit_count(a ^ b) <= {RADIUS}")
