@@ -20,7 +20,9 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +31,7 @@ from .common import kept_by_worker, ship, table
 
 ship(__name__)
 #: Entries of a cache before it starts anew.
-CACHE = 400_000
+CACHE = 250_000
 _SPACES = "\t-\r \x85\xa0  -     　"
 
 
@@ -163,8 +165,8 @@ class Encoder:
             got = self.pieces.get(piece)
             if got is None:
                 got = self.encode_word(piece)
-                if len(piece) < 64:
-                    if len(self.pieces) >= CACHE // 2:
+                if len(piece) < 64 and piece != chunk:  # else the stretch is kept
+                    if len(self.pieces) >= CACHE // 4:
                         self.pieces.clear()
                     self.pieces[piece] = tuple(got)
             ids.extend(got)
@@ -217,16 +219,17 @@ def _shipped(spark: SparkSession, path: str | None):
 def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
     """docs and `ids`, array<int>."""
     spec = _shipped(docs.sparkSession, path)
+    at = docs.columns.index(text)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import numpy as np
-
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(spec.value)
-        for batch in texts:
-            yield pd.Series([np.frombuffer(e.encode(t), dtype="<i4") for t in batch])
+        for batch in batches:
+            parts = [e.encode(t.as_py()) for t in batch.column(at)]
+            ends = np.cumsum([0, *(len(x) // 4 for x in parts)])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "ids"])
 
-    return docs.withColumn("ids", of(text))
+    return docs.mapInArrow(of, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(df: DataFrame, path: str | None = None, ids: str = "ids") -> DataFrame:
@@ -246,18 +249,18 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): texts, ids and decoded texts stay in the worker."""
     spec = _shipped(docs.sparkSession, path)
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(spec.value)
-        for batch in texts:
+        for batch in batches:
             rows = []
-            for t in batch:
-                got = e.chunked(t)
-                ids, words = (b"".join([x[0] for x in got]), b" ".join([x[1] for x in got]))
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(words).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select("doc_id", of("text").alias("x")).select("doc_id", "x.*")
+            for t in batch.column(1):
+                got = e.chunked(t.as_py())
+                ids = b"".join([x[0] for x in got])
+                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(b" ".join([x[1] for x in got])).hexdigest()))
+            n, ids, words = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(words, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select("doc_id", "text").mapInArrow(of, T.StructType([docs.schema["doc_id"], *(T.StructField(k, v) for k, v in (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())))]))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

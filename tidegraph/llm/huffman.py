@@ -5,11 +5,10 @@ the lengths, which each file carries. A file is a run of segments; in a segment,
 bit offset that the segment lists, so blocks are decoded apart from one another: here all blocks of a segment at once,
 one id of each at a time, by one lookup in a table of 2^LIMIT entries.
 
-Files hold ascending ranges of doc_id. The range exchange carries texts; ids are made on both sides of the global count
-rather than stored between, since making them again takes less than a second copy on disk. Each file is written under a
+Files hold ascending ranges of doc_id. Ids are made once and stored, counted from there, and the range exchange carries them. Each file is written under a
 name of its own and renamed when whole, so a task that runs again leaves no half file; the manifest has a row a file.
 
-Cases: null and empty texts have the end id only; a null doc_id sorts first; equal doc_ids sort by text; an empty table
+Cases: null and empty texts have the end id only; a null doc_id sorts first; equal doc_ids sort by their ids; an empty table
 gives no files; a text longer than a segment goes on in the next one; columns other than doc_id and text are not kept.
 
 Layout, little-endian: 4 bytes "TGH1", u32 LIMIT, u32 n, n code lengths of a byte; segments; index of segment offsets,
@@ -17,6 +16,7 @@ u64 each; u64 number of segments; 4 bytes "TGH1". Segment: u32 ids, u32 pieces,
 each block; pieces (i64 doc_id, u32 ids, u8 flags: 1 goes on from the last segment, 2 null doc_id); the bits.
 """
 
+import re
 import struct
 import uuid
 import zlib
@@ -24,16 +24,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .bpe import _BEYOND, stretches, vocabulary_path
+from .bpe import stretches, vocabulary_path
 from .common import kept_by_worker, scratch, ship, table
 
 ship(__name__)
 LIMIT, BLOCK, SEGMENT, END = 18, 256, 1 << 20, 2
-CACHE = 1_000_000
+CACHE = 500_000
 MAGIC = b"TGH1"
+#: A text without a match is Latin letters, white space and single commas and full stops: in lower case, with those apart, its words are the tokenizer's.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+_OTHER = "[^A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f \n,.]|[,.][,.]"
 _PIECE = np.dtype([("doc", "<i8"), ("n", "<u4"), ("flags", "u1")])
 
 
@@ -117,7 +123,7 @@ def unpack(data: bytes, n: int, blocks: np.ndarray, ids: np.ndarray, sizes: np.n
 
 
 class _Ids:
-    """Ids of texts by the library, stretch by stretch; words of letters that are new to the worker go in one call."""
+    """Ids of texts by the library, word by distinct word of a batch; words of letters that are new to the worker go in one call."""
 
     def __init__(self, spec: str) -> None:
         from tokenizers import Tokenizer
@@ -126,33 +132,60 @@ class _Ids:
         self.library.no_truncation()
         self.library.no_padding()
         vocab = self.library.get_vocab(with_added_tokens=True)
+        self.width = 2 if max(vocab.values()) < 1 << 16 else 4
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.kept: dict[str, bytes] = {}
+        self.kept: dict[str, bytes] = {"": b""}
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if w.isalpha() and not _BEYOND.search(w)]
+        plain = [w for w in words if _LETTERS.fullmatch(w)]
         if plain:  # each is one word to the tokenizer, so it has one token that ends a word, its last
-            ids = np.array(self.library.encode(" ".join(plain), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.library.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
             raw, at = ids.tobytes(), 0
             for w, end in zip(plain, ((np.nonzero(self.ends[ids])[0] + 1) * 4).tolist(), strict=True):
                 self.kept[w] = raw[at:end]
                 at = end
         rest = [w for w in words if w not in self.kept]
-        for w, e in zip(rest, self.library.encode_batch(rest, add_special_tokens=False)):
+        for w, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
             self.kept[w] = np.array(e.ids, "<u4").tobytes()
 
-    def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        kept = self.kept
-        for text in texts:
-            words = stretches(text) if text else []
-            new = {w for w in words if w not in kept}
-            if new:
-                if len(kept) + len(new) > CACHE:
-                    kept.clear()
-                    new = set(words)
-                self._learn(list(new))
-            yield np.frombuffer(b"".join([kept[w] for w in words]) + END.to_bytes(4, "little"), "<u4")
+    def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Which distinct word each word is, where each text's words end, and ids of the distinct words, flat, with their numbers."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        if pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():  # white space to Arrow, not to the library
+            words = pa.array([stretches(t) for t in texts.to_pylist()], pa.large_list(pa.large_string()))
+        else:
+            plain = pc.invert(pc.match_substring_regex(texts, _OTHER))
+            apart = pc.replace_substring(pc.replace_substring(pc.utf8_lower(texts), ",", " , "), ".", " . ")
+            words = pc.utf8_split_whitespace(pc.if_else(plain, apart, texts))
+        ends = np.asarray(words.offsets)[1:].astype(np.int64) - np.asarray(words.offsets)[0]
+        of = words.flatten().dictionary_encode()
+        distinct, kept = of.dictionary.to_pylist(), self.kept
+        new = [w for w in distinct if w not in kept]
+        if len(kept) + len(new) > CACHE:
+            kept.clear()
+            kept[""] = b""
+            new = [w for w in distinct if w]
+        self._learn(new)
+        raw = [kept[w] for w in distinct]
+        return np.asarray(of.indices).astype(np.int64), ends, np.frombuffer(b"".join(raw), "<u4"), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with its end id, and where each text's end."""
+        at, ends, ids, sizes = self._words(texts)
+        n, first = sizes[at], np.cumsum(sizes) - sizes
+        upto = np.concatenate([[0], np.cumsum(n)])
+        flat = ids[np.repeat(first[at] - upto[:-1], n) + np.arange(upto[-1])]
+        stops = upto[ends] + np.arange(1, len(ends) + 1)
+        out = np.full(len(flat) + len(ends), END, np.uint32)
+        out[np.delete(np.arange(len(out)), stops - 1)] = flat
+        return out, stops
+
+
+def _vocabulary(spec: str) -> dict[str, int]:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_str(spec).get_vocab(with_added_tokens=True)
 
 
 def _ids(spec) -> _Ids:
@@ -162,21 +195,38 @@ def _ids(spec) -> _Ids:
     return kept_by_worker(f"ids{zlib.crc32(spec.value.encode())}", lambda: _Ids(spec.value))
 
 
-def counts(docs: DataFrame, spec) -> np.ndarray:
+def tokenised(docs: DataFrame, spec) -> DataFrame:
+    """(doc_id, ids) written once, ids as bytes of 16 bits each, or 32 if the vocabulary is larger."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _ids(spec)
+        for batch in batches:
+            flat, stops = of(batch.column(1))
+            wide = of.width
+            ends = np.concatenate([[0], stops * wide])
+            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(stops), [None, pa.py_buffer(ends.astype("<i8")), pa.py_buffer(flat.astype(f"<u{wide}").tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), raw.cast(pa.binary())], names=["doc_id", "ids"])
+
+    out, path = docs.mapInArrow(make, T.StructType([docs.schema["doc_id"], T.StructField("ids", T.BinaryType())])), scratch(docs.sparkSession, "huffman-ids")
+    out.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(out.schema).parquet(path)
+
+
+def counts(ids: DataFrame, wide: int) -> np.ndarray:
     """How often each id occurs in all documents; a task gives at most a row for each id of the vocabulary."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, total = _ids(spec), np.zeros(0, np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in of(batch["text"].tolist()):
-                got = np.bincount(ids)
+            for raw in batch.column(0):
+                got = np.bincount(np.frombuffer(raw.as_buffer(), f"<u{wide}"), minlength=len(total))
                 if len(got) > len(total):
                     total = np.pad(total, (0, len(got) - len(total)))
-                total[: len(got)] += got
+                total += got
         used = np.nonzero(total)[0]
-        yield pd.DataFrame({"id": used, "n": total[used]})
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
-    rows = docs.select("text").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(int(rows["id"].max()) + 1 if len(rows) else 1, np.int64)
     out[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out
@@ -187,15 +237,16 @@ def write(docs: DataFrame, folder: str, path: str | None = None, files: int | No
     spark = docs.sparkSession
     with open(path or vocabulary_path(), encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
-    docs = docs.select("doc_id", "text")
-    lengths = code_lengths(counts(docs, spec))
+    wide = 2 if max(_vocabulary(spec.value).values()) < 1 << 16 else 4
+    made = tokenised(docs.select("doc_id", "text"), spec)
+    lengths = code_lengths(counts(made, wide))
     shared = spark.sparkContext.broadcast((lengths, canonical(lengths)))
 
-    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
 
-        of, (sizes, codes), part = _ids(spec), shared.value, TaskContext.get().partitionId()
+        (sizes, codes), part = shared.value, TaskContext.get().partitionId()
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base)
         name, offsets, total = f"{base}/part-{part:06d}-{uuid.uuid4().hex}.tgh", [], 0
@@ -210,9 +261,8 @@ def write(docs: DataFrame, folder: str, path: str | None = None, files: int | No
             held, pieces, n = [], [], 0
 
         for batch in batches:
-            nulls = batch["doc_id"].isna().tolist()
-            docs = batch["doc_id"].fillna(0).astype("int64").tolist()
-            for doc, null, ids in zip(docs, nulls, of(batch["text"].tolist())):
+            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = np.frombuffer(raw.as_buffer(), f"<u{wide}")
                 if out is None:
                     out = store.open_output_stream(f"{name}.part")
                     out.write(MAGIC + struct.pack("<II", LIMIT, len(sizes)) + sizes.tobytes())
@@ -220,7 +270,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, files: int | No
                 for k in range(0, len(ids), SEGMENT):
                     some = ids[k : k + SEGMENT]
                     held.append(some)
-                    pieces.append((doc, len(some), (k > 0) + 2 * null))
+                    pieces.append((doc or 0, len(some), (k > 0) + 2 * (doc is None)))
                     n += len(some)
                     if n >= SEGMENT:
                         flush()
@@ -230,12 +280,13 @@ def write(docs: DataFrame, folder: str, path: str | None = None, files: int | No
             out.write(np.array(offsets, "<u8").tobytes() + struct.pack("<Q", len(offsets)) + MAGIC)
             out.close()
             store.move(f"{name}.part", name)
-            yield pd.DataFrame({"part": [part], "file": [name], "ids": [total]})
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([total], pa.int64())], names=["part", "file", "ids"])
 
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    made = dealt.mapInPandas(save, "part int, file string, ids long").collect()  # a row a file
-    return [(r["file"], r["ids"]) for r in sorted(made, key=lambda r: r["part"])]
+    order = F.col("doc_id").asc_nulls_first()
+    dealt = made.repartitionByRange(files, order, "ids").sortWithinPartitions(order, "ids")
+    rows = dealt.mapInArrow(save, "part int, file string, ids long").collect()  # a row a file
+    return [(r["file"], r["ids"]) for r in sorted(rows, key=lambda r: r["part"])]
 
 
 def read(spark: SparkSession, folder: str, files: list[tuple[str, int]]) -> DataFrame:
