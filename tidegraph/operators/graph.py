@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import kept
+
 NODE = ("label", "key", "name", "doc_id", "aliases", "props")
 EDGE = ("src_label", "src", "rel", "dst_label", "dst", "props")
 NO_PROPS = "map<string,string>"
@@ -147,10 +149,11 @@ def shortest_hops(edges: DataFrame, start: DataFrame, goal: DataFrame, most: int
     """(label, key, hops): goal nodes within `most` undirected edges of any start node, with the least number of them."""
     both = edges.select(F.col("src_label").alias("al"), F.col("src").alias("a"), F.col("dst_label").alias("bl"), F.col("dst").alias("b"))
     both = both.unionByName(both.select(F.col("bl").alias("al"), F.col("b").alias("a"), F.col("al").alias("bl"), F.col("a").alias("b")))
+    both = kept(both)
     seen = start.select("label", "key").distinct().withColumn("hops", F.lit(0))
     front = seen
     for hop in range(1, most + 1):
         step = front.select(F.col("label").alias("al"), F.col("key").alias("a")).join(both, ["al", "a"]).select(F.col("bl").alias("label"), F.col("b").alias("key")).distinct()
-        front = step.join(seen, ["label", "key"], "left_anti").withColumn("hops", F.lit(hop))
+        front = kept(step.join(seen, ["label", "key"], "left_anti").withColumn("hops", F.lit(hop)))
         seen = seen.unionByName(front)
     return seen.join(goal.select("label", "key").distinct(), ["label", "key"]).groupBy("label", "key").agg(F.min("hops").alias("hops"))

@@ -268,7 +268,8 @@ def graph_merge_edges(spark, d):
 
 
 @_query("graph_last_writer", """
-select l_orderkey::varchar as src, l_partkey::varchar as dst, arg_max(l_quantity::bigint::varchar, l_linenumber) as qty from lineitem group by l_orderkey, l_partkey""")
+select l_orderkey::varchar as src, l_partkey::varchar as dst, floor(l_quantity)::bigint::varchar as qty from lineitem
+qualify row_number() over (partition by l_orderkey, l_partkey order by l_linenumber desc, '{"qty":"' || floor(l_quantity)::bigint || '"}' desc) = 1""")
 def graph_last_writer(spark, d):
     rows = star.edge_rows(spark, d).filter("rel = 'CONTAINS'")
     return graph.merge_edges(rows).select("src", "dst", F.element_at("props", "qty").alias("qty"))
@@ -363,7 +364,7 @@ def pattern_collect(spark, d):
 
 
 @_query("shortest_path_hops", f"""
-{star.SQL_RECURSIVE}, und as (select src_label al, src a, dst_label bl, dst b from edges union all select dst_label, dst, src_label, src from edges),
+{star.SQL_RECURSIVE}, und as materialized (select src_label al, src a, dst_label bl, dst b from edges union all select dst_label, dst, src_label, src from edges),
 h(label, key, hops) as (select 'Region', '0', 0 union select bl, b, hops + 1 from h join und on al = label and a = key where hops < 4)
 select label, key, min(hops)::integer as hops from h where label in ('Customer', 'Supplier') group by all""")
 def shortest_path_hops(spark, d):
