@@ -6,9 +6,12 @@ the same one. Strings are those of the input.
 How: every SPAN-byte string is named by the least hash of the K-byte strings in it, so equal strings have equal names
 wherever they stand. Consecutive strings of one name form a segment of at most RUN strings. Segments that are equal as a
 whole meet by name and hash, and all but the first of them go; each task does so for its own documents before the exchange,
-so a passage that is everywhere sends one row a task. What is left, first segments whose name other segments have too
-(the ends of repeated passages) or that repeat within themselves, is compared string by string: all their SPAN-byte strings are grouped by name and hash
-with map-side minima, and all but the first of each go. Hashes that meet are 64 bits under a 64-bit name. The README says
+so a passage that is everywhere sends one row a task. What is left, first segments whose name other segments have too (the
+ends of repeated passages) or that repeat within themselves, is compared string by string, in parts: strings that begin at
+most STEP bytes apart, counted from where the named K bytes stand, share CORE bytes at fixed places, and a part goes on only
+if some other of the same name has the same bits of a hash of these. Parts meet by the hash of their core, and differ in the
+SIDE bytes before and after it; a string is then one of the cuts of SIDE bytes out of these two, which are compared as they
+are, and all but the first of equal ones go. Where the named bytes stand twice, parts are counted from each. Hashes that meet are of 64 bits, or 44 under a name of 64. The README says
 why shards' Burrows-Wheeler transforms are not merged over the whole corpus.
 
 Cases: null and empty texts have no bytes; documents of less than SPAN bytes lose nothing; of rows that repeat id and text
@@ -29,13 +32,16 @@ from .common import materialise, ship, table
 
 ship(__name__)
 SPAN, K, RUN = 100, 32, 63
+#: Strings of a part, bytes that all of them share, bytes beside these, and parts.
+STEP = 17
+CORE, SIDE, PARTS = SPAN - STEP + 1, STEP - 1, (SPAN - K) // STEP + 1
 STRETCH = 1 << 20
 #: Segments that a task holds before it looks for equal ones among them.
 HELD = 1 << 21
 
 
-def _names(b: np.ndarray) -> np.ndarray:
-    """The name of each SPAN-byte string of b."""
+def _hashes(b: np.ndarray) -> np.ndarray:
+    """A hash of each K-byte string of b."""
     h = b.astype(np.uint64) + np.uint64(1)
     step, size = np.uint64(0x9E3779B97F4A7C15), 1
     with np.errstate(over="ignore"):
@@ -45,17 +51,23 @@ def _names(b: np.ndarray) -> np.ndarray:
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
+    return h
+
+
+def _names(h: np.ndarray) -> np.ndarray:
+    """The name of each SPAN-byte string: the least of the hashes in it."""
     wide, size = SPAN - K + 1, 1
     while 2 * size <= wide:
         h, size = np.minimum(h[:-size], h[size:]), 2 * size
     return np.minimum(h[: len(h) - (wide - size)], h[wide - size :]) if wide > size else h
 
 
-def segments(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name, start, number of strings) of each segment of raw."""
-    names, starts, sizes = [], [], []
+def segments(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(name, start, number of strings) of each segment of raw, and (segment, place) of where their named bytes stand."""
+    found, places, before = [], [], 0
     for at in range(0, max(0, len(raw) - SPAN + 1), STRETCH):
-        m = _names(np.frombuffer(raw, np.uint8, min(len(raw) - at, STRETCH + SPAN - 1), at))
+        h = _hashes(np.frombuffer(raw, np.uint8, min(len(raw) - at, STRETCH + SPAN - 1), at))
+        m = _names(h)
         cut = np.concatenate([[0], np.nonzero(m[1:] != m[:-1])[0] + 1, [len(m)]])
         n = np.diff(cut)
         if n.max() > RUN:  # periodic text: long runs of one name
@@ -63,12 +75,37 @@ def segments(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             first = np.repeat(cut[:-1], many) + RUN * (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
             cut = np.append(first, len(m))
             n = np.diff(cut)
-        names.append(m[cut[:-1]].view(np.int64))
-        starts.append(cut[:-1] + at)
-        sizes.append(n)
-    if not names:
-        return (np.zeros(0, np.int64),) * 3
-    return np.concatenate(names), np.concatenate(starts).astype(np.int64), np.concatenate(sizes).astype(np.int64)
+        names = m[cut[:-1]]
+        # places that name some string: as least as any hash near them in one of the strings that hold them
+        top, size, reach = np.concatenate([np.zeros(SPAN - K, np.uint64), m, np.zeros(SPAN - K, np.uint64)]), 1, SPAN - K + 1
+        while 2 * size <= reach:
+            top, size = np.maximum(top[:-size], top[size:]), 2 * size
+        top = np.maximum(top[: len(top) - (reach - size)], top[reach - size :]) if reach > size else top
+        q = np.flatnonzero(top == h)
+        low = np.searchsorted(cut, np.maximum(q - (SPAN - K), 0), "right") - 1
+        high = np.searchsorted(cut, np.minimum(q, len(m) - 1), "right") - 1
+        k = np.repeat(low, high - low + 1) + np.arange((high - low + 1).sum()) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1)
+        q = np.repeat(q, high - low + 1)
+        is_name = h[q] == names[k]
+        k, q = k[is_name], q[is_name]
+        order = np.lexsort((q, k))
+        found.append((names.view(np.int64), cut[:-1] + at, n))
+        places.append((k[order] + before, q[order] + at))
+        before += len(names)
+    if not found:
+        return (np.zeros(0, np.int64),) * 5
+    return tuple(np.concatenate(x).astype(np.int64) for x in (*zip(*found), *zip(*places)))
+
+
+def parts(start: int, n: int, place: int) -> list[tuple[int, int, int, int]]:
+    """Of a segment whose named bytes stand at `place`: (part, where its core begins, least and most bytes before the core)."""
+    out = []
+    for j in range(PARTS):
+        core = place - j * STEP
+        least, most = max(0, core - (start + n - 1)), min(SIDE, core - start, SPAN - K - j * STEP)
+        if least <= most:
+            out.append((j, core, least, most))
+    return out
 
 
 def _settled(rows: np.ndarray) -> np.ndarray:
@@ -89,17 +126,22 @@ def _settled(rows: np.ndarray) -> np.ndarray:
 _LEAST = -(1 << 63)
 
 
+#: Bits of a part's hash that travel with its segment; 0: the segment has no such part.
+_BITS = 4
+
+
 def _found(docs: DataFrame) -> DataFrame:
     """(m, seg, d, p) of all segments; p < 0: gone already.
 
-    p sorts by start: 32 bits of it, 24 of the text's hash, one that says whether the segment may repeat a string within
-    itself, 6 of its size. If it does, what all its strings share, from the last one's start on, comes again in it.
+    seg: 44 bits of the segment's hash, then _BITS for each part. p sorts by start: 32 bits of it, 24 of the text's hash, one
+    that says whether the named bytes stand more than once, 6 of the number of strings.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         digest, held, n = xxhash.xxh64_intdigest, [], 0
+        low, most = (1 << 44) - 1, (1 << _BITS) - 1
 
         def flush() -> pa.RecordBatch:
             m, seg, d, p = _settled(np.concatenate(held, axis=1))
@@ -108,13 +150,18 @@ def _found(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for d, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                m, s, c = segments(raw)
+                m, s, c, k, q = segments(raw)
                 if not len(m):
                     continue
-                ends = (s + c + (SPAN - 1)).tolist()
-                seg = np.array([digest(raw[a:b]) for a, b in zip(s.tolist(), ends)], np.uint64).view(np.int64)
-                own = [raw.find(raw[a : a + SPAN - RUN + 1], a + 1, b) >= 0 for a, b in zip((s + c - 1).tolist(), ends)]
-                held.append(np.stack([m, seg, np.full(len(m), d), s << 31 | key << 7 | np.array(own, np.int64) << 6 | c]))
+                seg = [digest(raw[a:b]) & low for a, b in zip(s.tolist(), (s + c + (SPAN - 1)).tolist())]
+                bits = np.zeros(len(m), np.int64)
+                for j in range(PARTS):
+                    core = q - j * STEP
+                    has = (np.maximum(0, core - (s + c - 1)[k]) <= np.minimum(np.minimum(SIDE, SPAN - K - j * STEP), core - s[k])).nonzero()[0]
+                    at = core[has].tolist()
+                    bits[k[has]] |= np.array([1 + digest(raw[a : a + CORE]) % most for a in at], np.int64) << (_BITS * j)
+                twice = np.bincount(k, minlength=len(m)) > 1
+                held.append(np.stack([m, np.array(seg, np.int64) << (_BITS * PARTS) | bits, np.full(len(m), d), s << 31 | key << 7 | twice.astype(np.int64) << 6 | c]))
                 n += len(m)
                 if n >= HELD:
                     yield flush()
@@ -125,27 +172,32 @@ def _found(docs: DataFrame) -> DataFrame:
     return docs.select("d", "key", "text").mapInArrow(find, "m long, seg long, d long, p long")
 
 
-def _strings(rows: DataFrame) -> DataFrame:
-    """rows (m, d, key, s, n, text): the name, hash and start of each SPAN-byte string of the segments."""
+def _sides(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, d, key, segs, text): parts of the segments that start at segs.s, of those numbered segs.js: hash of the
+    core, where it begins, the bytes beside it, and how many of them before it the segment's strings take."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         digest = xxhash.xxh64_intdigest
         for batch in batches:
-            for d, key, segs, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-                raw, m, h, s = text.as_buffer().to_pybytes(), [], [], []
-                for x in segs:
-                    for at in range(x["s"], x["s"] + x["n"]):
-                        m.append(x["m"])
-                        h.append(digest(raw[at : at + SPAN]))
-                        s.append(at)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(m, pa.int64()), pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(np.full(len(m), d)), pa.array(np.full(len(m), key, np.int32)), pa.array(s, pa.int64())],
-                    ["m", "h", "d", "key", "s"],
-                )
-
-    return rows.mapInArrow(cut, "m long, h long, d long, key int, s long")
+            out = []
+            for d, key, segs, text in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), batch.column(4)):
+                raw, asked = text.as_buffer().to_pybytes(), {x["s"]: x["js"] for x in segs}
+                _, s, c, k, q = segments(raw)
+                for i in np.flatnonzero(np.isin(s, list(asked))).tolist():
+                    js = asked[int(s[i])]
+                    for place in q[np.searchsorted(k, i) : np.searchsorted(k, i, "right")].tolist():
+                        for j, core, least, most in parts(int(s[i]), int(c[i]), place):
+                            if js is None or j in js:
+                                before, after = raw[max(0, core - SIDE) : core].rjust(SIDE, b"\0"), raw[core + CORE : core + CORE + SIDE].ljust(SIDE, b"\0")
+                                h = digest(raw[core : core + CORE], j)
+                                out.append((h - (1 << 64) if h >> 63 else h, d, key, core, least, most, before + after))
+            cols = list(zip(*out)) if out else [[]] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], ["core", "d", "key", "at", "least", "most", "sides"])
+
+    return rows.mapInArrow(cut, "core long, d long, key int, at long, least int, most int, sides binary")
 
 
 def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -153,20 +205,29 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("d"), F.expr("cast(xxhash64(text) & 16777215 as int)").alias("key"), "text")
     by = Window.partitionBy("m", "gone").orderBy("seg", "d", "p")
     whole = Window.partitionBy("m", "gone")
+    same = F.shiftright(F.lag("seg").over(by), _BITS * PARTS) == F.shiftright("seg", _BITS * PARTS)
     rows = _found(keyed).withColumn("gone", F.col("p") < 0)
-    rows = rows.withColumn("last", F.lag("seg").over(by)).withColumn("twin", (F.lag("d").over(by) == F.col("d")) & (F.lag("p").over(by) == F.col("p")))
+    rows = rows.withColumn("same", F.coalesce(same, F.lit(False))).withColumn("twin", F.coalesce((F.lag("d").over(by) == F.col("d")) & (F.lag("p").over(by) == F.col("p")), F.lit(False)))
     rows = rows.withColumn("other", F.min("seg").over(whole) != F.max("seg").over(whole))
-    rows = rows.withColumn("gone", F.col("gone") | F.coalesce((F.col("last") == F.col("seg")) & ~F.col("twin"), F.lit(False)))
-    rows = rows.filter("gone or ((other or p & 64 != 0) and not coalesce(twin and last = seg, false))").withColumn("p", F.expr("if(p < 0, ~p, p)"))
-    rows = rows.select("gone", "m", "d", F.expr("cast(shiftright(p, 7) & 16777215 as int)").alias("key"), F.expr("shiftright(p, 31)").alias("s"), F.expr("p & 63").alias("n"))
+    rows = rows.filter("gone or (not (same and twin) and (same or other or p & 64 != 0))").withColumn("gone", F.expr("gone or same"))
+    # of segments that stay, the parts whose bits another of the name has; all parts where the named bytes stand twice
+    mine = f"filter(sequence(0, {PARTS - 1}), j -> shiftright(seg, {_BITS} * j) & {(1 << _BITS) - 1} != 0)"
+    rows = rows.withColumn("j", F.explode(F.expr(f"if(gone or p & 64 != 0, array(-1), {mine})"))).withColumn("bits", F.expr(f"if(j < 0, d + p, shiftright(seg, {_BITS} * greatest(j, 0)) & {(1 << _BITS) - 1})"))
+    # a segment that goes everywhere with all its parts may match one whose named bytes stand twice: these bits are not compared
+    any_twice = F.max(F.expr("not gone and p & 64 != 0")).over(Window.partitionBy("m"))
+    rows = rows.withColumn("met", F.count("*").over(Window.partitionBy("m", "j", "bits"))).withColumn("loose", any_twice).filter("j < 0 or met > 1 or loose")
+    rows = rows.withColumn("p", F.expr("if(p < 0, ~p, p)"))
+    rows = rows.select("gone", "d", F.expr("cast(shiftright(p, 7) & 16777215 as int)").alias("key"), F.expr("shiftright(p, 31)").alias("s"), F.expr("p & 63").alias("n"), "j")
     rows = materialise(rows, "substrings-rows")
     whole_gone = rows.filter("gone").select("d", "key", "s", F.expr(f"s + n + {SPAN - 1}").alias("e"))
-    ends = rows.filter("not gone").groupBy("d", "key").agg(F.collect_list(F.struct("m", "s", "n")).alias("segs"))
+    ends = rows.filter("not gone").groupBy("d", "key", "s").agg(F.collect_set("j").alias("js"))
+    ends = ends.groupBy("d", "key").agg(F.collect_list(F.struct("s", F.expr("if(array_contains(js, -1), null, js)").alias("js"))).alias("segs"))
     # equal rows of documents are cut once
-    texts = keyed.join(ends, ["d", "key"]).dropDuplicates(["d", "key"]).select("d", "key", "segs", "text")
-    strings = materialise(_strings(texts), "substrings-strings")
-    first = strings.groupBy("m", "h").agg(F.min(F.struct("d", "s", "key")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = strings.join(first, ["m", "h"]).filter("d != first.d or s != first.s or key != first.key")
+    texts = keyed.join(ends, ["d", "key"]).dropDuplicates(["d", "key"]).select("doc_id", "d", "key", "segs", "text")
+    sides = _sides(texts).repartition("core")
+    each = sides.withColumn("t", F.explode(F.sequence("least", "most"))).select("core", "d", "key", F.expr("at - t").alias("s"), "t", F.expr(f"substring(sides, {SIDE + 1} - t, {SIDE})").alias("rest"))
+    by = Window.partitionBy("core", "t", "rest").orderBy("d", "s", "key")
+    later = each.withColumn("before", F.first(F.struct("d", "s", "key")).over(by)).filter("before.d != d or before.s != s or before.key != key")
     return keyed, whole_gone.unionByName(later.select("d", "key", "s", F.expr(f"s + {SPAN}").alias("e")))
 
 
