@@ -1,7 +1,5 @@
 """Free-text mentions onto canonical names: exact by normal form, else by the closest match."""
 
-from __future__ import annotations
-
 from collections.abc import Callable
 
 import pandas as pd
@@ -9,8 +7,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.shipping import ship
 from ..functions.text import normalize_name
 
+ship(__name__)
+
 CUTOFF = 0.8
 
 

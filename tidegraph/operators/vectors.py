@@ -7,8 +7,11 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from ..functions.text import _c
 
+ship(__name__)
+
 # Fixed values that results depend on: the generator's constants and the models' names.
 MULTIPLIER, INCREMENT, MASK = 1664525, 1013904223, 0xFFFFFFFF
 LOCAL_EMBEDDING_MODEL = "sentence-transformers/paraphrase-multilingual-MiniLM-L12-v2"
