@@ -126,11 +126,15 @@ class _Ids:
     """Ids of texts by the library, word by distinct word of a batch; words of letters that are new to the worker go in one call."""
 
     def __init__(self, spec: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
+        # for words of letters in lower case, composed and apart: the same merges, without looking for words again
+        self.words = Tokenizer.from_str(spec)
+        self.words.normalizer = normalizers.Sequence([])
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.library.get_vocab(with_added_tokens=True)
         self.width = 2 if max(vocab.values()) < 1 << 16 else 4
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -138,9 +142,9 @@ class _Ids:
         self.kept: dict[str, bytes] = {"": b""}
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if _LETTERS.fullmatch(w)]
+        plain = [w for w in words if _LETTERS.fullmatch(w) and w == w.lower()]
         if plain:  # each is one word to the tokenizer, so it has one token that ends a word, its last
-            ids = np.array(self.library.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.words.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
             raw, at = ids.tobytes(), 0
             for w, end in zip(plain, ((np.nonzero(self.ends[ids])[0] + 1) * 4).tolist(), strict=True):
                 self.kept[w] = raw[at:end]
@@ -284,7 +288,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, files: int | No
 
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = F.col("doc_id").asc_nulls_first()
-    dealt = made.repartitionByRange(files, order, "ids").sortWithinPartitions(order, "ids")
+    dealt = made.repartitionByRange(files, order, F.xxhash64("ids")).sortWithinPartitions(order, "ids")
     rows = dealt.mapInArrow(save, "part int, file string, ids long").collect()  # a row a file
     return [(r["file"], r["ids"]) for r in sorted(rows, key=lambda r: r["part"])]
 
