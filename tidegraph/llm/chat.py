@@ -3,7 +3,7 @@
 A message's content is a list of parts: text, image, audio, document. A visitor walks them in order and flattens them
 into one string: texts escaped, attachments as ordered placeholders, each recorded as a reference with the tokens that
 it will take when it is expanded. The template marks a turn as `### Role: ` ... ` </turn>` and a line feed; inside texts
-every backslash, `#` and `<` gets a backslash before it, so no text can look like a mark and unescaping gives the text back.
+and roles every backslash, `#` and `<`, in roles `:` too, gets a backslash before it, so no text can look like a mark and unescaping gives the text back.
 Text parts of assistant turns carry the loss mask, as spans of the formatted segment.
 
 Rows are formatted where they lie; one exchange then brings each conversation's turns together in order, and digests are
@@ -25,14 +25,14 @@ from pyspark.sql import functions as F
 from .common import ship, table
 
 ship(__name__)
-_ESCAPE, _UNESCAPE = re.compile(r"[\\#<]"), re.compile(r"\\(.)", re.S)
+_ESCAPE, _ESCAPE_ROLE, _UNESCAPE = re.compile(r"[\\#<]"), re.compile(r"[\\#<:]"), re.compile(r"\\(.)", re.S)
 OPEN, CLOSE = "### {}: ", " </turn>\n"
 #: Tokens that a part of a kind stands for: of an image by tiles of 512 x 512, of audio by seconds, of a document by pages.
 PER_TILE, PER_SECOND, PER_PAGE = 170, 25, 500
 
 
-def escape(text: str) -> str:
-    return _ESCAPE.sub(lambda m: "\\" + m[0], text)
+def escape(text: str, marks: re.Pattern = _ESCAPE) -> str:
+    return marks.sub(lambda m: "\\" + m[0], text)
 
 
 def unescape(text: str) -> str:
@@ -79,7 +79,7 @@ def format_turn(role: str, parts: list[dict]) -> dict:
     walk = Flatten()
     for part in parts:
         walk.visit(part)
-    head = OPEN.format(escape(role))
+    head = OPEN.format(escape(role, _ESCAPE_ROLE))
     spans = [(a + len(head), b + len(head)) for a, b in walk.spans] if role == "assistant" else []
     return {"segment": head + "".join(walk.out) + CLOSE, "loss": spans, "attached": walk.attached, "expanded_tokens": sum(x["tokens"] for x in walk.attached)}
 
@@ -102,7 +102,7 @@ def format_turns(turns: DataFrame, content: str = "text", typed: bool = False) -
     return turns.withColumn("form", of("role", content))
 
 
-_TURN = re.compile(r"### ((?:\\.|[^\\#<])*?): (.*) </turn>\n", re.S)
+_TURN = re.compile(r"### ((?:\\.|[^\\#<:])*): (.*) </turn>\n", re.S)
 
 
 def parse_turn(segment: str) -> tuple[str, str]:
@@ -160,7 +160,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL_TEXT = "coalesce(text, '')"
-_SQL_ESCAPED = r"length(regexp_replace({}, '([\\#<])', '\\\1', 'g'))"
+_SQL_ESCAPED = r"length(regexp_replace({}, '([\\#<{}])', '\\\1', 'g'))"
 OP9_SQL = rf"""
 with c as (
   select conv_id, turn, coalesce(role, '') as role, {_SQL_TEXT} as text from conversations
@@ -169,6 +169,6 @@ select conv_id::bigint as conv_id, count(*)::bigint as n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
        sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
        sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '')) as loss_sha256,
-       sum({len(OPEN.format(""))} + {len(CLOSE)} + {_SQL_ESCAPED.format("role")} + {_SQL_ESCAPED.format("text")})::bigint as formatted_chars
+       sum({len(OPEN.format(""))} + {len(CLOSE)} + {_SQL_ESCAPED.format("role", ":")} + {_SQL_ESCAPED.format("text", "")})::bigint as formatted_chars
 from c group by conv_id
 """

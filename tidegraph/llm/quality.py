@@ -22,7 +22,7 @@ from .common import table
 
 SPACES = " \t\n\x0b\f\r"
 #: SQL over a column t (text, not null); the words of a text, none of them empty.
-WORDS = r"if(length(btrim(t, ' \t\n\u000B\f\r')) = 0, array(), split(btrim(t, ' \t\n\u000B\f\r'), '[ \\t\\n\\x0B\\f\\r]+'))"
+WORDS = r"if(length(btrim(t, ' \t\n\u000B\u000C\r')) = 0, array(), split(btrim(t, ' \t\n\u000B\u000C\r'), '[ \\t\\n\\x0B\\f\\r]+'))"
 LINES = r"filter(split(t, '\n', -1), x -> x rlike '[^ \\t\\n\\x0B\\f\\r]')"
 #: Window starts, sorted, whose three words occur at least twice. The sort runs over longs (hash above, position
 #: below); members of a run of equal hashes are then told apart by their words, so the result is exact.
