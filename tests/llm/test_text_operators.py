@@ -187,6 +187,23 @@ def test_near_duplicates_and_keep_one(spark):
     assert simhash.keep_one(fresh(spark, [])).count() == 0
 
 
+def test_similar_texts_keep_one(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, group = [], {}
+    for g in range(12):
+        base = [word() for _ in range(150)]
+        for k in range(4):
+            copy = list(base)
+            for at in rng.sample(range(150), 2 * bool(k)):  # two words: similarity of about 0.87
+                copy[at] = word()
+            rows.append((10 * g + k, " ".join(copy)))
+            group[10 * g + k] = g
+    kept = [group[r["doc_id"]] for r in simhash.keep_one(fresh(spark, rows)).collect()]
+    assert sorted(kept) == list(range(12))
+    assert simhash.keep_one(fresh(spark, rows), similarity=None).count() > 12
+
+
 def cut_spec(rows):
     seen, out = set(), []
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0])):

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,13 +142,85 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return prints.join(named, "_s_fp")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """The rows of docs with the least (doc_id, hash of the text) of each component; a null doc_id comes last."""
+#: Bands of least hashes and hashes in a band, members of a bucket that others are compared with, one a round.
+BANDS, ROWS, ROUNDS = 12, 3, 3
+_TWIST = [(2 * k + 1) * 0x9E3779B97F4A7C15 % (1 << 64) | 1 for k in range(BANDS * ROWS)]
+
+
+def _shingles(text: bytes, shingle: int) -> np.ndarray:
+    """Distinct shingle hashes, sorted."""
+    words = text.lower().split()
+    line = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))] if words else []
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in line), np.uint64, len(line)))
+
+
+def _bands(text: bytes, shingle: int) -> list[int]:
+    """A key for each band: texts of similarity s share one with probability 1 - (1 - s^ROWS)^BANDS."""
+    h = _shingles(text, shingle)
+    if not len(h):
+        return []
+    with np.errstate(over="ignore"):
+        least = [int(((h ^ (h >> np.uint64(31))) * np.uint64(t)).min()) for t in _TWIST]
+    keys = [xxhash.xxh64_intdigest(repr((b, least[b * ROWS : b * ROWS + ROWS])).encode()) for b in range(BANDS)]
+    return [k - (1 << 64) if k >> 63 else k for k in keys]
+
+
+def _per_text(docs: DataFrame, name: str, of) -> DataFrame:
+    """docs with an array of 64-bit numbers in place of the text."""
+    rest = docs.drop("text")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [of(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.list_(pa.int64()))], names=[*batch.schema.names[:-1], name])
+
+    schema = T.StructType([*rest.schema.fields, T.StructField(name, T.ArrayType(T.LongType()))])
+    return docs.select(*[F.col(f"`{c}`") for c in rest.columns], "text").mapInArrow(make, schema)
+
+
+def similar(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """docs (id, o, text), ids unique, o their order: pairs (a, b) of ids whose sets of shingles are at least that similar.
+
+    A fingerprint tells apart texts that differ in a tenth of their words, so texts that share a band of least hashes are
+    compared as sets. In each round a text that has no link yet meets one member of each of its buckets: the first in order, then
+    the second, then the third. A bucket of m texts gives m comparisons a round, not the square of m.
+    """
+    keys = materialise(_per_text(docs, "keys", lambda t: _bands(t, shingle)).select("id", "o", F.explode("keys").alias("key")), "similar-keys")
+    ranked = keys.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.col("o").asc_nulls_last(), "id")))
+    heads = materialise(ranked.filter(f"rank <= {ROUNDS}").select("key", "rank", F.col("id").alias("head")), "similar-heads")
+    shared = heads.filter("rank = 2").select("key")
+    open_rows = materialise(keys.join(shared, "key", "left_semi"), "similar-open")
+    some = open_rows.select("id").distinct()
+    sets = materialise(_per_text(docs.drop("o").join(some, "id", "left_semi"), "set", lambda t: _shingles(t, shingle).view(np.int64).tolist()), "similar-sets")
+    links = None
+    for rank in range(1, ROUNDS + 1):
+        pairs = open_rows.join(heads.filter(f"rank = {rank}").select("key", "head"), "key").filter("id != head").select("id", "head").distinct()
+        both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("head"), F.col("set").alias("other")), "head")
+        met = F.size(F.array_intersect("set", "other"))
+        found = both.filter(met >= similarity * (F.size("set") + F.size("other") - met)).select(F.col("id").alias("a"), F.col("head").alias("b"))
+        found = materialise(found, "similar-found")
+        links = found if links is None else links.unionByName(found)
+        done = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
+        open_rows = open_rows.join(done, "id", "left_anti")
+    return links
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float | None = 0.8) -> DataFrame:
+    """The rows of docs with the least (doc_id, hash of the text) of each component; a null doc_id comes last.
+
+    Components are those of fingerprints and, unless similarity is None, of texts at least so similar.
+    """
     keyed = docs.withColumn("_s_t", F.xxhash64("text"))
     found = near_duplicates(keyed.select("doc_id", "_s_t", "text"), shingle)
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_s_t")).alias("x")
-    best = found.groupBy("_s_root").agg(best).select(F.col("x.doc_id").alias("_s_d"), F.col("x._s_t").alias("_s_u"))
-    kept = keyed.join(best, F.expr("_s_t = _s_u and doc_id <=> _s_d"), "left_semi")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_s_t")
+    best = materialise(found.groupBy("_s_root").agg(F.min(place).alias("x")).select("_s_root", F.col("x.doc_id").alias("_s_d"), F.col("x._s_t").alias("_s_u")), "simhash-best")
+    if similarity is not None:
+        # one text for each component goes on, by the component's name
+        texts = keyed.select("doc_id", "_s_t", "text").join(best, F.expr("_s_t = _s_u and doc_id <=> _s_d")).dropDuplicates(["_s_root"])
+        links = similar(texts.select(F.col("_s_root").alias("id"), F.col("doc_id").alias("o"), "text"), shingle, similarity)
+        tops = _components(best.select(F.col("_s_root").alias("fp")), links, "similar-components")
+        best = best.join(tops, F.col("_s_root") == F.col("fp")).groupBy("root").agg(F.min(F.struct(F.col("_s_d").isNull().alias("none"), "_s_d", "_s_u")).alias("x")).select(F.col("x._s_d").alias("_s_d"), F.col("x._s_u").alias("_s_u"))
+    kept = keyed.join(best.select("_s_d", "_s_u"), F.expr("_s_t = _s_u and doc_id <=> _s_d"), "left_semi")
     return kept.dropDuplicates(["doc_id", "_s_t"]).drop("_s_t")
 
 
