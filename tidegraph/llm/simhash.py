@@ -154,15 +154,15 @@ def _shingles(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in line), np.uint64, len(line)))
 
 
-def _bands(text: bytes, shingle: int) -> list[int]:
+def _bands(text: bytes, shingle: int) -> np.ndarray:
     """A key for each band: texts of similarity s share one with probability 1 - (1 - s^ROWS)^BANDS."""
     h = _shingles(text, shingle)
     if not len(h):
-        return []
+        return np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
         least = [int(((h ^ (h >> np.uint64(31))) * np.uint64(t)).min()) for t in _TWIST]
     keys = [xxhash.xxh64_intdigest(repr((b, least[b * ROWS : b * ROWS + ROWS])).encode()) for b in range(BANDS)]
-    return [k - (1 << 64) if k >> 63 else k for k in keys]
+    return np.array(keys, np.uint64).view(np.int64)
 
 
 def _per_text(docs: DataFrame, name: str, of) -> DataFrame:
@@ -172,7 +172,9 @@ def _per_text(docs: DataFrame, name: str, of) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [of(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.list_(pa.int64()))], names=[*batch.schema.names[:-1], name])
+            ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
+            arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made) if made else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], arrays], names=[*batch.schema.names[:-1], name])
 
     schema = T.StructType([*rest.schema.fields, T.StructField(name, T.ArrayType(T.LongType()))])
     return docs.select(*[F.col(f"`{c}`") for c in rest.columns], "text").mapInArrow(make, schema)
@@ -191,7 +193,7 @@ def similar(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     shared = heads.filter("rank = 2").select("key")
     open_rows = materialise(keys.join(shared, "key", "left_semi"), "similar-open")
     some = open_rows.select("id").distinct()
-    sets = materialise(_per_text(docs.drop("o").join(some, "id", "left_semi"), "set", lambda t: _shingles(t, shingle).view(np.int64).tolist()), "similar-sets")
+    sets = materialise(_per_text(docs.drop("o").join(some, "id", "left_semi"), "set", lambda t: _shingles(t, shingle).view(np.int64)), "similar-sets")
     links = None
     for rank in range(1, ROUNDS + 1):
         pairs = open_rows.join(heads.filter(f"rank = {rank}").select("key", "head"), "key").filter("id != head").select("id", "head").distinct()
