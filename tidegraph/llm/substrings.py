@@ -206,7 +206,8 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     by = Window.partitionBy("m", "gone").orderBy("seg", "d", "p")
     whole = Window.partitionBy("m", "gone")
     same = F.shiftright(F.lag("seg").over(by), _BITS * PARTS) == F.shiftright("seg", _BITS * PARTS)
-    rows = _found(keyed).withColumn("gone", F.col("p") < 0)
+    # one exchange by name serves all windows below
+    rows = _found(keyed).repartition("m").withColumn("gone", F.col("p") < 0)
     rows = rows.withColumn("same", F.coalesce(same, F.lit(False))).withColumn("twin", F.coalesce((F.lag("d").over(by) == F.col("d")) & (F.lag("p").over(by) == F.col("p")), F.lit(False)))
     rows = rows.withColumn("other", F.min("seg").over(whole) != F.max("seg").over(whole))
     rows = rows.filter("gone or (not (same and twin) and (same or other or p & 64 != 0))").withColumn("gone", F.expr("gone or same"))
@@ -228,7 +229,9 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     each = sides.withColumn("t", F.explode(F.sequence("least", "most"))).select("core", "d", "key", F.expr("at - t").alias("s"), "t", F.expr(f"substring(sides, {SIDE + 1} - t, {SIDE})").alias("rest"))
     by = Window.partitionBy("core", "t", "rest").orderBy("d", "s", "key")
     later = each.withColumn("before", F.first(F.struct("d", "s", "key")).over(by)).filter("before.d != d or before.s != s or before.key != key")
-    return keyed, whole_gone.unionByName(later.select("d", "key", "s", F.expr(f"s + {SPAN}").alias("e")))
+    # strings of a part begin at most SIDE bytes apart, so what goes of it is one span
+    later = later.groupBy("core", "d", "key", F.expr("s + t").alias("at")).agg(F.min("s").alias("s"), F.max(F.expr(f"s + {SPAN}")).alias("e"))
+    return keyed, whole_gone.unionByName(later.select("d", "key", "s", "e"))
 
 
 def removed(docs: DataFrame) -> DataFrame:
