@@ -173,7 +173,7 @@ def _found(docs: DataFrame) -> DataFrame:
 
 
 def _sides(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, d, key, segs, text): parts of the segments that start at segs.s, of those numbered segs.js: hash of the
+    """rows (doc_id, d, key, segs, text): parts numbered segs.j of the segments that start at segs.s: hash of the
     core, where it begins, the bytes beside it, and how many of them before it the segment's strings take."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,13 +183,15 @@ def _sides(rows: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for d, key, segs, text in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), batch.column(4)):
-                raw, asked = text.as_buffer().to_pybytes(), {x["s"]: x["js"] for x in segs}
+                raw, asked = text.as_buffer().to_pybytes(), {}
+                for x in segs:
+                    asked.setdefault(x["s"], set()).add(x["j"])
                 _, s, c, k, q = segments(raw)
                 for i in np.flatnonzero(np.isin(s, list(asked))).tolist():
-                    js = asked[int(s[i])]
+                    js = asked[int(s[i])]  # -1: all
                     for place in q[np.searchsorted(k, i) : np.searchsorted(k, i, "right")].tolist():
                         for j, core, least, most in parts(int(s[i]), int(c[i]), place):
-                            if js is None or j in js:
+                            if j in js or -1 in js:
                                 before, after = raw[max(0, core - SIDE) : core].rjust(SIDE, b"\0"), raw[core + CORE : core + CORE + SIDE].ljust(SIDE, b"\0")
                                 h = digest(raw[core : core + CORE], j)
                                 out.append((h - (1 << 64) if h >> 63 else h, d, key, core, least, most, before + after))
@@ -221,8 +223,7 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.select("gone", "d", F.expr("cast(shiftright(p, 7) & 16777215 as int)").alias("key"), F.expr("shiftright(p, 31)").alias("s"), F.expr("p & 63").alias("n"), "j")
     rows = materialise(rows, "substrings-rows")
     whole_gone = rows.filter("gone").select("d", "key", "s", F.expr(f"s + n + {SPAN - 1}").alias("e"))
-    ends = rows.filter("not gone").groupBy("d", "key", "s").agg(F.collect_set("j").alias("js"))
-    ends = ends.groupBy("d", "key").agg(F.collect_list(F.struct("s", F.expr("if(array_contains(js, -1), null, js)").alias("js"))).alias("segs"))
+    ends = rows.filter("not gone").groupBy("d", "key").agg(F.collect_list(F.struct("s", "j")).alias("segs"))
     # equal rows of documents are cut once
     texts = keyed.join(ends, ["d", "key"]).dropDuplicates(["d", "key"]).select("doc_id", "d", "key", "segs", "text")
     sides = _sides(texts).repartition("core")
