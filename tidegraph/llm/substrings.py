@@ -126,14 +126,16 @@ def _settled(rows: np.ndarray) -> np.ndarray:
 _LEAST = -(1 << 63)
 
 
-#: Bits of a part's hash that travel with its segment; 0: the segment has no such part.
-_BITS = 4
+#: Bits of a part's hash that travel with its segment: the first are 0 if the segment has no such part, the rest take the
+#: place of the last bits of the name, which is as good without them.
+_BITS, _MORE = 4, 3
+_NAME = 16
 
 
 def _found(docs: DataFrame) -> DataFrame:
     """(m, seg, d, p) of all segments; p < 0: gone already.
 
-    seg: 44 bits of the segment's hash, then _BITS for each part. p sorts by start: 32 bits of it, 24 of the text's hash, one
+    m: the name less its last _NAME bits, then _MORE for each part. seg: 44 bits of the segment's hash, then _BITS for each part. p sorts by start: 32 bits of it, 24 of the text's hash, one
     that says whether the named bytes stand more than once, 6 of the number of strings.
     """
 
@@ -154,14 +156,16 @@ def _found(docs: DataFrame) -> DataFrame:
                 if not len(m):
                     continue
                 seg = [digest(raw[a:b]) & low for a, b in zip(s.tolist(), (s + c + (SPAN - 1)).tolist())]
-                bits = np.zeros(len(m), np.int64)
+                bits, more = np.zeros(len(m), np.int64), np.zeros(len(m), np.int64)
                 for j in range(PARTS):
                     core = q - j * STEP
                     has = (np.maximum(0, core - (s + c - 1)[k]) <= np.minimum(np.minimum(SIDE, SPAN - K - j * STEP), core - s[k])).nonzero()[0]
                     at = core[has].tolist()
-                    bits[k[has]] |= np.array([1 + digest(raw[a : a + CORE]) % most for a in at], np.int64) << (_BITS * j)
+                    h = np.array([digest(raw[a : a + CORE]) for a in at], np.uint64)
+                    bits[k[has]] |= (1 + h % np.uint64(most)).astype(np.int64) << (_BITS * j)
+                    more[k[has]] |= (h >> np.uint64(64 - _MORE)).astype(np.int64) << (_MORE * j)
                 twice = np.bincount(k, minlength=len(m)) > 1
-                held.append(np.stack([m, np.array(seg, np.int64) << (_BITS * PARTS) | bits, np.full(len(m), d), s << 31 | key << 7 | twice.astype(np.int64) << 6 | c]))
+                held.append(np.stack([m >> _NAME << _NAME | more, np.array(seg, np.int64) << (_BITS * PARTS) | bits, np.full(len(m), d), s << 31 | key << 7 | twice.astype(np.int64) << 6 | c]))
                 n += len(m)
                 if n >= HELD:
                     yield flush()
@@ -205,20 +209,20 @@ def _sides(rows: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, d, key, text) and (d, key, s, e): spans that go."""
     keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("d"), F.expr("cast(xxhash64(text) & 16777215 as int)").alias("key"), "text")
-    by = Window.partitionBy("m", "gone").orderBy("seg", "d", "p")
-    whole = Window.partitionBy("m", "gone")
+    by = Window.partitionBy("name", "gone").orderBy("seg", "d", "p")
+    whole = Window.partitionBy("name", "gone")
     same = F.shiftright(F.lag("seg").over(by), _BITS * PARTS) == F.shiftright("seg", _BITS * PARTS)
     # one exchange by name serves all windows below
-    rows = _found(keyed).repartition("m").withColumn("gone", F.col("p") < 0)
+    rows = _found(keyed).withColumn("name", F.shiftright("m", _NAME)).repartition("name").withColumn("gone", F.col("p") < 0)
     rows = rows.withColumn("same", F.coalesce(same, F.lit(False))).withColumn("twin", F.coalesce((F.lag("d").over(by) == F.col("d")) & (F.lag("p").over(by) == F.col("p")), F.lit(False)))
     rows = rows.withColumn("other", F.min("seg").over(whole) != F.max("seg").over(whole))
     rows = rows.filter("gone or (not (same and twin) and (same or other or p & 64 != 0))").withColumn("gone", F.expr("gone or same"))
     # of segments that stay, the parts whose bits another of the name has; all parts where the named bytes stand twice
     mine = f"filter(sequence(0, {PARTS - 1}), j -> shiftright(seg, {_BITS} * j) & {(1 << _BITS) - 1} != 0)"
-    rows = rows.withColumn("j", F.explode(F.expr(f"if(gone or p & 64 != 0, array(-1), {mine})"))).withColumn("bits", F.expr(f"if(j < 0, d + p, shiftright(seg, {_BITS} * greatest(j, 0)) & {(1 << _BITS) - 1})"))
+    rows = rows.withColumn("j", F.explode(F.expr(f"if(gone or p & 64 != 0, array(-1), {mine})"))).withColumn("bits", F.expr(f"if(j < 0, d + p, (shiftright(seg, {_BITS} * greatest(j, 0)) & {(1 << _BITS) - 1}) + 16 * (shiftright(m, {_MORE} * greatest(j, 0)) & {(1 << _MORE) - 1}))"))
     # a segment that goes everywhere with all its parts may match one whose named bytes stand twice: these bits are not compared
-    any_twice = F.max(F.expr("not gone and p & 64 != 0")).over(Window.partitionBy("m"))
-    rows = rows.withColumn("met", F.count("*").over(Window.partitionBy("m", "j", "bits"))).withColumn("loose", any_twice).filter("j < 0 or met > 1 or loose")
+    any_twice = F.max(F.expr("not gone and p & 64 != 0")).over(Window.partitionBy("name"))
+    rows = rows.withColumn("met", F.count("*").over(Window.partitionBy("name", "j", "bits"))).withColumn("loose", any_twice).filter("j < 0 or met > 1 or loose")
     rows = rows.withColumn("p", F.expr("if(p < 0, ~p, p)"))
     rows = rows.select("gone", "d", F.expr("cast(shiftright(p, 7) & 16777215 as int)").alias("key"), F.expr("shiftright(p, 31)").alias("s"), F.expr("p & 63").alias("n"), "j")
     rows = materialise(rows, "substrings-rows")
