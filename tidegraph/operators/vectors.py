@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 from ..functions.text import _c
+from ..plans.tables import in_order
 
 ship(__name__)
 
@@ -161,8 +162,7 @@ class EmbeddingStore:
 
     def add_documents(self, docs: DataFrame, order: str = "id") -> None:
         """Append; numbers go on from all that were ever added, deleted ones too."""
-        seq = F.row_number().over(Window.orderBy(order)) + self.next
-        made = docs.withColumn("seq", seq.cast("long"))
+        made = in_order(docs, order, "seq", self.next)
         meta = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
         own = F.create_map(F.lit("doc_id"), F.coalesce(F.element_at(meta, "doc_id"), F.col("id")))
         made = made.select(

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -19,3 +20,15 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{folder.rstrip('/')}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def in_order(df: DataFrame, order: str, name: str, start: int = 0) -> DataFrame:
+    """df and `name`, counting rows from start + 1 by `order`: ranges are numbered apart and moved by what stands before them."""
+    dealt = kept(df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()))
+    before, at = {}, start
+    for row in dealt.groupBy("_part").count().orderBy("_part").collect():  # a row a partition
+        before[row["_part"]], at = at, at + row["count"]
+    if not before:
+        return dealt.withColumn(name, F.lit(None).cast("long")).drop("_part")
+    moved = F.create_map(*[F.lit(x).cast("long") for pair in before.items() for x in pair])[F.col("_part").cast("long")]
+    return dealt.withColumn(name, F.row_number().over(Window.partitionBy("_part").orderBy(order)) + moved).drop("_part")

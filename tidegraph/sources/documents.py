@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import slugify, strip, yaml_value
+from ..plans.tables import in_order
 
 # The manifest's columns, in order.
 MANIFEST = ("doc_id", "file_path", "title", "source_url", "retrieved_at", "document_version", "license_or_permission")
@@ -22,9 +23,8 @@ def parse_markdown(raw: DataFrame) -> DataFrame:
     latest = F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("k"), F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"].alias("v")))
     stem = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.md$", "")
     out = raw.withColumn("metadata", F.map_from_entries(latest))
-    from pyspark.sql import Window
-
-    return out.select(F.coalesce(F.element_at("metadata", "doc_id"), stem).alias("id"), strip(cut[2]).alias("content"), "metadata", F.row_number().over(Window.orderBy("file")).cast("long").alias("ord"))
+    out = out.select("file", F.coalesce(F.element_at("metadata", "doc_id"), stem).alias("id"), strip(cut[2]).alias("content"), "metadata")
+    return in_order(out, "file", "ord").drop("file")
 
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
