@@ -3,11 +3,10 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 import xxhash
-from pyspark.sql import functions as F
-
 from tidegraph.llm import decontam, pii, quality, simhash, substrings
 
 EXTRA = "doc_id long, text string, w string, t string, n int, ids string"
@@ -36,7 +35,7 @@ def words(t):
 
 def repeated(w):
     grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
-    twice = {g for g in grams if grams.count(g) > 1} if len(grams) < 400 else {g for g, n in __import__("collections").Counter(grams).items() if n > 1}
+    twice = {g for g, n in Counter(grams).items() if n > 1}
     return len({p for i, g in enumerate(grams) if g in twice for p in (i, i + 1, i + 2)})
 
 
@@ -230,4 +229,3 @@ def test_substrings(spark, tmp_path, monkeypatch, stretch):
 
 def test_substrings_of_nothing(spark, tmp_path):
     assert substrings.op5_substrings(spark, table(spark, [], tmp_path)).count() == 0
-    assert F is not None
