@@ -35,7 +35,8 @@ from .common import kept_by_worker, scratch, ship, table
 
 ship(__name__)
 LIMIT, BLOCK, SEGMENT, END = 18, 256, 1 << 20, 2
-CACHE = 500_000
+CACHE = 300_000
+SLICE = 4 << 20
 MAGIC = b"TGH1"
 #: A text without a match is Latin letters, white space and single commas and full stops: in lower case, with those apart, its words are the tokenizer's.
 _LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
@@ -199,12 +200,19 @@ def _ids(spec) -> _Ids:
     return kept_by_worker(f"ids{zlib.crc32(spec.value.encode())}", lambda: _Ids(spec.value))
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Of about SLICE bytes each: what is made of a text takes many times its size."""
+    step = max(1, int(batch.num_rows * SLICE / max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def tokenised(docs: DataFrame, spec) -> DataFrame:
     """(doc_id, ids) written once, ids as bytes of 16 bits each, or 32 if the vocabulary is larger."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _ids(spec)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             flat, stops = of(batch.column(1))
             wide = of.width
             ends = np.concatenate([[0], stops * wide])
