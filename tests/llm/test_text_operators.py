@@ -229,3 +229,50 @@ def test_substrings(spark, tmp_path, monkeypatch, stretch):
 
 def test_substrings_of_nothing(spark, tmp_path):
     assert substrings.op5_substrings(spark, table(spark, [], tmp_path)).count() == 0
+
+
+def jaccard_components(rows, shingle=5, similarity=0.8):
+    """Groups of row numbers that sets of shingles at least so similar join, by brute force."""
+    sets = []
+    for _, t in rows:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))})
+    top = list(range(len(rows)))
+
+    def find(a):
+        while top[a] != a:
+            a = top[a]
+        return a
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            met = len(a & sets[j])
+            if 10 * met >= 10 * similarity * (len(a) + len(sets[j]) - met):
+                top[find(i)] = find(j)
+    return [find(i) for i in range(len(rows))]
+
+
+def kept_groups(spark, rows):
+    group = dict(zip((i for i, _ in rows), jaccard_components(rows)))
+    kept = [group[r["doc_id"]] for r in simhash.keep_one(fresh(spark, rows)).select("doc_id").collect()]
+    return kept, set(group.values())
+
+
+def test_pairs_in_hot_buckets_keep_one(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for p in range(3):  # a passage that 130 documents share, strangers otherwise; 40 pairs among them
+        passage = [word() for _ in range(145)]
+        texts = []
+        for _ in range(90):
+            texts.append(passage + [word() for _ in range(55)])
+        for t in texts[:40]:
+            copy = list(t)
+            for at in rng.sample(range(145, 200), 3):
+                copy[at] = word()
+            texts.append(copy)
+        rng.shuffle(texts)
+        rows += [(1000 * p + i, " ".join(t)) for i, t in enumerate(texts)]
+    kept, groups = kept_groups(spark, rows)
+    assert sorted(kept) == sorted(groups)

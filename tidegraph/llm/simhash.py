@@ -22,6 +22,7 @@ unless all are null; an empty table gives none; other columns pass through `keep
 taken).
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,9 +143,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return prints.join(named, "_s_fp")
 
 
-#: Bands of least hashes and hashes in a band, members of a bucket that others are compared with, one a round.
-BANDS, ROWS, ROUNDS = 12, 3, 3
-_TWIST = [(2 * k + 1) * 0x9E3779B97F4A7C15 % (1 << 64) | 1 for k in range(BANDS * ROWS)]
+#: A sample of one in SAMPLE sets says which shingles are common: the COMMON most frequent of it. Only speed depends on this.
+SAMPLE, COMMON = 16, 1 << 20
+#: Rows of a batch of prefixes.
+PREFIXES = 1 << 18
 
 
 def _shingles(text: bytes, shingle: int) -> np.ndarray:
@@ -154,57 +156,120 @@ def _shingles(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in line), np.uint64, len(line)))
 
 
-def _bands(text: bytes, shingle: int) -> np.ndarray:
-    """A key for each band: texts of similarity s share one with probability 1 - (1 - s^ROWS)^BANDS."""
-    h = _shingles(text, shingle)
-    if not len(h):
-        return np.zeros(0, np.int64)
-    with np.errstate(over="ignore"):
-        least = [int(((h ^ (h >> np.uint64(31))) * np.uint64(t)).min()) for t in _TWIST]
-    keys = [xxhash.xxh64_intdigest(repr((b, least[b * ROWS : b * ROWS + ROWS])).encode()) for b in range(BANDS)]
-    return np.array(keys, np.uint64).view(np.int64)
-
-
-def _per_text(docs: DataFrame, name: str, of) -> DataFrame:
-    """docs with an array of 64-bit numbers in place of the text."""
-    rest = docs.drop("text")
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """docs (t, text): (t, id, set), the set of shingle hashes and a hash of it."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [of(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(batch.num_columns - 1)]
+            made = [_shingles(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in batch.column(1)]
+            ids = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in made], np.uint64).view(np.int64)
             ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
-            arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made) if made else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], arrays], names=[*batch.schema.names[:-1], name])
+            values = np.concatenate(made).view(np.int64) if made else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["t", "id", "set"])
+
+    return docs.select("t", "text").mapInArrow(make, "t long, id long, set array<long>")
+
 
-    schema = T.StructType([*rest.schema.fields, T.StructField(name, T.ArrayType(T.LongType()))])
-    return docs.select(*[F.col(f"`{c}`") for c in rest.columns], "text").mapInArrow(make, schema)
+def prefix_sizes(n: int, similarity: float) -> tuple[int, int]:
+    """Of a set of n: how many of its first members, in any one order for all sets, hold one that is shared with each set at
+    least so similar; and how many if the other set is no smaller and shows the members of the first number."""
+    return n - math.ceil(similarity * n - 1e-9) + 1, n - math.ceil(2 * similarity / (1 + similarity) * n - 1e-9) + 1
 
 
-def similar(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """docs (id, o, text), ids unique, o their order: pairs (a, b) of ids whose sets of shingles are at least that similar.
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """sets (id, g, set): (token, id, g, n, pos, idx) of the first members of each set, rare ones first."""
+    spark = sets.sparkSession
+    some = sets.filter(F.expr(f"pmod(id, {SAMPLE}) = 0")).select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    common = some.filter("n > 3").orderBy(F.desc("n"), "token").limit(COMMON).orderBy("token").toPandas()
+    known = spark.sparkContext.broadcast((common["token"].to_numpy(np.int64), common["n"].to_numpy(np.int64)))
 
-    A fingerprint tells apart texts that differ in a tenth of their words, so texts that share a band of least hashes are
-    compared as sets. In each round a text that has no link yet meets one member of each of its buckets: the first in order, then
-    the second, then the third. A bucket of m texts gives m comparisons a round, not the square of m.
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, counts = known.value
+        held, n = [], 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["token", "id", "g", "n", "pos", "idx"])
+
+        for batch in batches:
+            ends, values = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
+            for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+                x = values[a:b]
+                if not len(x):
+                    continue
+                often = np.zeros(len(x), np.int64)
+                if len(tokens):
+                    at = np.minimum(np.searchsorted(tokens, x), len(tokens) - 1)
+                    often = np.where(tokens[at] == x, counts[at], 0)
+                probe, index = prefix_sizes(len(x), similarity)
+                first = x[np.lexsort((x, often))[:probe]]
+                pos = np.arange(len(first), dtype=np.int32)
+                held.append((first, np.full(len(first), batch.column(0)[i].as_py()), np.full(len(first), batch.column(1)[i].as_py()), np.full(len(first), len(x), np.int32), pos, pos < index))
+                n += len(first)
+                if n >= PREFIXES:
+                    yield flush()
+                    held, n = [], 0
+        if held:
+            yield flush()
+
+    return sets.select("id", "g", "set").mapInArrow(make, "token long, id long, g long, n int, pos int, idx boolean")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """rows whose token is in more than one group."""
+    by = Window.partitionBy("token")
+    return rows.withColumn("lo", F.min("g").over(by)).withColumn("hi", F.max("g").over(by)).filter("lo != hi").drop("lo", "hi")
+
+
+def _may_meet(left: DataFrame, right: DataFrame, keys: list[str], similarity: float, also: str) -> DataFrame:
+    """Pairs (a, b) of different groups that share a token, whose sizes and places of it allow the similarity."""
+    x = left.select(*keys, *[F.col(c).alias(f"{c}1") for c in ("id", "g", "n", "pos", "idx")])
+    y = right.select(*keys, *[F.col(c).alias(f"{c}2") for c in ("id", "g", "n", "pos", "idx")])
+    near = f"least(n1, n2) >= {similarity}D * greatest(n1, n2) - 1e-6D"
+    # a shared member, those before it in both, those after it in both: all that can be shared
+    room = f"1 + least(pos1, pos2) + least(n1 - pos1, n2 - pos2) - 1 >= {similarity}D / (1 + {similarity}D) * (n1 + n2) - 1e-6D"
+    return x.join(y, keys).filter(f"g1 != g2 and {near} and {room} and {also}").select(F.expr("least(id1, id2)").alias("a"), F.expr("greatest(id1, id2)").alias("b")).distinct()
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets are at least so similar."""
+    pairs = materialise(pairs, "similar-pairs")
+    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    own = materialise(sets.select("id", "set").join(asked, "id", "left_semi").dropDuplicates(["id"]), "similar-own")
+    both = pairs.join(own.select(F.col("id").alias("a"), "set"), "a").join(own.select(F.col("id").alias("b"), F.col("set").alias("other")), "b")
+    met = F.size(F.array_intersect("set", "other"))
+    return materialise(both.filter(met + 1e-9 >= similarity * (F.size("set") + F.size("other") - met)).select("a", "b"), "similar-found")
+
+
+def similar(docs: DataFrame, groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """docs (t, text), groups (t, g), one row for each t: links (a, b) of groups that, with what they chain, join all groups
+    that have texts with sets of shingles at least so similar. Exact: no pair is left out but those whose groups are joined already.
+
+    Sets are put in one order, rare shingles first. Of two similar sets the first members (a fifth of them at 0.8) share one,
+    so sets meet by these. Where many meet, one of each size class is compared with the others first; then, token by token,
+    all pairs that are still in different groups, less those that sizes or places rule out.
     """
-    keys = materialise(_per_text(docs, "keys", lambda t: _bands(t, shingle)).select("id", "o", F.explode("keys").alias("key")), "similar-keys")
-    ranked = keys.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.col("o").asc_nulls_last(), "id")))
-    heads = materialise(ranked.filter(f"rank <= {ROUNDS}").select("key", "rank", F.col("id").alias("head")), "similar-heads")
-    shared = heads.filter("rank = 2").select("key")
-    open_rows = materialise(keys.join(shared, "key", "left_semi"), "similar-open")
-    some = open_rows.select("id").distinct()
-    sets = materialise(_per_text(docs.drop("o").join(some, "id", "left_semi"), "set", lambda t: _shingles(t, shingle).view(np.int64)), "similar-sets")
-    links = None
-    for rank in range(1, ROUNDS + 1):
-        pairs = open_rows.join(heads.filter(f"rank = {rank}").select("key", "head"), "key").filter("id != head").select("id", "head").distinct()
-        both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("head"), F.col("set").alias("other")), "head")
-        met = F.size(F.array_intersect("set", "other"))
-        found = both.filter(met >= similarity * (F.size("set") + F.size("other") - met)).select(F.col("id").alias("a"), F.col("head").alias("b"))
-        found = materialise(found, "similar-found")
-        links = found if links is None else links.unionByName(found)
-        done = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
-        open_rows = open_rows.join(done, "id", "left_anti")
-    return links
+    sets = materialise(_sets(docs, shingle), "similar-sets")
+    names = materialise(sets.select("t", "id").distinct().join(groups, "t").select("id", "g").distinct(), "similar-names")
+    least = materialise(names.groupBy("id").agg(F.min("g").alias("g")), "similar-least")
+    same = names.join(least.withColumnRenamed("g", "b"), "id").filter("g != b").select(F.col("g").alias("a"), "b")
+    one = sets.select("id", "set").dropDuplicates(["id"]).join(least, "id")
+    rows = materialise(_mixed(_prefixes(one, similarity)), "similar-tokens")
+
+    def as_groups(found: DataFrame) -> DataFrame:
+        out = found.join(least.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(least.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
+        return out.select(F.col("ga").alias("a"), F.col("gb").alias("b"))
+
+    banded = rows.withColumn("band", F.expr("cast(floor(ln(n) / ln(1.25D)) as int)"))
+    heads = banded.groupBy("token", "band").agg(F.min(F.struct("id", "g", "n", "pos", "idx")).alias("x")).select("token", "band", "x.*")
+    first = as_groups(_alike(_may_meet(banded, heads, ["token", "band"], similarity, "id1 != id2"), sets, similarity))
+    links = materialise(same.union(first), "similar-links")
+    tops = materialise(_components(groups.select(F.col("g").alias("fp")).distinct(), links, "similar-first").select(F.col("fp").alias("g"), "root"), "similar-tops")
+    # of two in different groups at least one is not in the token's largest
+    rest = materialise(_mixed(rows.join(tops, "g").drop("g").withColumnRenamed("root", "g")), "similar-rest")
+    largest = rest.groupBy("token", "g").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "g")).alias("x")).select("token", F.col("x.g").alias("most"))
+    few = rest.join(largest, "token").filter("g != most").drop("most")
+    second = _alike(_may_meet(few, rest, ["token"], similarity, "if(n1 < n2 or (n1 = n2 and id1 < id2), idx1, idx2)"), sets, similarity)
+    return links.union(as_groups(second))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float | None = 0.8) -> DataFrame:
@@ -219,7 +284,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float | None = 0.8)
     if similarity is not None:
         # one text for each component goes on, by the component's name
         texts = keyed.select("doc_id", "_s_t", "text").join(best, F.expr("_s_t = _s_u and doc_id <=> _s_d")).dropDuplicates(["_s_root"])
-        links = similar(texts.select(F.col("_s_root").alias("id"), F.col("doc_id").alias("o"), "text"), shingle, similarity)
+        links = similar(texts.select(F.col("_s_t").alias("t"), "text"), best.select(F.col("_s_u").alias("t"), F.col("_s_root").alias("g")), shingle, similarity)
         tops = _components(best.select(F.col("_s_root").alias("fp")), links, "similar-components")
         best = best.join(tops, F.col("_s_root") == F.col("fp")).groupBy("root").agg(F.min(F.struct(F.col("_s_d").isNull().alias("none"), "_s_d", "_s_u")).alias("x")).select(F.col("x._s_d").alias("_s_d"), F.col("x._s_u").alias("_s_u"))
     kept = keyed.join(best.select("_s_d", "_s_u"), F.expr("_s_t = _s_u and doc_id <=> _s_d"), "left_semi")
