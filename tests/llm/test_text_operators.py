@@ -276,3 +276,18 @@ def test_pairs_in_hot_buckets_keep_one(spark):
         rows += [(1000 * p + i, " ".join(t)) for i, t in enumerate(texts)]
     kept, groups = kept_groups(spark, rows)
     assert sorted(kept) == sorted(groups)
+
+
+def test_all_texts_of_a_fingerprint_component_are_compared(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for g in range(60):  # original, a copy of it that comes first, and one that is like the original only
+        base = [word() for _ in range(200)]
+        near, far = list(base), list(base)
+        near[rng.randrange(5, 90)] = word()
+        for at in (110, 130, 150, 170):
+            far[at] = word()
+        rows += [(10 * g, " ".join(near)), (10 * g + 1, " ".join(base)), (10 * g + 2, " ".join(far))]
+    kept, groups = kept_groups(spark, rows)
+    assert sorted(kept) == sorted(groups)

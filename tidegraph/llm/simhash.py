@@ -282,9 +282,10 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float | None = 0.8)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_s_t")
     best = materialise(found.groupBy("_s_root").agg(F.min(place).alias("x")).select("_s_root", F.col("x.doc_id").alias("_s_d"), F.col("x._s_t").alias("_s_u")), "simhash-best")
     if similarity is not None:
-        # one text for each component goes on, by the component's name
-        texts = keyed.select("doc_id", "_s_t", "text").join(best, F.expr("_s_t = _s_u and doc_id <=> _s_d")).dropDuplicates(["_s_root"])
-        links = similar(texts.select(F.col("_s_t").alias("t"), "text"), best.select(F.col("_s_u").alias("t"), F.col("_s_root").alias("g")), shingle, similarity)
+        # every different text goes on, with its component's name
+        texts = keyed.select(F.col("_s_t").alias("t"), "text").dropDuplicates(["t"])
+        groups = materialise(found.select(F.col("_s_t").alias("t"), F.col("_s_root").alias("g")).distinct(), "simhash-groups")
+        links = similar(texts, groups, shingle, similarity)
         tops = _components(best.select(F.col("_s_root").alias("fp")), links, "similar-components")
         best = best.join(tops, F.col("_s_root") == F.col("fp")).groupBy("root").agg(F.min(F.struct(F.col("_s_d").isNull().alias("none"), "_s_d", "_s_u")).alias("x")).select(F.col("x._s_d").alias("_s_d"), F.col("x._s_u").alias("_s_u"))
     kept = keyed.join(best.select("_s_d", "_s_u"), F.expr("_s_t = _s_u and doc_id <=> _s_d"), "left_semi")
