@@ -291,3 +291,14 @@ def test_all_texts_of_a_fingerprint_component_are_compared(spark):
         rows += [(10 * g, " ".join(near)), (10 * g + 1, " ".join(base)), (10 * g + 2, " ".join(far))]
     kept, groups = kept_groups(spark, rows)
     assert sorted(kept) == sorted(groups)
+
+
+def test_pairs_at_the_very_similarity_keep_one(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for g in range(600):  # of 94 words the last 10 differ: 80 shingles of 90 + 10 are shared
+        base = [word() for _ in range(94)]
+        rows += [(10 * g, " ".join(base)), (10 * g + 1, " ".join(base[:84] + [word() for _ in range(10)]))]
+    kept, groups = kept_groups(spark, rows)
+    assert len(groups) == 600 and sorted(kept) == sorted(groups)
