@@ -61,3 +61,13 @@ def test_delete(spark):
 def test_negative_k(spark):
     with pytest.raises(ValueError):
         store(spark).search("1", -1)
+
+
+def test_every_benchmark_item_is_asked(spark, tmp_path):
+    from tidegraph.plans import registry
+
+    spark.createDataFrame([(i, f"text of {i} " * 20, "en", "s", 9) for i in range(6)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, f"question {i}") for i in range(3, 63)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = registry.flat_prompt(spark, str(tmp_path)).collect()
+    assert sorted(r["question_id"] for r in rows) == list(range(3, 63))
+    assert all(f"question {r['question_id']}" in r["prompt"] for r in rows)
