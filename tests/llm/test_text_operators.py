@@ -302,3 +302,15 @@ def test_pairs_at_the_very_similarity_keep_one(spark):
         rows += [(10 * g, " ".join(base)), (10 * g + 1, " ".join(base[:84] + [word() for _ in range(10)]))]
     kept, groups = kept_groups(spark, rows)
     assert len(groups) == 600 and sorted(kept) == sorted(groups)
+
+
+def test_texts_of_one_id_that_agree_in_24_bits(spark, tmp_path):
+    rng = random.Random(17)
+    seen, rows = {}, []
+    while len(rows) < 6:
+        t = "%x" % rng.getrandbits(600)
+        other = seen.setdefault(xxhash.xxh64_intdigest(t, 42) & 0xFFFFFF, t)
+        if other != t:
+            rows += [(None, other), (None, t)]
+    rows += [(1, "z" * 20), (3, rows[0][1] + "tail")]
+    assert sorted(map(tuple, substrings.op5_substrings(spark, table(spark, rows, tmp_path)).collect()), key=repr) == cut_spec(rows)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, ship, table
+from .common import fits_broadcast, materialise, ship, table
 
 ship(__name__)
 SPAN, K, RUN = 100, 32, 63
@@ -135,7 +135,7 @@ _NAME = 16
 def _found(docs: DataFrame) -> DataFrame:
     """(m, seg, d, p) of all segments; p < 0: gone already.
 
-    m: the name less its last _NAME bits, then _MORE for each part. seg: 44 bits of the segment's hash, then _BITS for each part. p sorts by start: 32 bits of it, 24 of the text's hash, one
+    m: the name less its last _NAME bits, then _MORE for each part. seg: 44 bits of the segment's hash, then _BITS for each part. p sorts by start: 32 bits of it, 24 of the text's number, one
     that says whether the named bytes stand more than once, 6 of the number of strings.
     """
 
@@ -206,9 +206,28 @@ def _sides(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(cut, "core long, d long, key int, at long, least int, most int, sides binary")
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs as (doc_id, d, key, text): key numbers the different texts of a doc_id, told apart by 128 bits of hashes.
+
+    Only texts of ids that stand in several rows are exchanged; where there is none, all keys are 0.
+    """
+    docs = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("d"), "text")
+    many = materialise(docs.groupBy("d").agg(F.count("*").alias("n")).filter("n > 1").select("d"), "substrings-many")
+    if many.isEmpty():
+        return docs.select("doc_id", "d", F.lit(0).alias("key"), "text")
+    if fits_broadcast(many, 1_000_000):
+        many = F.broadcast(many)
+    hashed = docs.join(many, "d", "left_semi").withColumn("h", F.xxhash64("text")).withColumn("i", F.xxhash64(F.lit(1), "text"))
+    number = F.row_number().over(Window.partitionBy("d").orderBy("h", "i"))
+    numbers = materialise(hashed.select("d", "h", "i").distinct().withColumn("key", number), "substrings-numbers")
+    key = F.expr("if(key > 16777215, raise_error('more than 16777215 texts of one doc_id'), key)").cast("int")
+    again = materialise(hashed.join(numbers, ["d", "h", "i"]).select("doc_id", "d", key.alias("key"), "text"), "substrings-again")
+    return docs.join(many, "d", "left_anti").select("doc_id", "d", F.lit(0).alias("key"), "text").union(again)
+
+
 def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, d, key, text) and (d, key, s, e): spans that go."""
-    keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("d"), F.expr("cast(xxhash64(text) & 16777215 as int)").alias("key"), "text")
+    keyed = _numbered(docs)
     by = Window.partitionBy("name", "gone").orderBy("seg", "d", "p")
     whole = Window.partitionBy("name", "gone")
     same = F.shiftright(F.lag("seg").over(by), _BITS * PARTS) == F.shiftright("seg", _BITS * PARTS)
