@@ -314,3 +314,12 @@ def test_texts_of_one_id_that_agree_in_24_bits(spark, tmp_path):
             rows += [(None, other), (None, t)]
     rows += [(1, "z" * 20), (3, rows[0][1] + "tail")]
     assert sorted(map(tuple, substrings.op5_substrings(spark, table(spark, rows, tmp_path)).collect()), key=repr) == cut_spec(rows)
+
+
+def test_contexts_discover_over_three_hops(spark):
+    texts = [f"mailto user{i}@host{i}.org please" for i in range(120)]
+    texts += [x for i in range(25) for x in (f"mailto aaaaa{i} please", f"alpha aaaaa{i} pour")]
+    texts += [x for i in range(5) for x in (f"alpha bbbbb{i} pour", f"beta bbbbb{i} bitte")]
+    rows = list(enumerate(texts)) + [(999, "beta ccccc1 bitte"), (1000, "gamma ddddd1 gracias")]
+    spans = {r["doc_id"]: [(x["kind"], r["text"][x["s"] : x["e"]]) for x in r["_p_spans"]] for r in pii.extract(fresh(spark, rows)).collect()}
+    assert spans[999] == [("email", "ccccc1")] and spans[1000] == []

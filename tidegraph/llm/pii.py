@@ -2,7 +2,7 @@
 
 Seeds are what four patterns find (email, ip, card, phone). Each seed and each other identifier-shaped token (it holds
 a digit) is an instance that meets lexical patterns: the word before it, the word after it, both. Spark scores the
-graph of patterns and instances in ROUNDS rounds: a pattern is trusted for a kind when at least SUPPORT distinct known
+graph of patterns and instances in rounds until no instance becomes known: a pattern is trusted for a kind when at least SUPPORT distinct known
 instances of that kind meet it and they are at least PRECISION of all distinct instances that meet it; an unknown
 instance becomes known when the trusted patterns of one kind that meet it leave a doubt, the product of (1 - precision),
 of at most DOUBT. All occurrences of what became known are spans of that kind. Base spans always stay.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 KINDS = ("email", "ip", "card", "phone")
-SUPPORT, PRECISION, DOUBT, ROUNDS = 5, 0.8, 0.1, 2
+SUPPORT, PRECISION, DOUBT = 5, 0.8, 0.1
 #: Characters beside an instance in which its neighbours are looked for.
 CONTEXT = 64
 BLOCK = 256
@@ -96,15 +96,18 @@ def discovered(found: DataFrame) -> DataFrame:
         F.explode(F.expr("filter(array(if(l = '', null, concat('L ', l)), if(r = '', null, concat('R ', r)), if(l = '' or r = '', null, concat('B ', l, ' ', r))), p -> p is not null)")).alias("pat"),
     ).distinct()
     meets = materialise(meets, "pii-meets")
-    known = None  # (inst, got): kinds that the rounds have given
-    for _ in range(ROUNDS):
-        now = meets if known is None else meets.join(known, "inst", "left").withColumn("kind", F.when(F.col("kind") == "", F.coalesce("got", F.lit(""))).otherwise(F.col("kind"))).drop("got")
+    known = meets.limit(0).select("inst", F.col("kind").alias("got"))  # kinds that the rounds have given
+    while True:
+        now = meets.join(known, "inst", "left").withColumn("kind", F.when(F.col("kind") == "", F.coalesce("got", F.lit(""))).otherwise(F.col("kind"))).drop("got")
         by = now.groupBy("pat", "kind").agg(F.count("*").alias("n"))
         trusted = by.groupBy("pat").agg(F.sum("n").alias("all"), F.max(F.when(F.col("kind") != "", F.struct("n", "kind"))).alias("best"))
         trusted = trusted.filter(f"best.n >= {SUPPORT} and best.n >= {PRECISION} * all").select("pat", F.col("best.kind").alias("to"), (F.col("best.n") / F.col("all")).alias("sure"))
-        votes = meets.filter("kind = ''").join(trusted, "pat").groupBy("inst", "to").agg(F.sum(F.log(F.greatest(1 - F.col("sure"), F.lit(1e-9)))).alias("doubt"))
-        known = votes.groupBy("inst").agg(F.min(F.struct("doubt", "to")).alias("x")).filter(F.exp("x.doubt") <= DOUBT).select("inst", F.col("x.to").alias("got"))
-        known = materialise(known, "pii-known")
+        votes = now.filter("kind = ''").join(trusted, "pat").groupBy("inst", "to").agg(F.sum(F.log(F.greatest(1 - F.col("sure"), F.lit(1e-9)))).alias("doubt"))
+        new = votes.groupBy("inst").agg(F.min(F.struct("doubt", "to")).alias("x")).filter(F.exp("x.doubt") <= DOUBT).select("inst", F.col("x.to").alias("got"))
+        new = materialise(new, "pii-known")
+        if new.isEmpty():
+            break
+        known = known.union(new)
     return known.withColumnRenamed("got", "kind")
 
 
