@@ -60,11 +60,28 @@ def test_quality_order_never_changes_the_verdict(spark):
 
 
 def test_quality_measures_and_orders(spark):
-    found = quality.measure(fresh(spark, ROWS), share=1.0)
+    found = quality.measure(fresh(spark, ROWS))
     assert {m.name for m in found} == {r.name for r in quality.RULES} and [m.gain for m in found] == sorted((m.gain for m in found), reverse=True)
     assert [m.name for m in quality.measure(fresh(spark, []))] == [r.name for r in quality.RULES]
 
 
+def test_quality_asks_no_further_than_the_first_rejection(spark):
+    rules = (quality.Rule("first", "t like 'no%'"), quality.Rule("trap", "raise_error(concat('asked about ', t)) is null"))
+    df = spark.createDataFrame([(1, "no one"), (2, "no two")], "doc_id long, text string")
+    assert {r["rejected_by"] for r in quality.apply_rules(df, rules, ["first", "trap"]).collect()} == {"first"}
+    assert quality.passing(df, rules, ["first", "trap"]).count() == 0
+    with pytest.raises(Exception, match="asked about"):
+        quality.apply_rules(df, rules, ["trap", "first"]).collect()
+
+
+def test_quality_costs_stand_clear(spark):
+    df = spark.createDataFrame([(i, " ".join(f"w{i * j % 997}" for j in range(800))) for i in range(300)], "doc_id long, text string")
+    cheap, dear = quality.Rule("cheap", "n < 0"), quality.Rule("dear", "size(array_distinct(transform(w, x -> sha2(x, 256)))) < 0")
+    for _ in range(2):
+        by = {m.name: m for m in quality.measure(df, (dear, cheap))}
+        assert by["dear"].seconds > 20 * by["cheap"].seconds and by["dear"].seconds > 1e-5
+
+
 def norm(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
