@@ -32,6 +32,8 @@ from .common import kept_by_worker, ship, table
 ship(__name__)
 #: Entries of a cache before it starts anew.
 CACHE = 250_000
+#: Bytes of ids of a batch that goes back to the JVM.
+OUT = 1 << 22
 _SPACES = "\t-\r \x85\xa0  -     　"
 
 
@@ -224,10 +226,16 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(spec.value)
         for batch in batches:
-            parts = [e.encode(t.as_py()) for t in batch.column(at)]
-            ends = np.cumsum([0, *(len(x) // 4 for x in parts)])
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4")))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "ids"])
+            begin, parts, size = 0, [], 0
+            for i, t in enumerate(batch.column(at)):
+                parts.append(e.encode(t.as_py()))
+                size += len(parts[-1])
+                if size > OUT or i == batch.num_rows - 1:
+                    ends = np.cumsum([0, *(len(x) // 4 for x in parts)])
+                    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+                    yield pa.RecordBatch.from_arrays([*batch.slice(begin, len(parts)).columns, ids], names=[*batch.schema.names, "ids"])
+                    begin, parts, size = i + 1, [], 0
+        e.chunks, e.pieces = {}, {}
 
     return docs.mapInArrow(of, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 

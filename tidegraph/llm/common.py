@@ -18,12 +18,28 @@ def ship(module: str) -> None:
 
 
 ship(__name__)
+#: Models that a Python worker keeps between tasks.
+KEPT = 2
+
+
+def forget() -> None:
+    """Give back what this Python worker keeps of other operators, before work that needs its memory."""
+    state = sys.modules.get("_tidegraph_worker")
+    if state is not None and vars(state).pop("kept", None):
+        import ctypes
+        import gc
+
+        gc.collect()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def kept_by_worker(key: str, build):
-    """build(), once for each Python worker: shipped code has globals of its own in each task, this outlives them."""
-    state = sys.modules.setdefault("_tidegraph_worker", types.ModuleType("_tidegraph_worker")).__dict__
+    """build(), once for each Python worker: shipped code has globals of its own in each task, this outlives them. The last KEPT are kept."""
+    state = sys.modules.setdefault("_tidegraph_worker", types.ModuleType("_tidegraph_worker")).__dict__.setdefault("kept", {})
     if key not in state:
+        while len(state) >= KEPT:
+            state.pop(next(iter(state)))
         state[key] = build()
     return state[key]
 
@@ -62,5 +78,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
-    """Whether df has at most max_rows rows; reads no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Whether df, a table, has at most max_rows rows."""
+    return df.count() <= max_rows

@@ -22,17 +22,16 @@ unless all are null; an empty table gives none; other columns pass through `keep
 taken).
 """
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, ship, table
+from .common import forget, materialise, ship, table
+from .similar import OUT, Sketcher, common_shingles, shingle_hashes, similar
 
 ship(__name__)
 
@@ -41,24 +40,20 @@ RADIUS, SHINGLE = 3, 3
 BATCH = 1 << 13
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Of a text in UTF-8."""
-    words = text.lower().split()  # of bytes: A-Z and the six spaces only
-    if not words:
-        return 0
-    total, n = np.zeros(64, np.int64), max(1, len(words) - shingle + 1)
-    line = b" ".join(words)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    ends = np.cumsum(sizes) - 1
-    begins = ends - sizes + 1
-    ends = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Of the hashes of a text's shingles."""
+    total, n = np.zeros(64, np.int64), len(hashes)
     for k in range(0, n, BATCH):
-        pairs = zip(begins[k : min(n, k + BATCH)].tolist(), ends[k : k + BATCH].tolist())
-        h = np.array([xxhash.xxh64_intdigest(line[a:b], 42) for a, b in pairs], dtype="<u8")
+        h = np.ascontiguousarray(hashes[k : k + BATCH], "<u8")
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(total * 2 > n, bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """Of a text in UTF-8; without words, zero."""
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """docs with `_s_fp`, the fingerprint as a signed 64-bit integer; the text goes. Texts are taken one by one."""
     rest = docs.drop("text")
@@ -143,153 +138,64 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return prints.join(named, "_s_fp")
 
 
-#: A sample of one in SAMPLE sets says which shingles are common: the COMMON most frequent of it. Only speed depends on this.
-SAMPLE, COMMON = 16, 1 << 20
-#: Rows of a batch of prefixes.
-PREFIXES = 1 << 18
-
-
-def _shingles(text: bytes, shingle: int) -> np.ndarray:
-    """Distinct shingle hashes, sorted."""
-    words = text.lower().split()
-    line = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))] if words else []
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in line), np.uint64, len(line)))
-
-
-def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """docs (t, text): (t, id, set), the set of shingle hashes and a hash of it."""
+def _sketches(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """docs (doc_id, t, text): (doc_id, t, _s_fp) of each row and, in the first row of each t in a task, its sketch (see `similar`)."""
+    spark = docs.sparkSession
+    often = common_shingles(docs.select("t", "text"), shingle).toPandas().sort_values("token")
+    known = spark.sparkContext.broadcast((often["token"].to_numpy(np.int64), often["n"].to_numpy(np.int64)))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        sketch, prints = Sketcher(*known.value, similarity), {}
+        names = ["doc_id", "t", "_s_fp", "n", "bits", "short", "rare", "prefix"]
+        kinds = [None, pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64())]
         for batch in batches:
-            made = [_shingles(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in batch.column(1)]
-            ids = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in made], np.uint64).view(np.int64)
-            ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
-            values = np.concatenate(made).view(np.int64) if made else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["t", "id", "set"])
-
-    return docs.select("t", "text").mapInArrow(make, "t long, id long, set array<long>")
-
-
-def prefix_sizes(n: int, similarity: float) -> tuple[int, int]:
-    """Of a set of n: how many of its first members, in any one order for all sets, hold one that is shared with each set at
-    least so similar; and how many if the other set is no smaller and shows the members of the first number."""
-    return n - math.ceil(similarity * n - 1e-9) + 1, n - math.ceil(2 * similarity / (1 + similarity) * n - 1e-9) + 1
-
-
-def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """sets (id, g, set): (token, id, g, n, pos, idx) of the first members of each set, rare ones first."""
-    spark = sets.sparkSession
-    some = sets.filter(F.expr(f"pmod(id, {SAMPLE}) = 0")).select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    common = some.filter("n > 3").orderBy(F.desc("n"), "token").limit(COMMON).orderBy("token").toPandas()
-    known = spark.sparkContext.broadcast((common["token"].to_numpy(np.int64), common["n"].to_numpy(np.int64)))
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, counts = known.value
-        held, n = [], 0
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["token", "id", "g", "n", "pos", "idx"])
-
-        for batch in batches:
-            ends, values = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
-            for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
-                x = values[a:b]
-                if not len(x):
-                    continue
-                often = np.zeros(len(x), np.int64)
-                if len(tokens):
-                    at = np.minimum(np.searchsorted(tokens, x), len(tokens) - 1)
-                    often = np.where(tokens[at] == x, counts[at], 0)
-                probe, index = prefix_sizes(len(x), similarity)
-                first = x[np.lexsort((x, often))[:probe]]
-                pos = np.arange(len(first), dtype=np.int32)
-                held.append((first, np.full(len(first), batch.column(0)[i].as_py()), np.full(len(first), batch.column(1)[i].as_py()), np.full(len(first), len(x), np.int32), pos, pos < index))
-                n += len(first)
-                if n >= PREFIXES:
-                    yield flush()
-                    held, n = [], 0
-        if held:
-            yield flush()
-
-    return sets.select("id", "g", "set").mapInArrow(make, "token long, id long, g long, n int, pos int, idx boolean")
-
-
-def _mixed(rows: DataFrame) -> DataFrame:
-    """rows whose token is in more than one group."""
-    by = Window.partitionBy("token")
-    return rows.withColumn("lo", F.min("g").over(by)).withColumn("hi", F.max("g").over(by)).filter("lo != hi").drop("lo", "hi")
-
-
-def _may_meet(left: DataFrame, right: DataFrame, keys: list[str], similarity: float, also: str) -> DataFrame:
-    """Pairs (a, b) of different groups that share a token, whose sizes and places of it allow the similarity."""
-    x = left.select(*keys, *[F.col(c).alias(f"{c}1") for c in ("id", "g", "n", "pos", "idx")])
-    y = right.select(*keys, *[F.col(c).alias(f"{c}2") for c in ("id", "g", "n", "pos", "idx")])
-    near = f"least(n1, n2) >= {similarity}D * greatest(n1, n2) - 1e-6D"
-    # a shared member, those before it in both, those after it in both: all that can be shared
-    room = f"1 + least(pos1, pos2) + least(n1 - pos1, n2 - pos2) - 1 >= {similarity}D / (1 + {similarity}D) * (n1 + n2) - 1e-6D"
-    return x.join(y, keys).filter(f"g1 != g2 and {near} and {room} and {also}").select(F.expr("least(id1, id2)").alias("a"), F.expr("greatest(id1, id2)").alias("b")).distinct()
-
-
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sets are at least so similar."""
-    pairs = materialise(pairs, "similar-pairs")
-    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    own = materialise(sets.select("id", "set").join(asked, "id", "left_semi").dropDuplicates(["id"]), "similar-own")
-    both = pairs.join(own.select(F.col("id").alias("a"), "set"), "a").join(own.select(F.col("id").alias("b"), F.col("set").alias("other")), "b")
-    met = F.size(F.array_intersect("set", "other"))
-    return materialise(both.filter(met + 1e-9 >= similarity * (F.size("set") + F.size("other") - met)).select("a", "b"), "similar-found")
-
-
-def similar(docs: DataFrame, groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """docs (t, text), groups (t, g), one row for each t: links (a, b) of groups that, with what they chain, join all groups
-    that have texts with sets of shingles at least so similar. Exact: no pair is left out but those whose groups are joined already.
-
-    Sets are put in one order, rare shingles first. Of two similar sets the first members (a fifth of them at 0.8) share one,
-    so sets meet by these. Where many meet, one of each size class is compared with the others first; then, token by token,
-    all pairs that are still in different groups, less those that sizes or places rule out.
-    """
-    sets = materialise(_sets(docs, shingle), "similar-sets")
-    names = materialise(sets.select("t", "id").distinct().join(groups, "t").select("id", "g").distinct(), "similar-names")
-    least = materialise(names.groupBy("id").agg(F.min("g").alias("g")), "similar-least")
-    same = names.join(least.withColumnRenamed("g", "b"), "id").filter("g != b").select(F.col("g").alias("a"), "b")
-    one = sets.select("id", "set").dropDuplicates(["id"]).join(least, "id")
-    rows = materialise(_mixed(_prefixes(one, similarity)), "similar-tokens")
-
-    def as_groups(found: DataFrame) -> DataFrame:
-        out = found.join(least.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(least.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
-        return out.select(F.col("ga").alias("a"), F.col("gb").alias("b"))
-
-    banded = rows.withColumn("band", F.expr("cast(floor(ln(n) / ln(1.25D)) as int)"))
-    heads = banded.groupBy("token", "band").agg(F.min(F.struct("id", "g", "n", "pos", "idx")).alias("x")).select("token", "band", "x.*")
-    first = as_groups(_alike(_may_meet(banded, heads, ["token", "band"], similarity, "id1 != id2"), sets, similarity))
-    links = materialise(same.union(first), "similar-links")
-    tops = materialise(_components(groups.select(F.col("g").alias("fp")).distinct(), links, "similar-first").select(F.col("fp").alias("g"), "root"), "similar-tops")
-    # of two in different groups at least one is not in the token's largest
-    rest = materialise(_mixed(rows.join(tops, "g").drop("g").withColumnRenamed("root", "g")), "similar-rest")
-    largest = rest.groupBy("token", "g").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "g")).alias("x")).select("token", F.col("x.g").alias("most"))
-    few = rest.join(largest, "token").filter("g != most").drop("most")
-    second = _alike(_may_meet(few, rest, ["token"], similarity, "if(n1 < n2 or (n1 = n2 and id1 < id2), idx1, idx2)"), sets, similarity)
-    return links.union(as_groups(second))
+            kinds[0], out, size = batch.schema.types[0], [], 0
+            for d, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if t in prints:
+                    out.append((d, t, prints[t], None, None, None, None, None))
+                else:
+                    hashes = shingle_hashes(text.as_buffer().to_pybytes() if text.is_valid else b"", shingle)
+                    if len(prints) > 1 << 16:
+                        prints.clear()
+                    prints[t] = fingerprint_of(hashes)
+                    n, bits, short, rare, prefix = sketch(hashes)
+                    out.append((d, t, prints[t], n, bits, short, rare, prefix))
+                    size += len(bits) + 8 * len(prefix)
+                if size > OUT:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=names)
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=names)
+
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, t long, _s_fp long, n int, bits binary, short array<long>, rare int, prefix array<long>"
+    return docs.select("doc_id", "t", "text").mapInArrow(make, schema)
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float | None = 0.8) -> DataFrame:
-    """The rows of docs with the least (doc_id, hash of the text) of each component; a null doc_id comes last.
+    """The rows of docs with the least (doc_id, hash of the text) of each component; a null doc_id comes last, and of rows that
+    repeat both one stays.
 
     Components are those of fingerprints and, unless similarity is None, of texts at least so similar.
     """
     keyed = docs.withColumn("_s_t", F.xxhash64("text"))
-    found = near_duplicates(keyed.select("doc_id", "_s_t", "text"), shingle)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_s_t")
-    best = materialise(found.groupBy("_s_root").agg(F.min(place).alias("x")).select("_s_root", F.col("x.doc_id").alias("_s_d"), F.col("x._s_t").alias("_s_u")), "simhash-best")
+    made = materialise(_sketches(keyed.select("doc_id", F.col("_s_t").alias("t"), "text"), shingle, similarity or 0.8), "simhash-sketches")
+    tops = materialise(components(made.select(F.col("_s_fp").alias("fp"))), "simhash-tops")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    # the first row of each text, then of each fingerprint's component
+    texts = materialise(made.groupBy("t", "_s_fp").agg(F.min(place).alias("x")).join(tops.withColumnRenamed("fp", "_s_fp"), "_s_fp").select("t", F.col("root").alias("g"), "x"), "simhash-texts")
+    best = texts.groupBy("g").agg(F.min("x").alias("x"))
     if similarity is not None:
         # every different text goes on, with its component's name
-        texts = keyed.select(F.col("_s_t").alias("t"), "text").dropDuplicates(["t"])
-        groups = materialise(found.select(F.col("_s_t").alias("t"), F.col("_s_root").alias("g")).distinct(), "simhash-groups")
-        links = similar(texts, groups, shingle, similarity)
-        tops = _components(best.select(F.col("_s_root").alias("fp")), links, "similar-components")
-        best = best.join(tops, F.col("_s_root") == F.col("fp")).groupBy("root").agg(F.min(F.struct(F.col("_s_d").isNull().alias("none"), "_s_d", "_s_u")).alias("x")).select(F.col("x._s_d").alias("_s_d"), F.col("x._s_u").alias("_s_u"))
-    kept = keyed.join(best.select("_s_d", "_s_u"), F.expr("_s_t = _s_u and doc_id <=> _s_d"), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_s_t"]).drop("_s_t")
+        links = similar(made.filter("prefix is not null"), keyed.select(F.col("_s_t").alias("t"), "text"), texts.select("t", "g"), _components, shingle, similarity)
+        tops = _components(best.select(F.col("g").alias("fp")), links, "simhash-components")
+        best = best.join(tops, F.col("g") == F.col("fp")).groupBy("root").agg(F.min("x").alias("x"))
+    best = materialise(best.select(F.col("x.none").alias("_s_none"), F.coalesce("x.doc_id", F.lit(0)).alias("_s_d"), F.col("x.t").alias("_s_u")), "simhash-best")
+    same = keyed.withColumn("_s_none", F.col("doc_id").isNull()).withColumn("_s_d", F.coalesce("doc_id", F.lit(0))).withColumnRenamed("_s_t", "_s_u")
+    kept = same.join(best, ["_s_none", "_s_d", "_s_u"], "left_semi")
+    if not made.groupBy("doc_id", "t").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["_s_none", "_s_d", "_s_u"])
+    return kept.drop("_s_none", "_s_d", "_s_u")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
