@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, near-duplicates, decontamination, personal data, token ids.
 
 Each stage reads what the one before it wrote. No SQL can express the near-duplicate and token stages, so ORACLE_SQL is
-None and the stages are tested against brute force.
+None and the stages are tested against brute force. An empty table passes through as an empty table; stages before the last
+return the columns they are given, whatever the names of extra ones.
 """
 
 from __future__ import annotations
@@ -12,28 +13,39 @@ from tidegraph.llm import bpe, decontam, pii, quality, simhash
 from tidegraph.llm.common import scratch, table
 
 
+#: Texts may be long: rows of the batches in which they pass between Spark and Python.
+BATCH = "500"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that no rule rejects."""
-    return quality.apply_rules(docs).filter("rejected_by is null").drop("rejected_by")
+    """The documents that no rule rejects; null and empty texts have no words, so go."""
+    return quality.passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, over five-word shingles."""
+    """One document, that of the least doc_id, of each group of near copies: SimHash within 3 bits over five-word shingles, or a
+    similarity of 0.8 or more. Null texts are equal texts, a null doc_id comes last, of repeated rows one stays."""
+    _small_batches(spark)
     return simhash.keep_one(docs, shingle=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that share no window with a benchmark item."""
+    """The documents that share no window with a benchmark item; null texts and items share none."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind."""
+    """All documents, personal data replaced by its kind; null texts stay null."""
     return pii.redact(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_tokens, ids) of every document."""
+    """(doc_id, lang, source, n_tokens, ids) of every document; null and empty texts have no ids."""
+    _small_batches(spark)
     out = bpe.encode(docs)
     return out.selectExpr("doc_id", "lang", "source", "cast(size(ids) as bigint) as n_tokens", "ids")
 
