@@ -340,3 +340,44 @@ def test_contexts_discover_over_three_hops(spark):
     rows = list(enumerate(texts)) + [(999, "beta ccccc1 bitte"), (1000, "gamma ddddd1 gracias")]
     spans = {r["doc_id"]: [(x["kind"], r["text"][x["s"] : x["e"]]) for x in r["_p_spans"]] for r in pii.extract(fresh(spark, rows)).collect()}
     assert spans[999] == [("email", "ccccc1")] and spans[1000] == []
+
+
+def rounds(meets):
+    """What contexts make known, by brute force: meets (kind, inst, pat)."""
+    meets, known = set(meets), {}
+    while True:
+        now = {(k or known.get(i, ""), i, p) for k, i, p in meets}
+        by = {}
+        for k, i, p in now:
+            by.setdefault(p, []).append(k)
+        doubt = {}
+        for p, kinds in by.items():
+            n, to = max(((n, k) for k, n in Counter(kinds).items() if k), default=(0, ""))
+            if n >= pii.SUPPORT and n >= pii.PRECISION * len(kinds):
+                for k, i, q in now:
+                    if q == p and not k:
+                        doubt[i, to] = doubt.get((i, to), 1.0) * max(1 - n / len(kinds), 1e-9)
+        new = {}
+        for (i, to), x in sorted(doubt.items(), key=lambda y: (y[1], y[0])):
+            if x <= pii.DOUBT and i not in new:
+                new[i] = to
+        if not new:
+            return known
+        known |= new
+
+
+def test_rounds_equal_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(160):
+        word, n = rng.choice(["mail", "reach", "host", "see"]), rng.randrange(1000)
+        what = rng.choice([f"user{n}@example.org", f"acct-{n}", f"10.0.{n % 250}.7", f"{n}x{n}"])
+        far = " " * rng.choice([1, 90])  # further than any window of characters
+        rows.append((i, f"please {word}:{far}{what}{far}{rng.choice(['today', 'soon'])} thanks"))
+    rows += [(200 + i, f'api token = "{rng.getrandbits(160):040x}" end') for i in range(9)] + [(300, 'api token = "QX77-K1" end'), (301, "built in 2024 by 3 people")]
+    found = pii.spans(fresh(spark, rows))
+    meets = [(x["kind"], x["inst"], p) for r in found.collect() for x in [*r["_p_base"], *r["_p_more"]] for p in x["pats"]]
+    got = {r["inst"]: r["kind"] for r in pii.discovered(found).collect()}
+    assert got == rounds(meets) and got["QX77-K1"] == "secret" and "2024" not in got
+    spans = {r["doc_id"]: [x["kind"] for x in r["_p_spans"]] for r in pii.extract(fresh(spark, rows)).collect()}
+    assert spans[200] == spans[300] == ["secret"] and spans[301] == []
