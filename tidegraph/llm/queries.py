@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_quality": quality.OP3_SQL,
+    "op5_substrings": substrings.OP5_SQL,
     "op9_chat": chat.OP9_SQL,
     "op10_decontamination": decontam.OP10_SQL,
 }

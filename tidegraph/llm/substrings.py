@@ -1,18 +1,23 @@
-"""Removal of repeated substrings of SPAN bytes.
+"""Removal of repeated substrings of SPAN bytes, by merging Burrows-Wheeler transforms of shards.
 
 A byte goes if a SPAN-byte string that covers it also starts earlier: in a document with a smaller doc_id, or further up in
 the same one. Strings are those of the input.
 
 How: every SPAN-byte string is named by the least hash of the K-byte strings in it, so equal strings have equal names
-wherever they stand. Consecutive strings of one name form a segment of at most RUN strings. Segments that are equal as a
-whole meet by name and hash, and all but the first of them go; each task does so for its own documents before the exchange,
-so a passage that is everywhere sends one row a task. What is left, first segments whose name other segments have too (the
-ends of repeated passages) or that repeat within themselves, is compared string by string, in parts: strings that begin at
-most STEP bytes apart, counted from where the named K bytes stand, share CORE bytes at fixed places, and a part goes on only
-if some other of the same name has the same bits of a hash of these. Parts meet by the hash of their core, and differ in the
-SIDE bytes before and after it; a string is then one of the cuts of SIDE bytes out of these two, which are compared as they
-are, and all but the first of equal ones go. Where the named bytes stand twice, parts are counted from each. Hashes that meet are of 64 bits, or 44 under a name of 64. The README says
-why shards' Burrows-Wheeler transforms are not merged over the whole corpus.
+wherever they stand; consecutive strings of one name form a segment. Names that stand once in the corpus are ruled out first:
+each task sends its different names, sorted into buckets, and a bucket tells which of them others have too. Only segments of
+such names go on, from each task one of equal ones, to the bucket of their name, where equal ones become one string, held by
+the first of them. What is left, names with different segments or with repeats inside one, is a collection of strings; they
+are dealt to shards, as they come from the tasks. Each shard's suffixes are put in order and give its transform: for each
+suffix, in order, the symbol before it and the place of the suffix that this makes (its LF mapping). The transforms are
+merged by refining their interleave: from an interleave of all suffixes by their first h bytes, a stable pass over the
+symbols before them makes the interleave by the first h + STEP; no suffixes are compared, and shards keep their order. Where
+two neighbours fall apart in a pass their common prefix is below the bytes reached, so after the passes for SPAN bytes the
+intervals that never fell apart are the repeated strings, and all but the first of each go. Symbols are of STEP bytes, which
+takes 7 passes instead of 100.
+
+The transforms are merged bucket by bucket, since equal strings share a bucket, and not over the whole corpus, whose interleave
+no task could hold. Memory of a merge is bounded by MERGE bytes or one name's different segments.
 
 Cases: null and empty texts have no bytes; documents of less than SPAN bytes lose nothing; of rows that repeat id and text
 the first stays; a null doc_id is smaller than any other; different texts of one doc_id are ordered by their hash; very long
@@ -23,7 +28,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,19 +35,22 @@ from pyspark.sql import functions as F
 from .common import fits_broadcast, materialise, ship, table
 
 ship(__name__)
-SPAN, K, RUN = 100, 32, 63
-#: Strings of a part, bytes that all of them share, bytes beside these, and parts.
-STEP = 17
-CORE, SIDE, PARTS = SPAN - STEP + 1, STEP - 1, (SPAN - K) // STEP + 1
+#: Strings of a segment at most; periodic text would make long ones.
+SPAN, K, RUN = 100, 32, 4096
+#: Bytes of a symbol; the first pass takes what is left of SPAN.
+STEP = 16
 STRETCH = 1 << 20
-#: Segments that a task holds before it looks for equal ones among them.
-HELD = 1 << 21
+#: Names that a task holds before it sends them; buckets for each shuffle partition; bytes of a merge and of a shard.
+HELD, BUCKETS, MERGE, SHARD = 1 << 21, 4, 1 << 23, 1 << 20
+#: Bytes of rows that go back to the JVM at a time.
+OUT = 1 << 21
+_MIX = 0x9E3779B97F4A7C15
 
 
 def _hashes(b: np.ndarray) -> np.ndarray:
     """A hash of each K-byte string of b."""
     h = b.astype(np.uint64) + np.uint64(1)
-    step, size = np.uint64(0x9E3779B97F4A7C15), 1
+    step, size = np.uint64(_MIX), 1
     with np.errstate(over="ignore"):
         while size < K:  # the hash of twice the length from two that touch
             h = h[:-size] * step + h[size:]
@@ -62,148 +69,366 @@ def _names(h: np.ndarray) -> np.ndarray:
     return np.minimum(h[: len(h) - (wide - size)], h[wide - size :]) if wide > size else h
 
 
-def segments(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(name, start, number of strings) of each segment of raw, and (segment, place) of where their named bytes stand."""
-    found, places, before = [], [], 0
+def segments(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(name, start, number of strings, whether strings in it may be equal) of each segment of raw."""
+    found, reach = [], SPAN - K
     for at in range(0, max(0, len(raw) - SPAN + 1), STRETCH):
         h = _hashes(np.frombuffer(raw, np.uint8, min(len(raw) - at, STRETCH + SPAN - 1), at))
         m = _names(h)
-        cut = np.concatenate([[0], np.nonzero(m[1:] != m[:-1])[0] + 1, [len(m)]])
+        cut = np.concatenate([[0], np.flatnonzero(m[1:] != m[:-1]) + 1, [len(m)]])
         n = np.diff(cut)
+        # equal strings less than a string's K-byte strings apart: each of these is equal to one so far on, and of so many in a row one is looked at
+        wide = np.lib.stride_tricks.sliding_window_view(np.concatenate([h, np.zeros(reach, np.uint64)]), reach + 1)[::reach]
+        x = np.flatnonzero((wide[:, 1:] == wide[:, :1]).any(1)) * reach
+        twice = n > reach + 1  # further apart, only a long segment holds both
+        for low, high in zip(np.searchsorted(cut, x - reach, "right").tolist(), np.searchsorted(cut, x + reach, "right").tolist()):
+            twice[max(0, low - 1) : high] = True
+        names, start = m[cut[:-1]], cut[:-1]
         if n.max() > RUN:  # periodic text: long runs of one name
             many = -(-n // RUN)
-            first = np.repeat(cut[:-1], many) + RUN * (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
-            cut = np.append(first, len(m))
-            n = np.diff(cut)
-        names = m[cut[:-1]]
-        # places that name some string: as least as any hash near them in one of the strings that hold them
-        top, size, reach = np.concatenate([np.zeros(SPAN - K, np.uint64), m, np.zeros(SPAN - K, np.uint64)]), 1, SPAN - K + 1
-        while 2 * size <= reach:
-            top, size = np.maximum(top[:-size], top[size:]), 2 * size
-        top = np.maximum(top[: len(top) - (reach - size)], top[reach - size :]) if reach > size else top
-        q = np.flatnonzero(top == h)
-        low = np.searchsorted(cut, np.maximum(q - (SPAN - K), 0), "right") - 1
-        high = np.searchsorted(cut, np.minimum(q, len(m) - 1), "right") - 1
-        k = np.repeat(low, high - low + 1) + np.arange((high - low + 1).sum()) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1)
-        q = np.repeat(q, high - low + 1)
-        is_name = h[q] == names[k]
-        k, q = k[is_name], q[is_name]
-        order = np.lexsort((q, k))
-        found.append((names.view(np.int64), cut[:-1] + at, n))
-        places.append((k[order] + before, q[order] + at))
-        before += len(names)
+            first = RUN * (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
+            names, twice, start = np.repeat(names, many), np.repeat(twice, many), np.repeat(start, many) + first
+            n = np.diff(np.append(start, len(m)))
+        found.append((names, start + at, n, twice))
     if not found:
-        return (np.zeros(0, np.int64),) * 5
-    return tuple(np.concatenate(x).astype(np.int64) for x in (*zip(*found), *zip(*places)))
-
-
-def parts(start: int, n: int, place: int) -> list[tuple[int, int, int, int]]:
-    """Of a segment whose named bytes stand at `place`: (part, where its core begins, least and most bytes before the core)."""
-    out = []
-    for j in range(PARTS):
-        core = place - j * STEP
-        least, most = max(0, core - (start + n - 1)), min(SIDE, core - start, SPAN - K - j * STEP)
-        if least <= most:
-            out.append((j, core, least, most))
-    return out
-
-
-def _settled(rows: np.ndarray) -> np.ndarray:
-    """rows (m, seg, d, p): of equal segments all but the first get p < 0 and a name of their own."""
-    m, seg, d, p = rows
-    order = np.lexsort((p, d, seg, m))
-    m, seg, d, p = m[order], seg[order], d[order], p[order]
-    same = np.zeros(len(m), bool)
-    same[1:] = (m[1:] == m[:-1]) & (seg[1:] == seg[:-1])
-    twin = np.zeros(len(m), bool)
-    twin[1:] = same[1:] & (d[1:] == d[:-1]) & (p[1:] == p[:-1])
-    with np.errstate(over="ignore"):
-        m = np.where(same, d * np.int64(0x9E3779B97F4A7C1) + p, m)
-    p = np.where(same, ~p, p)
-    return np.stack([m, seg, d, p])[:, ~twin]
-
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    return tuple(np.concatenate(x) for x in zip(*found))
 
-_LEAST = -(1 << 63)
 
+def _per_owner(owner: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(owner, its starts) from pairs sorted by owner."""
+    if len(owner):
+        edge = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]]))
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            yield int(owner[a]), starts[a:b]
 
-#: Bits of a part's hash that travel with its segment: the first are 0 if the segment has no such part, the rest take the
-#: place of the last bits of the name, which is as good without them.
-_BITS, _MORE = 4, 3
-_NAME = 16
 
+_MARKS = ["bucket", "d", "key", "starts", "names", "owners"]
+_MARK_KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
-def _found(docs: DataFrame) -> DataFrame:
-    """(m, seg, d, p) of all segments; p < 0: gone already.
-
-    m: the name less its last _NAME bits, then _MORE for each part. seg: 44 bits of the segment's hash, then _BITS for each part. p sorts by start: 32 bits of it, 24 of the text's number, one
-    that says whether the named bytes stand more than once, 6 of the number of strings.
-    """
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+def _marked(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
+    """docs (d, key, text): (d, key, starts): segments (starts, 32 bits each) whose name others have too, or that may hold equal strings."""
 
-        digest, held, n = xxhash.xxh64_intdigest, [], 0
-        low, most = (1 << 44) - 1, (1 << _BITS) - 1
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (d, key, starts) of names that the task has twice, and for each bucket one owner and start of each different name."""
+        docs_held: list[tuple[int, int]] = []
+        held: list[tuple[np.ndarray, ...]] = []
+        n = 0
 
-        def flush() -> pa.RecordBatch:
-            m, seg, d, p = _settled(np.concatenate(held, axis=1))
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (m, seg, d, p)], ["m", "seg", "d", "p"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            names, owner, start, twice = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(names, kind="stable")
+            names, owner, start, twice = names[order], owner[order], start[order], twice[order]
+            first = np.concatenate([[True], names[1:] != names[:-1]])
+            known = ~first | np.concatenate([~first[1:], [False]]) | twice
+            o = np.lexsort((start[known], owner[known]))
+            out = []
+            for i, s in _per_owner(owner[known][o], start[known][o]):
+                out.append((i % buckets, *docs_held[i], s.astype("<u4").tobytes(), None, None))
+                if len(out) == 10_000:
+                    yield _batch(out, _MARKS, _MARK_KINDS)
+                    out = []
+            names, owner, start, known = names[first], owner[first], start[first], known[first]
+            bucket = (names % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((start, owner, bucket))
+            d, key = (np.array(x) for x in zip(*docs_held))
+            size = 0
+            for b, at in _per_owner(bucket[order], order):
+                who, i = np.unique(owner[at], return_inverse=True)
+                # planes of bytes that are alike: the compressor of the exchange makes little of most of them
+                place = np.concatenate([(start[at] & 0xFFFF).astype("<u2"), (start[at] >> 16).astype("<u2"), i.astype("<u2"), known[at].astype("<u2")]).tobytes()
+                name = names[at] // np.uint64(buckets)
+                name = (name & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + ((name >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2").tobytes()
+                out.append((b, None, None, place, name, d[who].astype("<i8").tobytes() + key[who].astype("<i4").tobytes()))
+                size += len(place) + len(name)
+                if size > OUT:
+                    yield _batch(out, _MARKS, _MARK_KINDS)
+                    out, size = [], 0
+            if out:
+                yield _batch(out, _MARKS, _MARK_KINDS)
 
         for batch in batches:
             for d, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                m, s, c, k, q = segments(raw)
-                if not len(m):
-                    continue
-                seg = [digest(raw[a:b]) & low for a, b in zip(s.tolist(), (s + c + (SPAN - 1)).tolist())]
-                bits, more = np.zeros(len(m), np.int64), np.zeros(len(m), np.int64)
-                for j in range(PARTS):
-                    core = q - j * STEP
-                    has = (np.maximum(0, core - (s + c - 1)[k]) <= np.minimum(np.minimum(SIDE, SPAN - K - j * STEP), core - s[k])).nonzero()[0]
-                    at = core[has].tolist()
-                    h = np.array([digest(raw[a : a + CORE]) for a in at], np.uint64)
-                    bits[k[has]] |= (1 + h % np.uint64(most)).astype(np.int64) << (_BITS * j)
-                    more[k[has]] |= (h >> np.uint64(64 - _MORE)).astype(np.int64) << (_MORE * j)
-                twice = np.bincount(k, minlength=len(m)) > 1
-                held.append(np.stack([m >> _NAME << _NAME | more, np.array(seg, np.int64) << (_BITS * PARTS) | bits, np.full(len(m), d), s << 31 | key << 7 | twice.astype(np.int64) << 6 | c]))
-                n += len(m)
-                if n >= HELD:
-                    yield flush()
-                    held, n = [], 0
+                names, start, _, twice = segments(text.as_buffer().to_pybytes() if text.is_valid else b"")
+                if len(names):
+                    held.append((names, np.full(len(names), len(docs_held)), start, twice))
+                    docs_held.append((d, key))
+                    n += len(names)
+                if n >= HELD or len(docs_held) == 1 << 16:
+                    yield from flush()
+                    held, docs_held, n = [], [], 0
         if held:
-            yield flush()
-
-    return docs.select("d", "key", "text").mapInArrow(find, "m long, seg long, d long, p long")
+            yield from flush()
 
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, list] = {}
+        names_of = ["d", "key", "starts"]
+        kinds = [pa.int64(), pa.int32(), pa.binary()]
+        for batch in batches:
+            ready = batch.filter(batch.column(4).is_null())
+            if ready.num_rows:
+                yield pa.RecordBatch.from_arrays(ready.columns[1:4], names=names_of)
+            for b, place, name, owners in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4, 5))):
+                if name is not None:
+                    kept.setdefault(b, []).append((place, name, owners))
+        out = []
+        while kept:
+            _, blobs = kept.popitem()
+            low, high, names, who, known = [], [], [], [], []
+            d, key, n = [], [], 0
+            for place, name, owners in blobs:
+                c, m = len(name) // 6, len(owners) // 12
+                p = np.frombuffer(place, "<u2").reshape(4, c).astype(np.int64)
+                low.append(p[0] | p[1] << 16)
+                who.append(p[2] + n)
+                known.append(p[3] != 0)
+                names.append(np.frombuffer(name, "<u4", c).astype(np.int64) | np.frombuffer(name, "<u2", c, 4 * c).astype(np.int64) << 32)
+                d.append(np.frombuffer(owners, "<i8", m))
+                key.append(np.frombuffer(owners, "<i4", m, 8 * m))
+                n += m
+            names, start, who, known = (np.concatenate(x) for x in (names, low, who, known))
+            d, key = np.concatenate(d), np.concatenate(key)
+            order = np.argsort(names, kind="stable")
+            names = names[order]
+            first = np.concatenate([[True], names[1:] != names[:-1]])
+            more = order[(~first | np.concatenate([~first[1:], [False]])) & ~known[order]]
+            o = more[np.lexsort((start[more], who[more]))]
+            for i, s in _per_owner(who[o], start[o]):
+                out.append((int(d[i]), int(key[i]), s.astype("<u4").tobytes()))
+                if len(out) == 10_000:
+                    yield _batch(out, names_of, kinds)
+                    out = []
+        if out:
+            yield _batch(out, names_of, kinds)
+
+    sent = docs.select("d", "key", "text").mapInArrow(send, "bucket int, d long, key int, starts binary, names binary, owners binary")
+    return sent.repartition(parts, "bucket").mapInArrow(meet, "d long, key int, starts binary")
+
+
+def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+
+_STRINGS = ["bucket", "d", "key", "s", "e", "name", "twice", "seg"]
+_STRING_KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+
+
+def _strings(docs: DataFrame, buckets: int) -> DataFrame:
+    """docs (d, key, text, marks): segments to be compared, one of equal ones in a task, with their bytes; others as spans that go (no bytes)."""
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, tuple] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            out, size = [], 0
+            for seg, (d, s, key, name, twice) in held.items():
+                out.append((name % buckets, d, key, s, s + len(seg), name - (1 << 64) if name >> 63 else name, twice, seg))
+                size += len(seg) + 40
+                if size > OUT:
+                    yield _batch(out, _STRINGS, _STRING_KINDS)
+                    out, size = [], 0
+            if out:
+                yield _batch(out, _STRINGS, _STRING_KINDS)
 
-def _sides(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, d, key, segs, text): parts numbered segs.j of the segments that start at segs.s: hash of the
-    core, where it begins, the bytes beside it, and how many of them before it the segment's strings take."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        for batch in batches:
+            gone = []
+            for d, key, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
+                raw, only = text.as_buffer().to_pybytes(), np.frombuffer(b"".join(marks), "<u4").astype(np.int64)
+                names, start, n, twice = segments(raw)
+                mine = np.isin(start, only)
+                for name, s, c, t in zip(names[mine].tolist(), start[mine].tolist(), n[mine].tolist(), twice[mine].tolist()):
+                    seg = raw[s : s + c + SPAN - 1]
+                    have = held.get(seg)
+                    if have is None or (d, s, key) < have[:3]:
+                        held[seg] = (d, s, key, name, t)
+                        size += len(seg)
+                    later = (d, s, key) if have is None or (d, s, key) > have[:3] else have[:3]
+                    if have is not None:
+                        gone.append((int(later[0]) % buckets, later[0], later[2], later[1], later[1] + len(seg), None, None, None))
+                if len(gone) > 20_000:
+                    yield _batch(gone, _STRINGS, _STRING_KINDS)
+                    gone = []
+                if size > 16 * OUT:
+                    yield from flush()
+                    held, size = {}, 0
+            if gone:
+                yield _batch(gone, _STRINGS, _STRING_KINDS)
+        yield from flush()
+
+    return docs.select("d", "key", "text", "marks").mapInArrow(take, "bucket int, d long, key int, s int, e int, name long, twice boolean, seg binary")
+
+
+class Transform:
+    """A shard's suffixes of strings, in the order of their first SPAN bytes: for each the place of the suffix that the symbol
+    of STEP bytes (or FIRST) before it makes, or -1 where a string begins.
+
+    symbols, firsts: ranks of the STEP and FIRST bytes at each place of the text, the same ranks in all shards.
+    """
 
-        digest = xxhash.xxh64_intdigest
+    def __init__(self, begin: np.ndarray, symbols: np.ndarray, firsts: np.ndarray, at: int, end: int) -> None:
+        # places at..end of the text, string ends included
+        n = end - at
+        room = np.arange(n) - begin[at:end]  # bytes of the string before each place
+        order = np.arange(n, dtype=np.int32)
+        for k, (size, ranks) in enumerate(_passes(symbols, firsts)):
+            order = order[room[order] >= size] - np.int32(size)
+            order = order[_stable(ranks[at + order])]
+        # those with less than SPAN bytes after them come last: no string starts there
+        rest = np.ones(n, bool)
+        rest[order] = False
+        self.order = np.concatenate([order, np.flatnonzero(rest).astype(np.int32)])
+        place = np.empty(n, np.int32)
+        place[self.order] = np.arange(n, dtype=np.int32)
+        self.before = {}
+        for size in (SPAN % STEP, STEP):
+            to = self.order - np.int32(size)
+            fits = room[self.order] >= size
+            self.before[size] = np.where(fits, place[np.where(fits, to, 0)], -1).astype(np.int32)
+        self.at = at
+
+
+def _passes(symbols: np.ndarray, firsts: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    return [(SPAN % STEP, firsts), *[(STEP, symbols)] * (SPAN // STEP)]
+
+
+def _stable(ranks: np.ndarray) -> np.ndarray:
+    """The stable order of non-negative ranks, by radix passes of 16 bits."""
+    order = np.argsort((ranks & 0xFFFF).astype(np.uint16), kind="stable")
+    if len(ranks) and ranks.max() > 0xFFFF:
+        order = order[np.argsort((ranks >> 16).astype(np.uint16)[order], kind="stable")]
+    return order
+
+
+def _ranks(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of the STEP bytes and of the FIRST bytes from each place of text."""
+    wide = np.concatenate([text, np.zeros(STEP, np.uint8)])
+    words = np.zeros(len(text) + 8, np.uint64)
+    for i in range(8):
+        words[: len(text)] = words[: len(text)] << np.uint64(8) | wide[i : i + len(text)]
+    _, low = np.unique(words >> np.uint64(8 * (8 - SPAN % STEP)), return_inverse=True)
+    _, eight = np.unique(words, return_inverse=True)
+    _, both = np.unique(eight[:-8] << 32 | eight[8:], return_inverse=True)
+    return both.astype(np.int32), low[: len(text)].astype(np.int32)
+
+
+def merged(shards: list[list[bytes]]) -> list[np.ndarray]:
+    """Repeated strings of SPAN bytes: an array of places for each, places counted over all strings of all shards, one byte apart."""
+    strings = [x for shard in shards for x in shard]
+    sizes = np.array([len(x) + 1 for x in strings])
+    text = np.frombuffer(b"\0".join([*strings, b""]), np.uint8)
+    ends = np.cumsum(sizes)
+    begin = np.repeat(ends - sizes, sizes)
+    symbols, firsts = _ranks(text)
+    local, at, parts = np.empty(len(text), np.int64), 0, []
+    for shard in shards:
+        end = at + sum(len(x) + 1 for x in shard)
+        local[at:end] = begin[at:end] - at
+        parts.append(Transform(local, symbols, firsts, at, end))
+        at = end
+    # all shards side by side: the suffix at each place of the transforms, and the place of the suffix made by the symbol before
+    suffix = np.concatenate([p.order + p.at for p in parts])
+    before = {k: np.concatenate([np.where(p.before[k] < 0, -1, p.before[k] + p.at) for p in parts]) for k in (SPAN % STEP, STEP)}
+    interleave, fallen = np.arange(len(text)), np.zeros(len(text), np.int32)
+    for size, ranks in _passes(symbols, firsts):
+        to = before[size][interleave]
+        there = to >= 0
+        to, fallen = to[there], fallen[there]
+        symbol = ranks[suffix[to]]
+        order = _stable(symbol)
+        interleave, symbol, fallen = to[order], symbol[order], fallen[order]
+        # neighbours fall apart if their symbols differ, or the suffixes that these stand before had done so
+        apart = (symbol[1:] != symbol[:-1]) | (fallen[1:] != fallen[:-1])
+        fallen = np.concatenate([[0], np.cumsum(apart)]).astype(np.int32) if len(interleave) else fallen
+    if not len(interleave):
+        return []
+    edge = np.flatnonzero(np.concatenate([[True], fallen[1:] != fallen[:-1], [True]]))
+    many = np.diff(edge) > 1
+    places = suffix[interleave]
+    return [places[a:b] for a, b in zip(edge[:-1][many].tolist(), edge[1:][many].tolist())]
+
+
+def _compared(rows: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
+    """rows (d, s, key, seg), different segments in the order of the tasks they come from: spans (d, key, s, e) that go."""
+    shards, size = [[]], 0
+    for r in rows:
+        if size > SHARD:
+            shards.append([])
+            size = 0
+        shards[-1].append(r[3])
+        size += len(r[3])
+    ends = np.cumsum([len(r[3]) + 1 for r in rows])
+    begins = np.concatenate([[0], ends[:-1]])
+    repeats = merged(shards)
+    if not repeats:
+        return
+    group = np.repeat(np.arange(len(repeats)), [len(x) for x in repeats])
+    place = np.concatenate(repeats)
+    which = np.searchsorted(ends, place, "right")
+    d, s, key = (np.array([r[i] for r in rows], np.int64)[which] for i in range(3))
+    s = s + place - begins[which]
+    order = np.lexsort((key, s, d, group))
+    first = np.concatenate([[True], group[order][1:] != group[order][:-1]])
+    later = order[~first]
+    # strings of a segment that go together are one span
+    which, d, s, key = which[later], d[later], s[later], key[later]
+    order = np.lexsort((s, which))
+    which, d, s, key = which[order], d[order], s[order], key[order]
+    edge = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (s[1:] > s[:-1] + SPAN), [True]]))
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        yield int(d[a]), int(key[a]), int(s[a]), int(s[b - 1]) + SPAN
+
+
+def _gone(strings: DataFrame, parts: int) -> DataFrame:
+    """(d, key, s, e): spans that go, of segments gathered by bucket."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names_of, kinds = ["d", "key", "s", "e"], [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        held: dict[bytes, tuple] = {}
         for batch in batches:
+            ready = batch.filter(batch.column(7).is_null())
+            if ready.num_rows:
+                yield pa.RecordBatch.from_arrays(ready.columns[1:5], names=names_of)
             out = []
-            for d, key, segs, text in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), batch.column(4)):
-                raw, asked = text.as_buffer().to_pybytes(), {}
-                for x in segs:
-                    asked.setdefault(x["s"], set()).add(x["j"])
-                _, s, c, k, q = segments(raw)
-                for i in np.flatnonzero(np.isin(s, list(asked))).tolist():
-                    js = asked[int(s[i])]  # -1: all
-                    for place in q[np.searchsorted(k, i) : np.searchsorted(k, i, "right")].tolist():
-                        for j, core, least, most in parts(int(s[i]), int(c[i]), place):
-                            if j in js or -1 in js:
-                                before, after = raw[max(0, core - SIDE) : core].rjust(SIDE, b"\0"), raw[core + CORE : core + CORE + SIDE].ljust(SIDE, b"\0")
-                                h = digest(raw[core : core + CORE], j)
-                                out.append((h - (1 << 64) if h >> 63 else h, d, key, core, least, most, before + after))
-            cols = list(zip(*out)) if out else [[]] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], ["core", "d", "key", "at", "least", "most", "sides"])
-
-    return rows.mapInArrow(cut, "core long, d long, key int, at long, least int, most int, sides binary")
+            for d, key, s, name, twice, seg in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 5, 6, 7))):
+                if seg is None:
+                    continue
+                have, mine = held.get(seg), (d, s, key, name, twice)
+                if have is None:
+                    held[seg] = mine
+                    continue
+                first, later = (mine, have) if mine[:3] < have[:3] else (have, mine)
+                held[seg] = first
+                if first[:3] != later[:3]:
+                    out.append((later[0], later[2], later[1], later[1] + len(seg)))
+            if out:
+                yield _batch(out, names_of, kinds)
+        by: dict[int, list] = {}
+        for seg, (d, s, key, name, twice) in held.items():
+            by.setdefault(name, []).append((d, s, key, seg, twice))
+        held.clear()
+        some, size = [], 0
+        for rows in by.values():
+            if len(rows) > 1 or rows[0][4]:
+                some += rows
+                size += sum(len(r[3]) + 1 for r in rows)
+                if size > MERGE:
+                    yield from _sent(_compared(some), names_of, kinds)
+                    some, size = [], 0
+        if some:
+            yield from _sent(_compared(some), names_of, kinds)
+
+    return strings.repartition(parts, "bucket").mapInArrow(meet, "d long, key int, s int, e int")
+
+
+def _sent(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    rows = list(rows)
+    for i in range(0, len(rows), 50_000):
+        yield _batch(rows[i : i + 50_000], names, kinds)
+
+
+_LEAST = -(1 << 63)
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -228,34 +453,12 @@ def _numbered(docs: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, d, key, text) and (d, key, s, e): spans that go."""
     keyed = _numbered(docs)
-    by = Window.partitionBy("name", "gone").orderBy("seg", "d", "p")
-    whole = Window.partitionBy("name", "gone")
-    same = F.shiftright(F.lag("seg").over(by), _BITS * PARTS) == F.shiftright("seg", _BITS * PARTS)
-    # one exchange by name serves all windows below
-    rows = _found(keyed).withColumn("name", F.shiftright("m", _NAME)).repartition("name").withColumn("gone", F.col("p") < 0)
-    rows = rows.withColumn("same", F.coalesce(same, F.lit(False))).withColumn("twin", F.coalesce((F.lag("d").over(by) == F.col("d")) & (F.lag("p").over(by) == F.col("p")), F.lit(False)))
-    rows = rows.withColumn("other", F.min("seg").over(whole) != F.max("seg").over(whole))
-    rows = rows.filter("gone or (not (same and twin) and (same or other or p & 64 != 0))").withColumn("gone", F.expr("gone or same"))
-    # of segments that stay, the parts whose bits another of the name has; all parts where the named bytes stand twice
-    mine = f"filter(sequence(0, {PARTS - 1}), j -> shiftright(seg, {_BITS} * j) & {(1 << _BITS) - 1} != 0)"
-    rows = rows.withColumn("j", F.explode(F.expr(f"if(gone or p & 64 != 0, array(-1), {mine})"))).withColumn("bits", F.expr(f"if(j < 0, d + p, (shiftright(seg, {_BITS} * greatest(j, 0)) & {(1 << _BITS) - 1}) + 16 * (shiftright(m, {_MORE} * greatest(j, 0)) & {(1 << _MORE) - 1}))"))
-    # a segment that goes everywhere with all its parts may match one whose named bytes stand twice: these bits are not compared
-    any_twice = F.max(F.expr("not gone and p & 64 != 0")).over(Window.partitionBy("name"))
-    rows = rows.withColumn("met", F.count("*").over(Window.partitionBy("name", "j", "bits"))).withColumn("loose", any_twice).filter("j < 0 or met > 1 or loose")
-    rows = rows.withColumn("p", F.expr("if(p < 0, ~p, p)"))
-    rows = rows.select("gone", "d", F.expr("cast(shiftright(p, 7) & 16777215 as int)").alias("key"), F.expr("shiftright(p, 31)").alias("s"), F.expr("p & 63").alias("n"), "j")
-    rows = materialise(rows, "substrings-rows")
-    whole_gone = rows.filter("gone").select("d", "key", "s", F.expr(f"s + n + {SPAN - 1}").alias("e"))
-    ends = rows.filter("not gone").groupBy("d", "key").agg(F.collect_list(F.struct("s", "j")).alias("segs"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = BUCKETS * parts
+    marks = _marked(keyed, buckets, parts).groupBy("d", "key").agg(F.collect_list("starts").alias("marks"))
     # equal rows of documents are cut once
-    texts = keyed.join(ends, ["d", "key"]).dropDuplicates(["d", "key"]).select("doc_id", "d", "key", "segs", "text")
-    sides = _sides(texts).repartition("core")
-    each = sides.withColumn("t", F.explode(F.sequence("least", "most"))).select("core", "d", "key", F.expr("at - t").alias("s"), "t", F.expr(f"substring(sides, {SIDE + 1} - t, {SIDE})").alias("rest"))
-    by = Window.partitionBy("core", "t", "rest").orderBy("d", "s", "key")
-    later = each.withColumn("before", F.first(F.struct("d", "s", "key")).over(by)).filter("before.d != d or before.s != s or before.key != key")
-    # strings of a part begin at most SIDE bytes apart, so what goes of it is one span
-    later = later.groupBy("core", "d", "key", F.expr("s + t").alias("at")).agg(F.min("s").alias("s"), F.max(F.expr(f"s + {SPAN}")).alias("e"))
-    return keyed, whole_gone.unionByName(later.select("d", "key", "s", "e"))
+    texts = keyed.join(marks, ["d", "key"]).dropDuplicates(["d", "key"]).select("d", "key", "text", "marks")
+    return keyed, _gone(_strings(texts, buckets), parts)
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -296,3 +499,22 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+OP5_SQL = r"""
+with d as (
+  select row_number() over (order by doc_id nulls first) as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select r, unnest(range(0, len(h) // 2 - 99)) as p, h from d),
+o as (select r, p, row_number() over (partition by substr(h, 2 * p + 1, 200) order by r, p) as k from w),
+g as (select r, p, coalesce(p > lag(p) over (partition by r order by p) + 100, true) as new from o where k > 1),
+i as (select r, p, sum(new::int) over (partition by r order by p) as n from g),
+s as (select r, n, min(p) as a, max(p) + 100 as e from i group by r, n),
+c as (select r, a, e, lag(e, 1, 0) over (partition by r order by a) as b from s),
+x as (
+  select d.r, count(c.a) as n_spans, coalesce(sum(c.e - c.a), 0) as gone, coalesce(max(c.e), 0) as last,
+         coalesce(string_agg(substr(h, 2 * c.b + 1, 2 * (c.a - c.b)), '' order by c.a), '') as before
+  from d left join c using (r) group by d.r)
+select doc_id, (len(h) // 2)::bigint as n_bytes, gone::bigint as n_removed, n_spans::bigint as n_spans,
+       sha256(unhex(before || substr(h, 2 * last + 1))) as kept_sha256
+from d join x using (r)
+"""
