@@ -141,8 +141,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def _sketches(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """docs (doc_id, t, text): (doc_id, t, _s_fp) of each row and, in the first row of each t in a task, its sketch (see `similar`)."""
     spark = docs.sparkSession
-    often = common_shingles(docs.select("t", "text"), shingle).toPandas().sort_values("token")
-    known = spark.sparkContext.broadcast((often["token"].to_numpy(np.int64), often["n"].to_numpy(np.int64)))
+    often = common_shingles(docs.select("t", "text"), shingle).toArrow().sort_by("token")
+    known = spark.sparkContext.broadcast((often["token"].to_numpy(), often["n"].to_numpy()))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()

@@ -25,7 +25,7 @@ from .common import fits_broadcast, forget, materialise, ship
 ship(__name__)
 
 #: One in SAMPLE different texts tells which shingles are common: the COMMON most frequent of those seen more than SEEN times.
-SAMPLE, COMMON, SEEN = 16, 1 << 19, 3
+SAMPLE, COMMON, SEEN = 16, 1 << 18, 3
 #: Bytes of a batch that goes back to the JVM; ids of texts to fetch that are broadcast.
 OUT, ASKED = 1 << 21, 1_000_000
 _WORDS = 1 << 16
@@ -113,16 +113,15 @@ class Sketcher:
         return len(members), parities(members), short_parities(members), int((often[order] == 0).sum()), signed[order]
 
 
-def _rows(sketches: DataFrame, similarity: float) -> DataFrame:
-    """(token, t, n, pos, idx, s0, s1, ...) of the first members that more than one text has."""
-    short = [F.col("short")[i].alias(f"s{i}") for i in range(SHORT)]
-    each = sketches.select("t", "n", "rare", *short, F.posexplode("prefix").alias("pos", "token"))
-    idx = F.expr(f"pos < n - ceil({2 * similarity / (1 + similarity)!r}D * n - 1e-9D) + 1").alias("idx")
-    cols = ["token", "t", "n", "pos", "idx", *_SHORT]
-    each = each.select("token", "t", "n", "pos", *_SHORT, idx, (F.col("pos") < F.col("rare")).alias("rare"))
+def _rows(sketches: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """(token, t, pos, g, n, idx, s0, s1, ...) of the first members that more than one text has. groups (t, g, n, s0, s1, ...)."""
+    each = sketches.select("t", "rare", F.posexplode("prefix").alias("pos", "token")).select("token", "t", "pos", (F.col("pos") < F.col("rare")).alias("rare"))
+    cols = ["token", "t", "pos"]
     by = Window.partitionBy("token")  # few rows each: what is frequent is known to be shared and does not pass here
-    rare = each.filter("rare").withColumn("lo", F.min("t").over(by)).withColumn("hi", F.max("t").over(by)).filter("lo != hi")
-    return rare.select(*cols).unionByName(each.filter("not rare").select(*cols))
+    rare = each.filter("rare").select(*cols).withColumn("lo", F.min("t").over(by)).withColumn("hi", F.max("t").over(by)).filter("lo != hi")
+    shared = rare.select(*cols).unionByName(each.filter("not rare").select(*cols)).dropDuplicates(["token", "t"])
+    idx = F.expr(f"pos < n - ceil({2 * similarity / (1 + similarity)!r}D * n - 1e-9D) + 1").alias("idx")
+    return shared.join(groups, "t").select(*cols, "g", "n", idx, *_SHORT)
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -195,7 +194,9 @@ def similar(sketches: DataFrame, texts: DataFrame, groups: DataFrame, components
     sketches (t, n, bits, short, rare, prefix), at least one row for each t; texts (t, text), at least one row for each t; groups (t, g), one
     row for each t; components: (nodes, edges, name) -> (fp, root). No pair is left out but those whose groups are joined already.
     """
-    rows = _rows(sketches, similarity).dropDuplicates(["token", "t"]).join(groups, "t")
+    short = [F.col("short")[i].alias(c) for i, c in enumerate(_SHORT)]
+    sizes = groups.join(sketches.select("t", "n", *short).dropDuplicates(["t"]), "t")
+    rows = _rows(sketches, materialise(sizes, "similar-sizes"), similarity)
     rows = materialise(_mixed(materialise(rows, "similar-rows")), "similar-tokens")
 
     def as_groups(found: DataFrame) -> DataFrame:

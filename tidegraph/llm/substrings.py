@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fits_broadcast, materialise, ship, table
+from .common import fits_broadcast, materialise, ship, small_batches, table
 
 ship(__name__)
 #: Strings of a segment at most; periodic text would make long ones.
@@ -41,23 +41,27 @@ SPAN, K, RUN = 100, 32, 4096
 STEP = 16
 STRETCH = 1 << 20
 #: Names that a task holds before it sends them; buckets for each shuffle partition; bytes of a merge and of a shard.
-HELD, BUCKETS, MERGE, SHARD = 1 << 21, 4, 1 << 23, 1 << 20
+HELD, BUCKETS, MERGE, SHARD = 1 << 20, 4, 1 << 22, 1 << 20
 #: Bytes of rows that go back to the JVM at a time.
 OUT = 1 << 21
 _MIX = 0x9E3779B97F4A7C15
 
 
+def _words(b: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place of b as an integer."""
+    return np.ndarray((max(0, len(b) - 7),), "<u8", np.ascontiguousarray(b), 0, (1,))
+
+
 def _hashes(b: np.ndarray) -> np.ndarray:
     """A hash of each K-byte string of b."""
-    h = b.astype(np.uint64) + np.uint64(1)
-    step, size = np.uint64(_MIX), 1
-    with np.errstate(over="ignore"):
-        while size < K:  # the hash of twice the length from two that touch
-            h = h[:-size] * step + h[size:]
-            step, size = step * step, 2 * size
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
+    w, n, step = _words(b), len(b) - K + 1, _MIX
+    h = w[:n] * np.uint64(step)
+    for at in range(8, K, 8):
+        step = step * _MIX & 0xFFFFFFFFFFFFFFFF
+        h += w[at : at + n] * np.uint64(step)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
     return h
 
 
@@ -210,22 +214,50 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
-_STRINGS = ["bucket", "d", "key", "s", "e", "name", "twice", "seg"]
-_STRING_KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+_STRINGS = ["bucket", "d", "key", "s", "e", "blob"]
+_STRING_KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+
+
+def _packed(rows: list[tuple]) -> bytes:
+    """rows (seg, d, s, key, name, twice) as one compressed blob."""
+    import zstandard
+
+    segs, d, s, key, name, twice = zip(*rows)
+    parts = [np.array(x, k).tobytes() for x, k in ((d, "<i8"), (s, "<u4"), (key, "<i4"), (name, "<u8"), (twice, "u1"), ([len(x) for x in segs], "<u4"))]
+    return zstandard.ZstdCompressor(level=3).compress(len(rows).to_bytes(4, "little") + b"".join(parts) + b"".join(segs))
+
+
+def _unpacked(blob: bytes) -> Iterator[tuple]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n, at, cols = int.from_bytes(raw[:4], "little"), 4, []
+    for k in ("<i8", "<u4", "<i4", "<u8", "u1", "<u4"):
+        x = np.frombuffer(raw, k, n, at)
+        at += x.nbytes
+        cols.append(x.tolist())
+    for d, s, key, name, twice, size in zip(*cols):
+        yield raw[at : at + size], d, s, key, name, bool(twice)
+        at += size
 
 
 def _strings(docs: DataFrame, buckets: int) -> DataFrame:
-    """docs (d, key, text, marks): segments to be compared, one of equal ones in a task, with their bytes; others as spans that go (no bytes)."""
+    """docs (d, key, text, marks): segments to be compared, one of equal ones in a task, packed by bucket; others as spans that go (no blob)."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, tuple] = {}
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
+            by: dict[int, list] = {}
+            while held:
+                seg, mine = held.popitem()
+                by.setdefault(mine[3] % buckets, []).append((seg, *mine))
             out, size = [], 0
-            for seg, (d, s, key, name, twice) in held.items():
-                out.append((name % buckets, d, key, s, s + len(seg), name - (1 << 64) if name >> 63 else name, twice, seg))
-                size += len(seg) + 40
+            for b, rows in by.items():
+                rows.sort(key=lambda r: r[4])
+                out.append((b, None, None, None, None, _packed(rows)))
+                size += len(out[-1][5])
                 if size > OUT:
                     yield _batch(out, _STRINGS, _STRING_KINDS)
                     out, size = [], 0
@@ -237,27 +269,33 @@ def _strings(docs: DataFrame, buckets: int) -> DataFrame:
             for d, key, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 raw, only = text.as_buffer().to_pybytes(), np.frombuffer(b"".join(marks), "<u4").astype(np.int64)
                 names, start, n, twice = segments(raw)
-                mine = np.isin(start, only)
+                mine, end = np.isin(start, only), None
                 for name, s, c, t in zip(names[mine].tolist(), start[mine].tolist(), n[mine].tolist(), twice[mine].tolist()):
                     seg = raw[s : s + c + SPAN - 1]
                     have = held.get(seg)
                     if have is None or (d, s, key) < have[:3]:
                         held[seg] = (d, s, key, name, t)
-                        size += len(seg)
-                    later = (d, s, key) if have is None or (d, s, key) > have[:3] else have[:3]
-                    if have is not None:
-                        gone.append((int(later[0]) % buckets, later[0], later[2], later[1], later[1] + len(seg), None, None, None))
+                        size += len(seg) if have is None else 0
+                    if have is None:
+                        continue
+                    if (d, s, key) < have[:3]:
+                        gone.append([int(have[0]) % buckets, have[0], have[2], have[1], have[1] + len(seg), None])
+                    elif end is not None and s <= end[4]:  # goes on from the span before
+                        end[4] = s + len(seg)
+                    else:
+                        end = [int(d) % buckets, d, key, s, s + len(seg), None]
+                        gone.append(end)
+                if size > 8 * OUT:
+                    yield from flush()
+                    size = 0
                 if len(gone) > 20_000:
                     yield _batch(gone, _STRINGS, _STRING_KINDS)
                     gone = []
-                if size > 16 * OUT:
-                    yield from flush()
-                    held, size = {}, 0
             if gone:
                 yield _batch(gone, _STRINGS, _STRING_KINDS)
         yield from flush()
 
-    return docs.select("d", "key", "text", "marks").mapInArrow(take, "bucket int, d long, key int, s int, e int, name long, twice boolean, seg binary")
+    return docs.select("d", "key", "text", "marks").mapInArrow(take, "bucket int, d long, key int, s int, e int, blob binary")
 
 
 class Transform:
@@ -302,15 +340,20 @@ def _stable(ranks: np.ndarray) -> np.ndarray:
 
 
 def _ranks(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks of the STEP bytes and of the FIRST bytes from each place of text."""
-    wide = np.concatenate([text, np.zeros(STEP, np.uint8)])
-    words = np.zeros(len(text) + 8, np.uint64)
-    for i in range(8):
-        words[: len(text)] = words[: len(text)] << np.uint64(8) | wide[i : i + len(text)]
-    _, low = np.unique(words >> np.uint64(8 * (8 - SPAN % STEP)), return_inverse=True)
-    _, eight = np.unique(words, return_inverse=True)
-    _, both = np.unique(eight[:-8] << 32 | eight[8:], return_inverse=True)
-    return both.astype(np.int32), low[: len(text)].astype(np.int32)
+    """Numbers of the STEP bytes from each place of text, equal for equal bytes only, and the first SPAN % STEP bytes as they are."""
+    w = _words(np.concatenate([text, np.zeros(STEP, np.uint8)]))
+    low, high = w[: len(text)], w[8 : 8 + len(text)]
+    mixed = low * np.uint64(_MIX) ^ (high + (low >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    order = np.argsort(mixed)
+    x, y, z = low[order], high[order], mixed[order]
+    new = z[1:] != z[:-1]
+    if (((x[1:] != x[:-1]) | (y[1:] != y[:-1])) & ~new).any():  # two symbols of one hash
+        order = np.lexsort((low, high))
+        x, y = low[order], high[order]
+        new = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    number = np.zeros(len(text), np.int64)
+    number[order[1:]] = np.cumsum(new)
+    return number.astype(np.int32), (low & np.uint64((1 << 8 * (SPAN % STEP)) - 1)).astype(np.uint32)
 
 
 def merged(shards: list[list[bytes]]) -> list[np.ndarray]:
@@ -387,21 +430,20 @@ def _gone(strings: DataFrame, parts: int) -> DataFrame:
         names_of, kinds = ["d", "key", "s", "e"], [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
         held: dict[bytes, tuple] = {}
         for batch in batches:
-            ready = batch.filter(batch.column(7).is_null())
+            ready = batch.filter(batch.column(5).is_null())
             if ready.num_rows:
                 yield pa.RecordBatch.from_arrays(ready.columns[1:5], names=names_of)
             out = []
-            for d, key, s, name, twice, seg in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 5, 6, 7))):
-                if seg is None:
-                    continue
-                have, mine = held.get(seg), (d, s, key, name, twice)
-                if have is None:
-                    held[seg] = mine
-                    continue
-                first, later = (mine, have) if mine[:3] < have[:3] else (have, mine)
-                held[seg] = first
-                if first[:3] != later[:3]:
-                    out.append((later[0], later[2], later[1], later[1] + len(seg)))
+            for blob in batch.column(5):
+                for seg, *mine in _unpacked(blob.as_buffer()) if blob.is_valid else ():
+                    have = held.get(seg)
+                    if have is None:
+                        held[seg] = mine
+                        continue
+                    first, later = (mine, have) if mine[:3] < have[:3] else (have, mine)
+                    held[seg] = first
+                    if first[:3] != later[:3]:
+                        out.append((later[0], later[2], later[1], later[1] + len(seg)))
             if out:
                 yield _batch(out, names_of, kinds)
         by: dict[int, list] = {}
@@ -452,6 +494,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, d, key, text) and (d, key, s, e): spans that go."""
+    small_batches(docs.sparkSession)
     keyed = _numbered(docs)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = BUCKETS * parts
