@@ -10,15 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegraph.llm import bpe, decontam, pii, quality, simhash
-from tidegraph.llm.common import scratch, table
-
-
-#: Texts may be long: rows of the batches in which they pass between Spark and Python.
-BATCH = "500"
-
-
-def _small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+from tidegraph.llm.common import scratch, small_batches, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least doc_id, of each group of near copies: SimHash within 3 bits over five-word shingles, or a
     similarity of 0.8 or more. Null texts are equal texts, a null doc_id comes last, of repeated rows one stays."""
-    _small_batches(spark)
+    small_batches(spark)
     return simhash.keep_one(docs, shingle=5)
 
 
@@ -45,7 +37,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids) of every document; null and empty texts have no ids."""
-    _small_batches(spark)
+    small_batches(spark)
     out = bpe.encode(docs)
     return out.selectExpr("doc_id", "lang", "source", "cast(size(ids) as bigint) as n_tokens", "ids")
 
