@@ -143,7 +143,7 @@ def _marked(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
                 # planes of bytes that are alike: the compressor of the exchange makes little of most of them
                 place = np.concatenate([(start[at] & 0xFFFF).astype("<u2"), (start[at] >> 16).astype("<u2"), i.astype("<u2"), known[at].astype("<u2")]).tobytes()
                 name = names[at] // np.uint64(buckets)
-                name = (name & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + ((name >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2").tobytes()
+                name = (name & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()  # within a bucket; two of one number only cost a look
                 out.append((b, None, None, place, name, d[who].astype("<i8").tobytes() + key[who].astype("<i4").tobytes()))
                 size += len(place) + len(name)
                 if size > OUT:
@@ -182,12 +182,12 @@ def _marked(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
             low, high, names, who, known = [], [], [], [], []
             d, key, n = [], [], 0
             for place, name, owners in blobs:
-                c, m = len(name) // 6, len(owners) // 12
+                c, m = len(name) // 4, len(owners) // 12
                 p = np.frombuffer(place, "<u2").reshape(4, c).astype(np.int64)
                 low.append(p[0] | p[1] << 16)
                 who.append(p[2] + n)
                 known.append(p[3] != 0)
-                names.append(np.frombuffer(name, "<u4", c).astype(np.int64) | np.frombuffer(name, "<u2", c, 4 * c).astype(np.int64) << 32)
+                names.append(np.frombuffer(name, "<u4"))
                 d.append(np.frombuffer(owners, "<i8", m))
                 key.append(np.frombuffer(owners, "<i4", m, 8 * m))
                 n += m
@@ -224,7 +224,7 @@ def _packed(rows: list[tuple]) -> bytes:
 
     segs, d, s, key, name, twice = zip(*rows)
     parts = [np.array(x, k).tobytes() for x, k in ((d, "<i8"), (s, "<u4"), (key, "<i4"), (name, "<u8"), (twice, "u1"), ([len(x) for x in segs], "<u4"))]
-    return zstandard.ZstdCompressor(level=3).compress(len(rows).to_bytes(4, "little") + b"".join(parts) + b"".join(segs))
+    return zstandard.ZstdCompressor(level=6).compress(len(rows).to_bytes(4, "little") + b"".join(parts) + b"".join(segs))
 
 
 def _unpacked(blob: bytes) -> Iterator[tuple]:
