@@ -57,3 +57,13 @@ def test_prompts(spark):
     flat, both = row.select(agent.flat_prompt(F.col("q"), F.col("c")), agent.graph_prompt(F.col("q"), F.col("f"), F.col("c"))).head()
     assert "[1] c1\n\n[2] c2" in flat and flat.endswith("Câu hỏi: Hỏi?\nTrả lời:")
     assert "- f1" in both and "[2] c2" in both and both.endswith("Câu hỏi: Hỏi?\nTrả lời:")
+
+
+def test_last_writer_wins_beyond_a_thousand_people(spark):
+    people = [(f"p{k}", [], "role", "", "") for k in range(1500)] + [("p0", [], "last", "", "")]
+    case = ("one", "", "", "", [], [], people)
+    schema = "id string, title string, ord long, cases array<struct<name:string,summary:string,date:string,location:string,charges:array<string>,substances:array<struct<name:string,amount:string>>,people:array<struct<name:string,aliases:array<string>,role:string,charge:string,sentence:string>>>>"
+    docs = spark.createDataFrame([("d", "t", 5, [case])], schema)
+    _, edges = graph.case_rows(docs)
+    won = graph.merge_edges(edges).filter("rel = 'INVOLVED_IN' and src = 'p0'").head()
+    assert won["props"]["role"] == "last"

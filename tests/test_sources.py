@@ -31,3 +31,23 @@ def test_html(spark):
 def test_prices(spark):
     log = spark.createDataFrame([("openai/gpt-4o-mini", 1000, 100), ("nobody", 5, 5)], "model string, input_tokens long, output_tokens long")
     assert [round(r["usd"], 9) for r in metering.priced(log, metering.prices(spark)).orderBy("input_tokens").collect()] == [0.0, 0.00021]
+
+
+def test_writer_makes_a_file_a_document(spark, tmp_path):
+    rows = [("a/1", "One", "first body"), ("b", "Two", "second\n\nbody --- with a rule")]
+    docs = spark.createDataFrame(rows, "doc_id string, title string, body string")
+    folder = tmp_path / "out"
+    assert documents.write_markdown(docs, str(folder)) == 2
+    assert sorted(p.name for p in folder.glob("*.md")) == ["a-1.md", "b.md"]
+    (folder / "plain.md").write_text("no front matter here")
+    got = {r["id"]: r["content"] for r in documents.read_markdown(spark, str(folder)).collect()}
+    assert got == {"a/1": "# One\n\nfirst body", "b": "# Two\n\nsecond\n\nbody --- with a rule", "plain": "no front matter here"}
+
+
+def test_manifest_upsert_and_gate(spark):
+    old = spark.createDataFrame([("a", "old"), ("b", "stays")], "doc_id string, title string")
+    new = spark.createDataFrame([("a", "new"), ("c", "more")], "doc_id string, title string")
+    got = [(r["doc_id"], r["title"]) for r in documents.upsert_manifest(old, new).collect()]
+    assert got == [("a", "new"), ("b", "stays"), ("c", "more")]
+    pages = spark.createDataFrame([("x" * 80, "text/html; charset=utf-8"), ("x" * 79, "text/html"), (None, "text/plain"), ("y" * 90, "image/png")], "content string, kind string")
+    assert documents.content_gate(pages).count() == 2 and documents.content_gate(pages, kind="kind").count() == 1

@@ -19,20 +19,26 @@ EDGE = ("src_label", "src", "rel", "dst_label", "dst", "props")
 NO_PROPS = "map<string,string>"
 
 
+def _order(ord: Column | list[Column] | None) -> Column:
+    """The place of a write as numbers that are compared one after the other."""
+    parts = [F.lit(0)] if ord is None else ord if isinstance(ord, list) else [ord]
+    return F.array(*[p.cast("long") for p in parts])
+
+
 def node(label: str, key: Column, name: Column | None = None, doc_id: Column | None = None, aliases: Column | None = None, props: Column | None = None, ord: Column | None = None) -> list[Column]:
     """Columns of a node row; without a name the key is shown."""
     null = F.lit(None).cast("string")
     return [
         F.lit(label).alias("label"), key.cast("string").alias("key"), (null if name is None else name).alias("name"), (null if doc_id is None else doc_id).alias("doc_id"),
         (F.lit(None).cast("array<string>") if aliases is None else aliases).alias("aliases"), (F.lit(None).cast(NO_PROPS) if props is None else props).alias("props"),
-        (F.lit(0) if ord is None else ord).cast("long").alias("ord"),
+        _order(ord).alias("ord"),
     ]
 
 
 def edge(src_label: str, src: Column, rel: str, dst_label: str, dst: Column, props: Column | None = None, ord: Column | None = None) -> list[Column]:
     return [
         F.lit(src_label).alias("src_label"), src.cast("string").alias("src"), F.lit(rel).alias("rel"), F.lit(dst_label).alias("dst_label"), dst.cast("string").alias("dst"),
-        (F.lit(None).cast(NO_PROPS) if props is None else props).alias("props"), (F.lit(0) if ord is None else ord).cast("long").alias("ord"),
+        (F.lit(None).cast(NO_PROPS) if props is None else props).alias("props"), _order(ord).alias("ord"),
     ]
 
 
@@ -74,13 +80,13 @@ def case_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Node and edge rows of docs (id, title, ord, cases): cases as parsed, their charges linked. Later documents, cases and people win."""
     each = docs.select(F.col("id").alias("doc_id"), "title", "ord", F.posexplode("cases").alias("i", "c"))
     name = F.coalesce(F.nullif("c.name", F.lit("")), F.col("title"), F.col("doc_id"))
-    each = each.withColumn("name", name).withColumn("ord", F.col("ord") * 1_000_000 + F.col("i") * 1_000)
+    each = each.withColumn("name", name).withColumn("k", F.lit(0))
     empty = lambda x: F.coalesce(F.col(x), F.lit(""))
-    people = each.select("name", "ord", F.posexplode("c.people").alias("k", "p")).filter("p.name != ''").withColumn("ord", F.col("ord") + F.col("k"))
-    substances = each.select("name", "ord", F.posexplode("c.substances").alias("k", "s")).filter("s.name != ''").withColumn("ord", F.col("ord") + F.col("k"))
-    charges = each.select("name", "ord", F.explode("c.charges").alias("crime"))
+    people = each.select("name", "ord", "i", F.posexplode("c.people").alias("k", "p")).filter("p.name != ''")
+    substances = each.select("name", "ord", "i", F.posexplode("c.substances").alias("k", "s")).filter("s.name != ''")
+    charges = each.select("name", "ord", "i", "k", F.explode("c.charges").alias("crime"))
     places = each.filter("c.location != ''")
-    o = F.col("ord")
+    o = [F.col("ord"), F.col("i"), F.col("k")]
     nodes = [
         each.select(*node("Case", F.col("name"), F.col("name"), F.col("doc_id"), None, F.create_map(F.lit("summary"), empty("c.summary"), F.lit("date"), empty("c.date"), F.lit("source_title"), empty("title")), o)),
         places.select(*node("Location", F.col("c.location"), F.col("c.location"), ord=o)),
@@ -108,8 +114,9 @@ def build(articles: DataFrame, cases: DataFrame | None = None) -> tuple[DataFram
     """Nodes and edges of both corpora; law first, so cases win where both write."""
     nodes, edges = law_rows(articles)
     if cases is not None:
-        more_nodes, more_edges = case_rows(cases.withColumn("ord", F.col("ord") + 1_000_000))
-        nodes, edges = nodes.unionByName(more_nodes), edges.unionByName(more_edges)
+        more = case_rows(cases)
+        after = lambda rows, k: rows.withColumn("ord", F.concat(F.array(F.lit(k).cast("long")), "ord"))
+        nodes, edges = (after(x, 0).unionByName(after(y, 1)) for x, y in zip((nodes, edges), more))
     return merge_nodes(nodes), merge_edges(edges)
 
 

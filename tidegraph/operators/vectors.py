@@ -45,16 +45,20 @@ class MockEmbedder:
         self.dim = dim
 
     def raw(self, text: Column | str) -> Column:
-        """Before it is brought to length 1. Only the digest's low 32 bits outlive the first step, and no product passes 2^53."""
+        """Before it is brought to length 1. Only the digest's low 32 bits outlive the first step; after i steps the state is
+        a_i * seed + c_i modulo 2^32, so the steps need not follow each other. The seed is halved, that no product passes 2^49."""
         seed = F.conv(F.right(F.md5(_c(text).cast("binary")), F.lit(8)), 16, 10).cast("long")
-        start = F.struct(seed.alias("s"), F.array().cast("array<double>").alias("v"))
-        after = lambda s: (s * MULTIPLIER + INCREMENT).bitwiseAND(F.lit(MASK).cast("long"))
+        a, c, steps = 1, 0, []
+        for _ in range(self.dim):
+            a, c = a * MULTIPLIER & MASK, (c * MULTIPLIER + INCREMENT) & MASK
+            steps.append(F.struct(F.lit(a).cast("long").alias("a"), F.lit(c).cast("long").alias("c")))
+        mask, half = F.lit(MASK).cast("long"), F.lit(0xFFFF).cast("long")
 
-        def step(state: Column, _: Column) -> Column:
-            s = after(state["s"])
-            return F.struct(s.alias("s"), F.concat(state["v"], F.array(s / F.lit(float(MASK)) * 2 - 1)).alias("v"))
+        def state(s: Column, x: Column) -> Column:
+            high = F.shiftleft((x["a"] * F.shiftright(s, 16)).bitwiseAND(half), 16)
+            return (x["a"] * s.bitwiseAND(half) + high + x["c"]).bitwiseAND(mask) / F.lit(float(MASK)) * 2 - 1
 
-        return F.aggregate(F.sequence(F.lit(1), F.lit(self.dim)), start, step, lambda x: x["v"])
+        return F.transform(F.array(seed), lambda s: F.transform(F.array(*steps), lambda x: state(s, x)))[0]
 
     def __call__(self, text: Column | str) -> Column:
         def unit(v: Column) -> Column:

@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from ..functions.text import slugify, strip, yaml_value
 from ..plans.tables import in_order
 
+ship(__name__)
+
 # The manifest's columns, in order.
 MANIFEST = ("doc_id", "file_path", "title", "source_url", "retrieved_at", "document_version", "license_or_permission")
 LEAST_CHARS = 80
+TEXT_KINDS = ("text/html", "text/plain")
 
 
 def parse_markdown(raw: DataFrame) -> DataFrame:
-    """raw (file, value): (id, content, metadata, ord). The last of repeated keys wins; the id is doc_id, else the file's stem."""
-    cut = F.split("value", "---", 3)
+    """raw (file, value): (id, content, metadata, ord). The last of repeated keys wins; the id is doc_id, else the file's stem.
+
+    A file that does not begin with front matter is all content, without metadata.
+    """
+    whole = F.split("value", "---", 3)
+    cut = F.when((F.size(whole) == 3) & (strip(whole[0]) == ""), whole).otherwise(F.array(F.lit(""), F.lit(""), F.col("value")))
     line = r'(?md)^(\w+): (".*")$'
     keys, values = (F.regexp_extract_all(cut[1], F.lit(line.replace(r"\w", r"[\p{L}\p{N}_]")), F.lit(k)) for k in (1, 2))
     plain = F.transform(values, lambda v: F.from_json(F.concat(F.lit('{"v": '), v, F.lit("}")), "struct<v:string>")["v"])
@@ -52,9 +63,37 @@ def markdown(title: str = "title", body: str = "body", meta: tuple[str, ...] = (
     return F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n\n# "), F.col(title), F.lit("\n\n"), strip(body), F.lit("\n"))
 
 
-def write_markdown(docs: DataFrame, folder: str, **parts) -> None:
-    """A text file a partition; read_markdown wants a file a document, which is one to a partition here."""
-    docs.select(markdown(**parts).alias("value")).repartition(docs.count()).write.text(folder, lineSep="")
+def write_markdown(docs: DataFrame, folder: str, **parts) -> int:
+    """One file `<doc_id>.md` in folder (a path or URI) for each row, written where the rows lie; the number of files.
+
+    Ids are made safe for file names; a later attempt of a task writes the same file again. Ids must differ.
+    """
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(folder)
+        store.create_dir(top, recursive=True)
+        for batch in batches:
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with store.open_output_stream(f"{top}/{name}.md") as out:
+                    out.write(value.encode())
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["name"])
+
+    name = F.regexp_replace(F.col("doc_id").cast("string"), r"[^\p{L}\p{N}._-]+", "-").alias("name")
+    return docs.select(name, markdown(**parts).alias("value")).mapInArrow(put, "name string").count()
+
+
+def upsert_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The manifest after new rows came: they replace those of their doc_id."""
+    both = manifest(old).withColumn("_o", F.lit(0)).unionByName(manifest(new).withColumn("_o", F.lit(1)))
+    return manifest(latest(both, "_o"))
+
+
+def content_gate(docs: DataFrame, content: str = "content", kind: str | None = None) -> DataFrame:
+    """Documents whose extracted content has at least LEAST_CHARS characters and, if kind names a column, whose type is a text page."""
+    out = docs.filter(F.length(strip(F.coalesce(F.col(content), F.lit("")))) >= LEAST_CHARS)
+    return out if kind is None else out.filter(F.lower(F.trim(F.split_part(kind, F.lit(";"), F.lit(1)))).isin(*TEXT_KINDS))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
