@@ -24,35 +24,43 @@ def normal_forms(known: DataFrame, name: str = "name", order: str = "ord", norma
 def link(mentions: DataFrame, known: DataFrame, mention: str = "mention", name: str = "name", order: str = "ord", fuzzy: bool = True, normalize: Callable[[Column], Column] = normalize_name) -> DataFrame:
     """mentions and `linked`, the canonical name or null. Only distinct mentions without an exact match are compared.
 
-    The names are a dimension: they are collected once, and refused beyond MAX_NAMES.
+    Names go to the workers SLICE at a time; the best of all slices counts.
     """
     forms = normal_forms(known, name, order, normalize)
     keyed = mentions.withColumn("_form", normalize(F.col(mention)))
     exact = keyed.join(forms.select(F.col("form").alias("_form"), F.col("original").alias("_exact")), "_form", "left")
     if not fuzzy:
         return exact.withColumn("linked", F.when(F.col("_form") != "", F.col("_exact"))).drop("_form", "_exact")
-    rows = forms.orderBy("place").limit(MAX_NAMES + 1).collect()
-    if len(rows) > MAX_NAMES:
-        raise ValueError(f"more than {MAX_NAMES} names to compare with")
-    names, originals = [r["form"] for r in rows], {r["form"]: r["original"] for r in rows}
-    closest = _closest(names, originals)
-    open_forms = exact.filter("_exact is null and _form is not null and _form != ''").select("_form").distinct().withColumn("_near", closest("_form"))
-    out = exact.join(open_forms, "_form", "left")
+    open_forms = exact.filter("_exact is null and _form is not null and _form != ''").select("_form").distinct()
+    slices, near = -(-forms.count() // SLICE), None
+    for k in range(slices):  # so many names at a time are compared with all open forms
+        some = [r["form"] for r in forms.filter(F.pmod(F.xxhash64("form"), F.lit(slices)) == k).select("form").collect()]
+        found = open_forms.withColumn("x", _closest(some)("_form")).filter("x.form is not null")
+        near = found if near is None else near.unionByName(found)
+    if near is None:
+        return exact.withColumn("linked", F.when(F.col("_form") != "", F.col("_exact"))).drop("_form", "_exact")
+    best = near.groupBy("_form").agg(F.max("x")["form"].alias("form")).join(forms.select("form", F.col("original").alias("_near")), "form").drop("form")
+    out = exact.join(best, "_form", "left")
     return out.withColumn("linked", F.when(F.col("_form") != "", F.coalesce("_exact", "_near"))).drop("_form", "_exact", "_near")
 
 
-MAX_NAMES = 20_000
+#: Names that go to the workers at a time.
+SLICE = 20_000
 
 
-def _closest(names: list[str], originals: dict[str, str]):
+def _closest(names: list[str]):
+    """forms -> (ratio, form) of the closest name, of equally close ones the greatest."""
     cutoff = CUTOFF
 
-    @F.pandas_udf("string")
-    def of(forms: pd.Series) -> pd.Series:
+    @F.pandas_udf("ratio double, form string")
+    def of(forms: pd.Series) -> pd.DataFrame:
         import difflib
 
-        best = lambda form: next(iter(difflib.get_close_matches(form, names, n=1, cutoff=cutoff)), None)
-        return forms.map(lambda form: originals.get(best(form)))
+        rows = []
+        for form in forms:
+            best = next(iter(difflib.get_close_matches(form, names, n=1, cutoff=cutoff)), None)
+            rows.append((None, None) if best is None else (difflib.SequenceMatcher(None, best, form).ratio(), best))
+        return pd.DataFrame(rows, columns=["ratio", "form"])
 
     return of
 
