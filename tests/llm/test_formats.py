@@ -166,6 +166,26 @@ def test_chat(spark, tmp_path, rows):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_ties_go_by_text_as_it_is(spark, tmp_path):
+    said = [("#", "$"), ("a\t", "a"), ("\\\\", "a"), ("<", "A"), ("", "x")]
+    rows = [(k, 0, "assistant", t, "k") for k, pair in enumerate(said) for t in pair[::-1]]
+    table(spark, rows, "conv_id long, turn long, role string, text string, form string", f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r["loss_sha256"] for r in chat.op9_chat(spark, str(tmp_path)).collect()}
+    for k, pair in enumerate(said):
+        a, b = sorted(pair)
+        # "a" before a longer text that begins with it
+        assert got[k] == hashlib.sha256((a + b).encode()).hexdigest(), pair
+
+
+def test_typed_contents_that_are_odd(spark):
+    rows = [(1, 0, "user", "not json [", ""), (1, 1, "user", '{"type": "text"}', ""), (1, 2, "assistant", '["plain", 7, {"type": "video", "ref": "v.mp4"}, {"type": "image", "width": "wide"}]', ""), (1, 3, "user", None, "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, form2 string")
+    got = {r["turn"]: r["form"] for r in chat.format_turns(df, typed=True).collect()}
+    assert got[0]["segment"] == "### user: not json [ </turn>\n" and got[1]["segment"] == '### user: {"type": "text"} </turn>\n' and got[3]["segment"] == "### user:  </turn>\n"
+    assert got[2]["segment"] == "### assistant: plain7<video:0><image:1> </turn>\n"
+    assert [(x["kind"], x["tokens"]) for x in got[2]["attached"]] == [("video", 0), ("image", 170)] and "v.mp4" in got[2]["attached"][0]["ref"]
+
+
 def test_parts():
     made = chat.format_turn("assistant", [{"type": "text", "text": "see <"}, {"type": "image", "ref": "i.png", "width": 1024, "height": 100}, {"type": "audio", "seconds": 2.5}, {"type": "document", "pages": 3, "ref": "d"}, {"type": "text", "text": "ok"}])
     assert made["segment"] == "### assistant: see \\<<image:0><audio:1><document:2>ok </turn>\n"

@@ -11,6 +11,9 @@ made as they stream by, so a conversation of any length takes bounded memory.
 
 Cases: a null text is empty; a null role is the empty role; turns that tie are ordered by role, then text; repeated rows
 are turns of their own; null conversation ids are one conversation; an empty table gives none; other columns are not kept.
+Of typed contents: what is no JSON list of parts is one text part, whole; an element that is no object is its text; a part of
+an unknown kind is an attachment of that kind, without tokens, whose reference is the part as JSON; figures that are no
+numbers count as absent.
 """
 
 import hashlib
@@ -39,6 +42,26 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(lambda m: m[1], text)
 
 
+def _number(part: dict, name: str, absent: float) -> float:
+    """A figure of a part, not negative; else what stands for an absent one."""
+    try:
+        x = float(part.get(name) or absent)
+    except (TypeError, ValueError):
+        return absent
+    return x if 0 <= x < 1e15 else absent
+
+
+def parts_of(content: str) -> list[dict]:
+    """The parts that a typed content lists."""
+    try:
+        found = json.loads(content or "[]")
+    except ValueError:
+        found = None
+    if not isinstance(found, list):
+        return [{"type": "text", "text": content}]
+    return [x if isinstance(x, dict) else {"type": "text", "text": x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)} for x in found]
+
+
 class Flatten:
     """Visits parts in order; `out` is the flattened text, `spans` its text parts, `attached` the references."""
 
@@ -46,32 +69,36 @@ class Flatten:
         self.out, self.size, self.spans, self.attached = [], 0, [], []
 
     def visit(self, part: dict) -> None:
-        getattr(self, f"visit_{part.get('type', 'text')}", self.visit_text)(part)
+        kind = part.get("type") or "text"
+        getattr(self, f"visit_{kind}", self.visit_other)(part)
 
     def _put(self, text: str) -> None:
         self.out.append(text)
         self.size += len(text)
 
     def visit_text(self, part: dict) -> None:
-        text = escape(part.get("text") or "")
+        text = escape(str(part.get("text") or ""))
         if text:
             self.spans.append((self.size, self.size + len(text)))
             self._put(text)
 
     def _attach(self, part: dict, tokens: int) -> None:
         k = len(self.attached)
-        self._put(f"<{part['type']}:{k}>")
-        self.attached.append({"kind": part["type"], "order": k, "ref": part.get("ref") or "", "tokens": tokens})
+        self._put(f"<{escape(str(part['type']), _ESCAPE_ROLE)}:{k}>")
+        self.attached.append({"kind": str(part["type"]), "order": k, "ref": str(part.get("ref") or ""), "tokens": tokens})
+
+    def visit_other(self, part: dict) -> None:
+        self._attach({"type": part["type"], "ref": json.dumps(part, ensure_ascii=False, sort_keys=True)}, 0)
 
     def visit_image(self, part: dict) -> None:
-        wide, high = (max(1, -(-int(part.get(x) or 1) // 512)) for x in ("width", "height"))
+        wide, high = (max(1, int(-(-_number(part, x, 1) // 512))) for x in ("width", "height"))
         self._attach(part, PER_TILE * wide * high)
 
     def visit_audio(self, part: dict) -> None:
-        self._attach(part, int(-(-PER_SECOND * float(part.get("seconds") or 0) // 1)))
+        self._attach(part, int(-(-PER_SECOND * _number(part, "seconds", 0) // 1)))
 
     def visit_document(self, part: dict) -> None:
-        self._attach(part, PER_PAGE * int(part.get("pages") or 1))
+        self._attach(part, PER_PAGE * int(_number(part, "pages", 1)))
 
 
 def format_turn(role: str, parts: list[dict]) -> dict:
@@ -95,7 +122,7 @@ def format_turns(turns: DataFrame, content: str = "text", typed: bool = False) -
         rows = []
         for role, x in zip(roles, contents):
             x = x if isinstance(x, str) else ""
-            made = format_turn(role if isinstance(role, str) else "", json.loads(x or "[]") if typed else [{"type": "text", "text": x}])
+            made = format_turn(role if isinstance(role, str) else "", parts_of(x) if typed else [{"type": "text", "text": x}])
             rows.append((made["segment"], [{"a": a, "b": b} for a, b in made["loss"]], made["attached"], made["expanded_tokens"]))
         return pd.DataFrame(rows, columns=["segment", "loss", "attached", "expanded_tokens"])
 
@@ -141,7 +168,9 @@ def digests(formatted: DataFrame) -> DataFrame:
             yield _frame([row()])
 
     dealt = formatted.select("conv_id", "turn", "role", "form.segment", "form.loss").repartition("conv_id")
-    dealt = dealt.sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), "segment")
+    # ties go by role, then by text as it was before it was escaped
+    said = F.regexp_replace(F.expr(f"left(segment, length(segment) - {len(CLOSE)})"), r"(?s)\\(.)", "$1")
+    dealt = dealt.sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), F.coalesce("role", F.lit("")), said)
     return dealt.select("conv_id", "segment", "loss").mapInPandas(stream, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
