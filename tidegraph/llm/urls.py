@@ -7,11 +7,11 @@ stretch of n letters is charged as one word of probability 10 / (total * 10^n).
 smoothing scores the words; it learns from the URLs that rules have judged, all of them, counted by Spark. Without a
 judged URL of each class, or at equal scores, the verdict is allow.
 
-Sizes: the vocabulary is the WORDS most frequent words (ties by word), the token table the TOKENS most frequent; both are
-parameters of the model and bound what is shipped. Counts cover all rows.
+Sizes: the vocabulary is the most frequent words, the token table the most frequent tokens, in whole classes of equal counts, at
+most WORDS and TOKENS of them; both are parameters of the model and bound what is shipped. Counts cover all rows.
 
 Cases: a null URL or one without `://` has empty host and path; other characters stay as they are; very long hosts are
-segmented in linear time (words of at most LONGEST letters); repeated rows are each judged; an empty table gives none;
+segmented in time linear in their length (times that of the longest word known); repeated rows are each judged; an empty table gives none;
 other columns pass through `judge` (names host, path, rule, verdict are taken).
 """
 
@@ -28,7 +28,8 @@ from .common import ascii_lower, kept_by_worker, ship, table
 ship(__name__)
 #: (rule, verdict): host, then the start of the path from its first slash.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
-WORDS, TOKENS, LONGEST = 50_000, 50_000, 24
+#: UNKNOWN: letters that one unknown word may have, where no known word is longer.
+WORDS, TOKENS, UNKNOWN = 50_000, 50_000, 24
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -49,26 +50,39 @@ def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
     return out.withColumn("rule", found)
 
 
+def _frequent(counts: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows of counts with the largest n, as many whole classes of equal n as make at most `most` rows: told by the sizes of
+    the classes, so that no task sends more than its share of them."""
+    sizes = sorted(((r["n"], r["rows"]) for r in counts.groupBy(F.col(n).alias("n")).agg(F.count("*").alias("rows")).collect()), reverse=True)
+    least, total = None, 0
+    for value, rows in sizes:
+        if total + rows > most:
+            break
+        least, total = value, total + rows
+    return counts.filter(F.col(n) >= least) if least is not None else counts.limit(0)
+
+
 def word_counts(pages: DataFrame, words: int = WORDS) -> tuple[dict[str, int], int]:
     """The most frequent words of all titles, and the number of all words."""
     title = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title>([^<]*)", 1))
     each = pages.select(F.explode(F.split(title, r"(?U)[^\p{L}]+")).alias("w")).filter("w != ''").groupBy("w").agg(F.count("*").alias("n"))
     total = each.agg(F.sum("n")).head()[0] or 0
-    return {r["w"]: r["n"] for r in each.orderBy(F.desc("n"), "w").limit(words).collect()}, total
+    return {r["w"]: r["n"] for r in _frequent(each, "n", words).collect()}, total
 
 
 class Segmenter:
     def __init__(self, counts: dict[str, int], total: int) -> None:
         total = max(total, 1)
-        self.cost = {w: -math.log(n / total) for w, n in counts.items() if len(w) <= LONGEST}
-        self.unknown = [0.0] + [math.log(total) - math.log(10) + n * math.log(10) for n in range(1, LONGEST + 1)]
+        self.cost = {w: -math.log(n / total) for w, n in counts.items()}
+        self.longest = max([UNKNOWN, *map(len, counts)])
+        self.unknown = [0.0] + [math.log(total) - math.log(10) + n * math.log(10) for n in range(1, self.longest + 1)]
 
     def words(self, text: str) -> list[str]:
         """The cheapest cut of one run of letters; of equally cheap ones, that with the longest last words."""
         cost, unknown, best, back = self.cost, self.unknown, [0.0], [0]
         for end in range(1, len(text) + 1):
             least, at = math.inf, end - 1
-            for begin in range(max(0, end - LONGEST), end):
+            for begin in range(max(0, end - self.longest), end):
                 c = best[begin] + cost.get(text[begin:end], unknown[end - begin])
                 if c < least:
                     least, at = c, begin
@@ -116,7 +130,7 @@ def train(judged: DataFrame, tokens: int = TOKENS) -> tuple[dict[str, tuple[int,
     docs = judged.agg(F.sum((~is_block).cast("long")), F.sum(is_block.cast("long"))).head()
     each = judged.select(is_block.alias("b"), F.explode("tokens").alias("t")).groupBy("t").agg(F.sum((~F.col("b")).cast("long")).alias("a"), F.sum(F.col("b").cast("long")).alias("b"))
     sums = each.agg(F.sum("a"), F.sum("b")).head()
-    kept = each.orderBy(F.desc(F.col("a") + F.col("b")), "t").limit(tokens).collect()
+    kept = _frequent(each.withColumn("n", F.col("a") + F.col("b")), "n", tokens).collect()
     return {r["t"]: (r["a"], r["b"]) for r in kept}, (sums[0] or 0, sums[1] or 0), (docs[0] or 0, docs[1] or 0)
 
 
