@@ -63,7 +63,8 @@ class MockEmbedder:
     def __call__(self, text: Column | str) -> Column:
         def unit(v: Column) -> Column:
             norm = F.sqrt(_sum(F.transform(v, lambda x: x * x)))
-            return F.transform(v, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
+            by = F.array(F.when(norm == 0, 1.0).otherwise(norm))  # once a vector, not once an element
+            return F.transform(by, lambda n: F.transform(v, lambda x: x / n))[0]
 
         return F.transform(F.array(self.raw(text)), unit)[0]
 
