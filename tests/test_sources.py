@@ -51,3 +51,23 @@ def test_manifest_upsert_and_gate(spark):
     assert got == [("a", "new"), ("b", "stays"), ("c", "more")]
     pages = spark.createDataFrame([("x" * 80, "text/html; charset=utf-8"), ("x" * 79, "text/html"), (None, "text/plain"), ("y" * 90, "image/png")], "content string, kind string")
     assert documents.content_gate(pages).count() == 2 and documents.content_gate(pages, kind="kind").count() == 1
+
+
+def test_law_and_news_pages(spark):
+    law = '<p>x</p><div class="mw-parser-output"><p>intro</p><h3>Điều 1. Tội A</h3><p>một</p><p>↑ note</p><h3>Điều 22.  B </h3><p>hai</p><p>Chú thích</p><p>gone</p></div><div class="printfooter">Điều 3. no'
+    rows = html.law_pages(spark.createDataFrame([("u", "BLHS", "v", law)], "url string, law string, version string, html string")).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["title"], r["body"]) for r in rows] == [("blhs-dieu-1", "Điều 1 BLHS. Tội A", "Điều 1. Tội A\nmột"), ("blhs-dieu-22", "Điều 22 BLHS. B", "Điều 22.  B\nhai")]
+    page = '<h1 data-role="title">Vụ &amp; Ma túy</h1><h2 data-role="sapo">lead</h2><i itemprop="datePublished" datetime="2026"></i><div data-role="content"><p>' + "y" * 300 + "</p><p>short</p><p>" + "z" * 41 + '</p></div detail-author-bot><p>' + "w" * 99
+    pages = spark.createDataFrame([("/a-b-123.htm", "u", page + "</p>"), ("/c-1.htm", "u", page.replace("y" * 300, "y")), ("/d-2.htm", "u", None)], "path string, url string, html string")
+    got = html.news_pages(pages, "ma túy").collect()
+    assert [tuple(r) for r in got] == [("news-123", "Vụ & Ma túy", "u", "2026", "lead\n\n" + "y" * 300 + "\n\n" + "z" * 41)]
+    link = lambda *n: "".join(f'<a href="/x-{k:015d}.htm">' for k in n)
+    lists = spark.createDataFrame([(0, link(1, 2, 1)), (1, link(2, 3, 4)), (2, link(5))], "ord int, html string")
+    assert [r["path"][-5] for r in html.news_links(lists, 2).orderBy("place").collect()] == ["1", "2", "3", "4"]
+    assert html.news_links(lists, 1).count() == 2 and html.news_links(lists, 9).count() == 5
+
+
+def test_metadata_keeps_extra_columns(spark):
+    rows = spark.createDataFrame([("http://h/a/my%20page.html", "", "x", "", "no"), ("http://h/", "T", None, "2", "no")], "url string, title string, publisher string, document_version string, Bad string")
+    got = documents.page_metadata(rows, ("publisher", "Bad", "title")).collect()
+    assert [(r["doc_id"], r["title"], r["document_version"], r["extra"]) for r in got] == [("my-20page", "My 20page", "not-stated", {"publisher": "x"}), ("t", "T", "2", {})]

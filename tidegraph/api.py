@@ -2,11 +2,12 @@
 
 from dataclasses import dataclass, field
 
-from .operators.agent import GraphRAGAgent, KnowledgeBaseAgent
+from .operators.agent import GraphRAGAgent, KnowledgeBaseAgent, benchmark
 from .operators.chunking import ChunkingStrategyComparator, FixedSizeChunker, RecursiveChunker, SentenceChunker
 from .operators.context import context
-from .operators.graph import build as build_graph
-from .operators.linking import link_entity
+from .operators.build import GraphStore, build_graph, self_check
+from .operators.linking import link_cases, link_entity
+from .operators.report import report
 from .operators.vectors import (
     EMBEDDING_PROVIDER_ENV,
     GEMINI_EMBEDDING_MODEL,
@@ -38,5 +39,5 @@ def documents(spark, docs):
 __all__ = [
     "Document", "documents", "FixedSizeChunker", "SentenceChunker", "RecursiveChunker", "ChunkingStrategyComparator", "compute_similarity", "EmbeddingStore",
     "KnowledgeBaseAgent", "GraphRAGAgent", "MockEmbedder", "LocalEmbedder", "OpenAIEmbedder", "GeminiEmbedder", "_mock_embed", "LOCAL_EMBEDDING_MODEL",
-    "OPENAI_EMBEDDING_MODEL", "GEMINI_EMBEDDING_MODEL", "EMBEDDING_PROVIDER_ENV", "link_entity", "build_graph", "context",
+    "OPENAI_EMBEDDING_MODEL", "GEMINI_EMBEDDING_MODEL", "EMBEDDING_PROVIDER_ENV", "link_entity", "link_cases", "build_graph", "GraphStore", "self_check", "benchmark", "report", "context",
 ]

@@ -5,6 +5,7 @@ Patterns carry (?U), for Unicode classes, and (?d), for \n as the only line end,
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -148,6 +149,12 @@ def clause_fact(article: Column, title: Column, number: Column, text: Column) ->
     return F.concat(F.lit("["), article, F.lit(" - "), title, F.lit("] khoản "), number.cast("string"), F.lit(": "), text)
 
 
+def fill(template: str, **slots: Column) -> Column:
+    """The template with a column in each of its slots, which are names in braces; other braces stay."""
+    pieces = re.split(rf"\{{({'|'.join(slots)})\}}", template)
+    return F.concat(*[slots[x] if i % 2 else F.lit(x) for i, x in enumerate(pieces)])
+
+
 def numbered(items: Column | str) -> Column:
     """'[1] first', blank line, '[2] second' and so on."""
     return F.array_join(F.transform(_c(items), lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x)), "\n\n")

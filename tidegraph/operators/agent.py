@@ -7,41 +7,49 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import numbered
+from ..functions.text import fill, keyword_recall, numbered
 from .context import context
 from .linking import ordered_distinct
+from .metering import USAGE
 from .vectors import top_k_batch
 
-# The wording of prompts, from which answers and token counts follow.
-FLAT_PROMPT = ("Trả lời câu hỏi chỉ dựa trên ngữ cảnh. Nếu ngữ cảnh không đủ, nói không đủ thông tin.\n\nNgữ cảnh:\n", "\n\nCâu hỏi: ", "\nTrả lời:")
-GRAPH_PROMPT = (
-    "Trả lời câu hỏi chỉ dựa trên ngữ cảnh (đoạn văn bản và dữ kiện từ knowledge graph).\nNêu rõ số Điều luật khi có. Nếu ngữ cảnh không đủ, nói không đủ thông tin.\n\nDữ kiện knowledge graph:\n",
-    "\n\nĐoạn văn bản:\n", "\n\nCâu hỏi: ", "\nTrả lời:",
-)
-JUDGE_PROMPT = (
-    'Chấm câu trả lời so với đáp án chuẩn. Trả về JSON {"score": 0|1|2, "reason": "..."}:\n2 = đúng và đủ các ý chính, 1 = đúng một phần, 0 = sai hoặc không trả lời được.\nCâu hỏi: ',
-    "\nĐáp án chuẩn: ", "\nCâu trả lời: ",
-)
+# The wording of prompts, from which answers and token counts follow. Names in braces are slots.
+FLAT_PROMPT = """Trả lời câu hỏi chỉ dựa trên ngữ cảnh. Nếu ngữ cảnh không đủ, nói không đủ thông tin.
 
+Ngữ cảnh:
+{chunks}
 
-def _weave(words: tuple[str, ...], values: list[Column]) -> Column:
-    parts = [F.lit(words[0])]
-    for i, value in enumerate(values):
-        parts += [value, F.lit(words[i + 1])] if i + 1 < len(words) else [value]
-    return F.concat(*parts)
+Câu hỏi: {question}
+Trả lời:"""
+GRAPH_PROMPT = """Trả lời câu hỏi chỉ dựa trên ngữ cảnh (đoạn văn bản và dữ kiện từ knowledge graph).
+Nêu rõ số Điều luật khi có. Nếu ngữ cảnh không đủ, nói không đủ thông tin.
+
+Dữ kiện knowledge graph:
+{facts}
+
+Đoạn văn bản:
+{chunks}
+
+Câu hỏi: {question}
+Trả lời:"""
+JUDGE_PROMPT = """Chấm câu trả lời so với đáp án chuẩn. Trả về JSON {"score": 0|1|2, "reason": "..."}:
+2 = đúng và đủ các ý chính, 1 = đúng một phần, 0 = sai hoặc không trả lời được.
+Câu hỏi: {question}
+Đáp án chuẩn: {gold}
+Câu trả lời: {answer}"""
 
 
 def flat_prompt(question: Column, chunks: Column) -> Column:
-    return _weave(FLAT_PROMPT, [numbered(chunks), question])
+    return fill(FLAT_PROMPT, chunks=numbered(chunks), question=question)
 
 
 def graph_prompt(question: Column, facts: Column, chunks: Column) -> Column:
     listed = F.array_join(F.transform(facts, lambda f: F.concat(F.lit("- "), f)), "\n")
-    return _weave(GRAPH_PROMPT, [listed, numbered(chunks), question])
+    return fill(GRAPH_PROMPT, facts=listed, chunks=numbered(chunks), question=question)
 
 
 def judge_prompt(question: Column, gold: Column, answer: Column) -> Column:
-    return _weave(JUDGE_PROMPT, [question, gold, answer])
+    return fill(JUDGE_PROMPT, question=question, gold=gold, answer=answer)
 
 
 def _hits(store: DataFrame, questions: DataFrame, embed: Callable[[Column], Column], top_k: int) -> DataFrame:
@@ -83,12 +91,19 @@ class GraphRAGAgent:
         return out.select("question_id", "facts", "prompt", self.llm(F.col("prompt")).alias("answer"))
 
 
-def benchmark(questions: DataFrame, answers: dict[str, DataFrame]) -> DataFrame:
-    """questions (question_id, must_include) x pipelines: (question_id, pipeline, answer, recall)."""
-    from ..functions.text import keyword_recall
+def benchmark(questions: DataFrame, answers: dict[str, DataFrame], judge: Callable[[Column], Column] | None = None) -> DataFrame:
+    """questions (question_id, question, gold, must_include) x pipelines (question_id, answer and what usage columns there are):
+    (question_id, pipeline, answer, recall, judge, and usage, 0 where a pipeline tells none).
 
+    judge answers a prompt with JSON; a score it does not name counts 0, without a judge the column is null.
+    """
     out = None
     for name, rows in answers.items():
-        one = rows.select("question_id", F.lit(name).alias("pipeline"), "answer")
+        usage = [F.col(c) if c in rows.columns else F.lit(0).alias(c) for c in USAGE]
+        one = rows.select("question_id", F.lit(name).alias("pipeline"), "answer", *usage)
         out = one if out is None else out.unionByName(one)
-    return out.join(questions.select("question_id", "must_include"), "question_id").select("question_id", "pipeline", "answer", keyword_recall("answer", "must_include").alias("recall"))
+    out = out.join(questions, "question_id")
+    score = F.lit(None).cast("int")
+    if judge is not None:
+        score = F.coalesce(F.get_json_object(judge(judge_prompt(F.col("question"), F.col("gold"), F.col("answer"))), "$.score").cast("int"), F.lit(0))
+    return out.select("question_id", "pipeline", "answer", keyword_recall("answer", "must_include").alias("recall"), score.alias("judge"), *USAGE)

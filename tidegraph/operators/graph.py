@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.tables import kept
@@ -152,6 +152,12 @@ def touching(edges: DataFrame, found: DataFrame, skip: Sequence[str] = ()) -> Da
     return out.unionByName(back).dropDuplicates(["question_id", "src_label", "src", "rel", "dst_label", "dst"])
 
 
+def first_edges(found: DataFrame, limit: int = 60) -> DataFrame:
+    """Of `touching` edges the first `limit` of each question, by their ends."""
+    w = Window.partitionBy("question_id").orderBy("src_label", "src", "rel", "dst_label", "dst")
+    return found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).drop("_n")
+
+
 def shortest_hops(edges: DataFrame, start: DataFrame, goal: DataFrame, most: int = 4) -> DataFrame:
     """(label, key, hops): goal nodes within `most` undirected edges of any start node, with the least number of them."""
     both = edges.select(F.col("src_label").alias("al"), F.col("src").alias("a"), F.col("dst_label").alias("bl"), F.col("dst").alias("b"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.tables import in_order
 
 CASE_SCHEMA = (
     "struct<cases:array<struct<name:string,summary:string,date:string,location:string,charges:array<string>,"
@@ -37,11 +38,40 @@ def parse_cases(raw: DataFrame, answer: str = "answer") -> DataFrame:
     return raw.withColumn("cases", F.coalesce(F.when(is_object, parsed["cases"]), empty))
 
 
-NEWS_PROMPT_HEAD = "Bạn trích xuất knowledge graph từ một bài báo tiếng Việt về ma túy.\nChỉ dùng thông tin có trong bài. Trả về JSON theo lược đồ: "
+# The wording of the prompt. Names in braces are slots.
+NEWS_PROMPT = """Bạn trích xuất knowledge graph từ một bài báo tiếng Việt về ma túy.
+Chỉ dùng thông tin có trong bài. Trả về JSON đúng dạng:
+{"cases": [{
+  "name": "tên ngắn của vụ việc, ví dụ: Vụ mua bán 36kg ma túy tại TP.HCM",
+  "summary": "1-2 câu tóm tắt",
+  "date": "ngày xảy ra/xét xử nếu có, dạng YYYY-MM-DD hoặc chuỗi rỗng",
+  "location": "tỉnh/thành phố, chuỗi rỗng nếu không rõ",
+  "charges": ["tội danh, BẮT BUỘC chọn đúng nguyên văn từ DANH SÁCH TỘI DANH"],
+  "substances": [{"name": "tên chất, dùng tên chuẩn trong DANH SÁCH CHẤT nếu khớp", "amount": "khối lượng nếu có"}],
+  "people": [{"name": "họ tên", "aliases": ["biệt danh"], "role": "bị cáo|bị can|nghi phạm|người liên quan|cán bộ",
+               "charge": "tội danh của người này (từ DANH SÁCH TỘI DANH) hoặc chuỗi rỗng",
+               "sentence": "mức án nếu có, ví dụ: tử hình, 8 năm tù"}]
+}]}
+Bài không nói về vụ việc cụ thể (tuyên truyền, hội nghị...) thì trả về {"cases": []}.
 
+DANH SÁCH TỘI DANH: {crimes}
+DANH SÁCH CHẤT: {substances}
 
-def news_prompt(docs: DataFrame, crimes: list[str]) -> DataFrame:
-    """docs (id, content, metadata) and `prompt` for a model that returns cases as JSON."""
-    lists = f"\nDANH SÁCH TỘI DANH: {'; '.join(crimes)}\nDANH SÁCH CHẤT: {', '.join(X.SUBSTANCES)}\n\nTiêu đề: "
-    title = F.coalesce(F.element_at("metadata", "title"), F.lit(""))
-    return docs.withColumn("prompt", F.concat(F.lit(NEWS_PROMPT_HEAD + CASE_SCHEMA + lists), title, F.lit("\nNội dung:\n"), F.substring("content", 1, PROMPT_CHARS)))
+Tiêu đề: {title}
+Nội dung:
+{content}"""
+
+
+def known_crimes(articles: DataFrame) -> DataFrame:
+    """(name, ord): the crimes that articles define, each once, numbered from 1 in their order."""
+    return in_order(articles.filter("crime is not null and crime != ''").select(F.col("crime").alias("name")).distinct(), "name", "ord")
+
+
+def news_prompt(docs: DataFrame, crimes: DataFrame) -> DataFrame:
+    """docs (id, content, metadata) and `prompt` for a model that returns cases as JSON. crimes: (name, ord), a short list in every prompt."""
+    listed = crimes.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]), "; ").alias("_crimes"))  # one row
+    prompt = X.fill(
+        NEWS_PROMPT, crimes=F.col("_crimes"), substances=F.lit(", ".join(X.SUBSTANCES)),
+        title=F.coalesce(F.element_at("metadata", "title"), F.lit("")), content=F.substring("content", 1, PROMPT_CHARS),
+    )
+    return docs.crossJoin(F.broadcast(listed)).withColumn("prompt", prompt).drop("_crimes")

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import agent, chunking, graph, linking, metering, vectors
+from ..operators import agent, build, chunking, graph, lawparse, linking, metering, report, vectors
 from ..operators.context import context
 from ..operators.lawparse import parse_cases
 from ..sources import documents, html
 from . import star
+from .tables import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -575,9 +576,11 @@ def html_parser_text(spark, d):
     return _t(spark, d, "pages").select("page_id", html.parse("html").alias("x")).select("page_id", "x.title", F.col("x.text").alias("body"))
 
 
-@_query("page_quality_gate", "select page_id from pages where length(html) >= 1000")
+@_query("page_quality_gate", r"""
+select page_id from (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>', '', 'g'), '(?s)<style.*?</style>', '', 'g'), '(?s)<(?:sup.*?</sup|figure.*?</figure|table.*?</table)>', '', 'g'),
+  '<br\s*/?>|</(?:p|div|h\d|li)>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g') as body from pages) where length(trim(body, E' \t\n\r\f\v')) >= 80""")
 def page_quality_gate(spark, d):
-    return _t(spark, d, "pages").filter(F.length("html") >= 1000).select("page_id")
+    return documents.content_gate(_t(spark, d, "pages").select("page_id", html.strip_tags("html").alias("content"))).select("page_id")
 
 
 @_query("page_metadata")
@@ -599,6 +602,119 @@ def front_matter_roundtrip(spark, d):
     return out.select("id", X.strip(F.regexp_replace("content", r"\A# t\n\n", "")).alias("content"), F.element_at("metadata", "source").alias("source"))
 
 
+# ---- building, storing and reporting
+
+@_query("graph_store_roundtrip", f"{star.SQL} select 'node' as kind, label as name, count(*)::bigint as n from nodes group by label union all select 'edge', rel, count(*) from edges group by rel "
+        "union all select 'total', 'nodes', count(*) from nodes union all select 'total', 'relationships', count(*) from edges union all select 'shared', label, count(*) from nodes where doc_id is null group by label")
+def graph_store_roundtrip(spark, d):
+    store = build.GraphStore(spark, new_folder(spark, "graph"))
+    store.save(*star.build(spark, d))
+    return build.summary(*store.load())
+
+
+@_query("pinned_first", "select c_custkey, c_name from customer order by c_custkey <> 77, c_custkey limit 20")
+def pinned_first(spark, d):
+    return build.pinned_first(_t(spark, d, "customer").select("c_custkey", "c_name"), "77", 20, "c_custkey", "c_custkey")
+
+
+@_query("sorted_crimes", "select p_type as name, row_number() over (order by p_type)::bigint as ord from (select distinct p_type from part)")
+def sorted_crimes(spark, d):
+    return lawparse.known_crimes(_t(spark, d, "part").select(F.col("p_type").alias("crime")))
+
+
+@_query("case_linking", """
+select o_orderkey::varchar as id, case when o_orderkey % 2 = 0 then 'crime-a|crime-b' else 'crime-a' end as charges, case when o_orderkey % 3 = 0 then 'crime-b' else '' end as of_person from orders""")
+def case_linking(spark, d):
+    """Cases name charges in other spellings, twice, and unknown ones."""
+    text = lambda x: F.concat(F.lit('{"cases": [{"name": "x", "charges": ["Tội Crime-A", "crime-a", "zzz"'), F.when(F.col(x) % 2 == 0, ', "CRIME-B"').otherwise(""), F.lit('], "people": [{"name": "p", "charge": "'), F.when(F.col(x) % 3 == 0, "tội crime-b").otherwise("qqq"), F.lit('"}]}]}'))
+    raw = parse_cases(_t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), text("o_orderkey").alias("answer")))
+    known = spark.createDataFrame([(1, "crime-a"), (2, "crime-b")], "ord long, name string")
+    out = linking.link_cases(raw.drop("answer"), known, fuzzy=False).select("id", F.explode("cases").alias("c"))
+    return out.select("id", F.array_join("c.charges", "|").alias("charges"), F.col("c.people")[0]["charge"].alias("of_person"))
+
+
+@_query("seed_facts_limited", f"""{_SEEDS},
+t as (select distinct question_id, e.src_label, e.src, e.rel, e.dst_label, e.dst from seeds s join edges e on (s.label = e.src_label and s.key = e.src) or (s.label = e.dst_label and s.key = e.dst))
+select question_id, src_label, src, rel, dst_label, dst from t qualify row_number() over (partition by question_id order by src_label, src, rel, dst_label, dst) <= 60""")
+def seed_facts_limited(spark, d):
+    nodes, edges = star.build(spark, d)
+    return graph.first_edges(graph.touching(edges, graph.seeds(nodes, _asked(spark))), 60).select("question_id", "src_label", "src", "rel", "dst_label", "dst")
+
+
+@_query("label_prefix", f"{star.SQL} select label, key from nodes where starts_with(name, 'Customer#0000001') and doc_id is not null")
+def label_prefix(spark, d):
+    return star.build(spark, d)[0].filter(F.startswith("name", F.lit("Customer#0000001")) & F.col("doc_id").isNotNull()).select("label", "key")
+
+
+def _measured(spark, d) -> DataFrame:
+    """A line of usage for each turn, roles as pipelines."""
+    log = metering.priced(_usage(spark, d), metering.prices(spark)).withColumnRenamed("role", "pipeline")
+    return log.withColumn("calls", F.lit(1)).withColumn("seconds", F.col("n") / 8)
+
+
+@_query("usage_means", f"""with {_USAGE} select role as pipeline, round(avg(i), 6) as input_tokens, round(avg((i * pi + o * po) / 1e6), 9) as usd, round(avg(case when i % 2 = 0 then 1.0 else 0.0 end), 6)::double as recall,
+ round(avg(case when turn % 2 = 0 then 2 else 0 end), 6) as judge from u group by role""")
+def usage_means(spark, d):
+    """Every second turn has no judgement, which counts 0."""
+    log = _measured(spark, d).withColumn("recall", (F.col("n") % 2 == 0).cast("double")).withColumn("judge", F.when(F.col("turn") % 2 == 0, 2))
+    return metering.means(log).select("pipeline", F.round("input_tokens", 6).alias("input_tokens"), F.round("usd", 9).alias("usd"), F.round("recall", 6).alias("recall"), F.round("judge", 6).alias("judge"))
+
+
+@_query("usage_composed", f"with {_USAGE} select 'index' as phase, count(*)::bigint as calls, sum(i)::bigint as input_tokens, sum(o)::bigint as output_tokens, round(sum((i * pi + o * po) / 1e6), 6) as usd from u where role in ('user', 'assistant')")
+def usage_composed(spark, d):
+    log = _measured(spark, d).withColumnRenamed("pipeline", "phase")
+    return metering.composed(log, ["user", "assistant"], "index").select("phase", "calls", "input_tokens", "output_tokens", F.round("usd", 6).alias("usd"))
+
+
+@_query("report_answers", """
+select o_orderkey::varchar as question_id, 'flat' as pipeline, '--- ' || o_orderkey || ' [' || o_orderpriority || '] flat recall=' || case when o_orderstatus = 'F' then '1.00' else '0.00' end
+  || ' judge=' || (o_orderkey % 3) || ' 0.25s' || chr(10) || o_orderstatus as line from orders""")
+def report_answers(spark, d):
+    orders = _t(spark, d, "orders").withColumn("question_id", F.col("o_orderkey").cast("string"))
+    questions = orders.select("question_id", F.col("o_orderpriority").alias("type"), F.lit("?").alias("question"), F.concat(F.lit("g"), (F.col("o_orderkey") % 3).cast("string")).alias("gold"), F.array(F.lit("f")).alias("must_include"))
+    answers = orders.select("question_id", F.concat(F.lit(" "), "o_orderstatus").alias("answer"), F.lit(0.25).alias("seconds"))
+    judge = lambda p: F.concat(F.lit('{"score": '), F.regexp_extract(p, r"chuẩn: g(\d)", 1), F.lit("}"))
+    return report.answer_lines(agent.benchmark(questions, {"flat": answers}, judge), questions)
+
+
+@_query("clause_fact", "select p_partkey, '[' || p_partkey || ' - ' || p_name || '] khoản ' || p_size || ': ' || p_type as fact from part")
+def clause_fact(spark, d):
+    return _t(spark, d, "part").select("p_partkey", X.clause_fact(F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_size"), F.col("p_type")).alias("fact"))
+
+
+@_query("case_fact", "select s_suppkey, '[' || s_suppkey || '] Vụ việc ''' || s_name || ''': ' || s_nationkey as fact from supplier")
+def case_fact(spark, d):
+    return _t(spark, d, "supplier").select("s_suppkey", X.case_fact(F.col("s_suppkey").cast("string"), F.col("s_name"), F.col("s_nationkey").cast("string")).alias("fact"))
+
+
+@_query("law_pages", """
+select 'blhs-dieu-' || o_orderkey as doc_id, 'Điều ' || o_orderkey || ' BLHS. ' || o_orderstatus as title, 'Điều ' || o_orderkey || '. ' || o_orderstatus || chr(10) || 'by ' || o_custkey as body from orders
+union all select 'blhs-dieu-7' || o_orderkey, 'Điều 7' || o_orderkey || ' BLHS. z', 'Điều 7' || o_orderkey || '. z' || chr(10) || 'end' from orders""")
+def law_pages(spark, d):
+    """A page of two articles with footnotes and notes from each order."""
+    page = F.expr("""concat('<i>no</i><div class="mw-parser-output"><p>intro</p><h3>Điều ', o_orderkey, '. ', o_orderstatus, '</h3><p>by ', o_custkey, '</p><p>↑ note</p><h3>Điều 7', o_orderkey,
+        '. z</h3><p>end</p><p>Ghi chú</p><p>gone</p></div><div class="printfooter">Điều 3. no')""")
+    pages = _t(spark, d, "orders").select(F.lit("u").alias("url"), F.lit("BLHS").alias("law"), F.lit("v").alias("version"), page.alias("html"))
+    return html.law_pages(pages).select("doc_id", "title", "body")
+
+
+@_query("news_pages", """
+select 'news-' || o_orderkey as doc_id, 'ma túy & ' || o_orderstatus as title, 'lead' || chr(10) || chr(10) || repeat('y', 400) || chr(10) || chr(10) || repeat('z', 41) as body from orders where o_orderkey % 3 <> 0""")
+def news_pages(spark, d):
+    """A page of news from each order; every third is too short."""
+    page = F.expr("""concat('<h1 data-role="title">ma túy &amp; ', o_orderstatus, '</h1><h2 data-role="sapo">lead</h2><div data-role="content"><p>', repeat('y', if(o_orderkey % 3 = 0, 200, 400)),
+        '</p><p>short</p><p class="k">', repeat('z', 41), '</p></div><div class="detail-author-bot"><p>', repeat('w', 90), '</p>')""")
+    pages = _t(spark, d, "orders").select(F.expr("concat('/a-', o_orderkey, '.htm')").alias("path"), F.lit("u").alias("url"), page.alias("html"))
+    return html.news_pages(pages, "ma túy").select("doc_id", "title", "body")
+
+
+@_query("metadata_extra", "select page_id, case when page_id % 2 = 0 then page_id::varchar end as publisher, case when page_id % 3 = 0 then 'v' else 'not-stated' end as document_version from pages")
+def metadata_extra(spark, d):
+    pages = _t(spark, d, "pages").select("page_id", "url", F.lit("").alias("title"), F.expr("if(page_id % 2 = 0, cast(page_id as string), '')").alias("publisher"), F.expr("if(page_id % 3 = 0, 'v', null)").alias("document_version"))
+    out = documents.page_metadata(pages, ("publisher", "document_version"))
+    return out.select("page_id", F.element_at("extra", "publisher").alias("publisher"), "document_version")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk, embed, search, prompt."""
     return flat_prompt(spark, sf_dir)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -127,13 +128,22 @@ def read_urls(spark: SparkSession, path: str) -> DataFrame:
     return out.filter("url != ''")
 
 
-def page_metadata(pages: DataFrame) -> DataFrame:
-    """pages (url, title and any of doc_id): doc_id from the row, else the URL's last part, else the title; title from the row, else the id in title case."""
+#: Columns of a row that its metadata names itself, or leaves to the manifest.
+_OWN = ("url", "doc_id", "title", "document_version", "license_or_permission")
+
+
+def page_metadata(pages: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """pages (url, title and any of doc_id, document_version): doc_id from the row, else the URL's last part, else the title; title from
+    the row, else the id in title case; document_version, else not-stated; `extra`, the values of columns so named that are not empty
+    and whose names are lower-case words."""
     stem = F.regexp_replace(F.element_at(F.split(F.coalesce(F.parse_url("url", F.lit("PATH")), F.lit("")), "/"), -1), r"\.[^.]*$", "")
-    given = F.nullif(strip("doc_id"), F.lit("")) if "doc_id" in pages.columns else F.lit(None)
-    title = F.nullif(strip("title"), F.lit(""))
-    out = pages.withColumn("doc_id", slugify(F.coalesce(given, F.nullif(stem, F.lit("")), title, F.lit(""))))
-    return out.withColumn("title", F.coalesce(title, F.initcap(F.replace("doc_id", F.lit("-"), F.lit(" ")))))
+    given = lambda c: F.nullif(strip(c), F.lit("")) if c in pages.columns else F.lit(None).cast("string")
+    title = given("title")
+    out = pages.withColumn("doc_id", slugify(F.coalesce(given("doc_id"), F.nullif(stem, F.lit("")), title, F.lit(""))))
+    out = out.withColumn("title", F.coalesce(title, F.initcap(F.replace("doc_id", F.lit("-"), F.lit(" "))))).withColumn("document_version", F.coalesce(given("document_version"), F.lit("not-stated")))
+    names = [c for c in extra if c not in _OWN and re.fullmatch("[a-z][a-z0-9_]*", c)]
+    pairs = F.create_map(*[x for c in names for x in (F.lit(c), F.col(c).cast("string"))]) if names else F.create_map().cast("map<string,string>")
+    return out.withColumn("extra", F.map_filter(pairs, lambda k, v: v.isNotNull() & (v != "")))
 
 
 def licence(kb: str = "kb") -> "Column":  # noqa: F821
