@@ -168,7 +168,9 @@ def test_fingerprints(spark):
     assert got == {(i, prints(t)) for i, t in ROWS}
 
 
-def test_components_lose_no_link(spark):
+@pytest.mark.parametrize("crowd", [simhash.CROWD, 2])
+def test_components_lose_no_link(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
     rng = random.Random(5)
     values = [rng.getrandbits(64) for _ in range(60)]
     for _ in range(600):  # chains of 1 to 4 bits from one another
@@ -176,6 +178,9 @@ def test_components_lose_no_link(spark):
         for b in rng.sample(range(64), rng.randint(1, 4)):
             x ^= 1 << b
         values.append(x)
+    for _ in range(150):  # many under one anchor, of other halves that differ in a few bits
+        x = values[0] ^ rng.getrandbits(6) << 40
+        values += [x, x ^ 7 << rng.randint(40, 60), x ^ 1 << rng.randint(0, 31) ^ 1 << 5]
     values = sorted({v - (1 << 64) if v >> 63 else v for v in values})
     top = list(range(len(values)))
 

@@ -11,7 +11,9 @@ comparison is per anchor, between those at home and the replicas, on all 64 bits
 A dense group of near copies would still be compared pair by pair, so the links of up to two bits are first made
 through hubs: two fingerprints differ in at most two bits exactly if some word is within one bit of both. Each
 fingerprint names its 65 words, and members of a word link to the least one: a group costs its size, not its square.
-The anchors then give only links between different components of that graph.
+(All words are the anchors of that covering, its radius is 0, and half the threshold is left to either side.) The anchors
+of halves then give only links between different components of that graph: an anchor that knows one component is left
+out, and a crowded one is split by the same covering over the quarters of the other half.
 
 Components are found by hooking and pointer jumping over (node, least neighbour) tables, written to the shared folder
 each round. Nothing is collected; equal fingerprints are one node.
@@ -29,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import forget, materialise, ship, table
 from .similar import OUT, Sketcher, common_shingles, shingle_hashes, similar
@@ -36,6 +39,8 @@ from .similar import OUT, Sketcher, common_shingles, shingle_hashes, similar
 ship(__name__)
 
 RADIUS, SHINGLE = 3, 3
+#: Members of an anchor beyond which it is split by a covering of the other half.
+CROWD = 256
 #: Shingles hashed and summed at a time, so that a very long text takes bounded memory.
 BATCH = 1 << 13
 
@@ -67,23 +72,51 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in rest.columns], "text").mapInArrow(of, schema)
 
 
-#: The column of the Hamming code's parity check for bit i is i + 1, so the syndrome of a word is the XOR of those of its set bits.
-_PARITY = [sum(1 << i for i in range(31) if (i + 1) >> k & 1) for k in range(5)]
+def _anchors(x: str, width: int) -> str:
+    """SQL over x, a word of `width` bits (a power of two): its anchors as structs (home, at), the home first, then those one step further.
 
+    Anchors are the codewords of the Hamming code of width - 1 bits, with the last bit as it is. Its parity check's column for bit i
+    is i + 1, so the syndrome of a word is the XOR of those of its set bits.
+    """
+    n = width - 1
+    checks = [sum(1 << i for i in range(n) if (i + 1) >> k & 1) for k in range(n.bit_length())]
+    low = f"({x} & {(1 << n) - 1}L)"
+    syndrome = " + ".join(f"shiftleft(cast(bit_count({low} & {m}L) & 1 as int), {k})" for k, m in enumerate(checks))
+    fix = "(a.x ^ if(a.s = 0, 0L, shiftleft(1L, a.s - 1)))"
+    # codewords two bits away: bits i and j whose columns XOR to the syndrome, other than the home's own bit
+    two = f"transform(filter(sequence(1, {n}), i -> a.s != 0 and i < (i ^ a.s) and i != a.s), i -> struct(false as home, a.x ^ shiftleft(1L, i - 1) ^ shiftleft(1L, (i ^ a.s) - 1) as at))"
+    home = f"array(struct(true as home, {fix} as at), struct(false as home, {fix} ^ {1 << n}L as at))"
+    return f"transform(array(struct({x} as x, {syndrome} as s)), a -> concat({home}, {two}))[0]"
+
+
+def _part(x: str, k: int, width: int) -> str:
+    """SQL of the k-th word of `width` bits in x."""
+    return f"(shiftrightunsigned({x}, {k * width}) & {(1 << width) - 1}L)"
 
-def _anchors() -> str:
-    """SQL over fp: the anchors as structs (half, home, at): the home of each half first, then those one step further."""
-    parts = []
-    for half in (0, 1):
-        x = f"(shiftrightunsigned(fp, {32 * half}) & 4294967295L)"
-        low = f"({x} & 2147483647L)"
-        syndrome = " + ".join(f"shiftleft(cast(bit_count({low} & {m}L) & 1 as int), {k})" for k, m in enumerate(_PARITY))
-        fix = "(a.x ^ if(a.s = 0, 0L, shiftleft(1L, a.s - 1)))"
-        # codewords two bits away: bits i and j whose columns XOR to the syndrome, other than the home's own bit
-        two = f"transform(filter(sequence(1, 31), i -> a.s != 0 and i < (i ^ a.s) and i != a.s), i -> struct({half} as half, false as home, a.x ^ shiftleft(1L, i - 1) ^ shiftleft(1L, (i ^ a.s) - 1) as at))"
-        home = f"array(struct({half} as half, true as home, {fix} as at), struct({half} as half, false as home, {fix} ^ 2147483648L as at))"
-        parts.append(f"transform(array(struct({x} as x, {syndrome} as s)), a -> concat({home}, {two}))[0]")
-    return f"concat({', '.join(parts)})"
+
+def _links(members: DataFrame) -> DataFrame:
+    """(a, b): roots of members (fp, root) with fingerprints of at most RADIUS differing bits under one anchor, where roots differ.
+
+    Anchors whose members all have one root, as those of a dense group have, are left out whole. Where more than CROWD meet, they are
+    told apart by the other half: as it differs in at most RADIUS bits, one of its two quarters differs in at most one, so the same
+    covering over a quarter loses no link and splits the anchor into some thousand.
+    """
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of_half = ", ".join(f"transform({_anchors(_part('fp', h, 32), 32)}, y -> struct({h} as half, y.home as home, y.at as at))" for h in (0, 1))
+    spread = members.repartition(parts, "fp").select("fp", "root", F.explode(F.expr(f"concat({of_half})")).alias("x")).select("fp", "root", "x.half", "x.home", "x.at")
+    cell = Window.partitionBy("half", "at")
+    mixed = spread.withColumn("least", F.min("root").over(cell)).withColumn("most", F.max("root").over(cell)).withColumn("n", F.count("*").over(cell))
+    mixed = materialise(mixed.filter("least != most").drop("least", "most"), "simhash-anchors")
+    calm = mixed.filter(f"n <= {CROWD}").select("fp", "root", "half", "at", "home", F.lit(-1).alias("quarter"), F.lit(0).cast("long").alias("sub"))
+    of_quarter = ", ".join(f"transform({_anchors(_part('other', q, 16), 16)}, y -> struct({q} as quarter, y.home as home, y.at as at))" for q in (0, 1))
+    full = mixed.filter(f"n > {CROWD}").withColumn("other", F.expr(f"if(half = 0, {_part('fp', 1, 32)}, {_part('fp', 0, 32)})"))
+    full = full.select("fp", "root", "half", "at", "home", F.explode(F.expr(f"concat({of_quarter})")).alias("y"))
+    full = full.select("fp", "root", "half", "at", F.expr("home and y.home").alias("home"), "y.quarter", F.col("y.at").alias("sub"))
+    every, by = calm.unionByName(full), ["half", "at", "quarter", "sub"]
+    home = every.filter("home").select(*by, F.col("fp").alias("a"), F.col("root").alias("ra"))
+    there = every.select(*by, F.col("fp").alias("b"), F.col("root").alias("rb"))
+    links = home.join(there, by).filter(f"ra != rb and bit_count(a ^ b) <= {RADIUS}")
+    return links.select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
 
 def _components(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
@@ -117,12 +150,7 @@ def components(prints: DataFrame) -> DataFrame:
     # only members of shared words go on: few, unless there are many near copies
     near = words.join(hubs, "word").select(F.col("fp").alias("a"), "b").filter("a != b")
     first = materialise(_components(nodes, near, "simhash-two"), "simhash-first")
-    spread = first.repartition(parts, "fp").select("fp", "root", F.explode(F.expr(_anchors())).alias("x")).select("fp", "root", "x.half", "x.home", "x.at")
-    home = spread.filter("home").select("half", "at", F.col("fp").alias("a"), F.col("root").alias("ra"))
-    there = spread.select("half", "at", F.col("fp").alias("b"), F.col("root").alias("rb"))
-    links = home.join(there, ["half", "at"]).filter(f"ra != rb and bit_count(a ^ b) <= {RADIUS}")
-    links = links.select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    joined = _components(first.select(F.col("root").alias("fp")).distinct(), links, "simhash-three")
+    joined = _components(first.select(F.col("root").alias("fp")).distinct(), _links(first), "simhash-three")
     return first.join(joined.select(F.col("fp").alias("root"), F.col("root").alias("top")), "root").select("fp", F.col("top").alias("root"))
 
 
