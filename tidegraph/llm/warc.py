@@ -1,14 +1,15 @@
 """WARC records in ZIP packages, written and range-read without extraction.
 
 A package is a ZIP archive of stored (not compressed) members: `archive/data.warc.gz`, records as one gzip member each,
-and `indexes/index.cdx`, fixed-width rows of where each record lies. The reader looks for the end record in the last
+and `indexes/index.cdx`, a line a record whose JSON says where it lies. The reader looks for the end record in the last
 bytes of a package, follows the ZIP64 locator where a count or offset does not fit, parses the central directory, takes
-from a member's local header where its bytes begin, reads the index, and then reads records by byte ranges of the
-package: nothing is extracted, and ranges of one package go to different tasks.
+from a member's local header where its bytes begin, reads the indexes under `indexes/` (plain or gzip), and then reads
+records by byte ranges of the package: nothing is extracted, and ranges of one package go to different tasks. Archives
+under `archive/` that no index names are walked record by record to find where each lies.
 
 Payloads that are equal (by SHA-256) share one response, that with the largest page_id; the rest are revisits
-that carry the headers only. Response records are compressed before the exchange that finds equal payloads, so it carries
-what is then written.
+that carry the headers only. Before the exchange that tells which, a batch drops the payloads of rows that one of their
+own batch outlives, and the rest are compressed; the exchange spreads the rows of one payload over SALTS keys.
 
 Cases: null html is an empty payload; a null page_id is never a response for others, and its record is a response if no
 row of its group has an id; rows that repeat the largest page_id are all responses; a null url is an empty target; very long
@@ -18,6 +19,7 @@ payloads are one record; an empty table makes no package; other columns are not
 import base64
 import gzip
 import hashlib
+import json
 import struct
 import uuid
 import zlib
@@ -31,8 +33,8 @@ from .common import scratch, ship, table
 
 ship(__name__)
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
-#: offset and length of the record in its member.
-_ROW = "<QQ"
+#: Keys over which rows of one payload are spread.
+SALTS = 16
 #: Bytes of records that a task reads at a time.
 RANGE = 8 << 20
 _BIG32, _BIG16 = 0xFFFFFFFF, 0xFFFF
@@ -56,7 +58,7 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     warc = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in head.decode().split("\r\n")[1:])
     block = rest[: int(warc["Content-Length"])]
     head, _, payload = block.partition(b"\r\n\r\n")
-    return warc, dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:]), payload
+    return warc, dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:] if ": " in x), payload
 
 
 class PackageWriter:
@@ -105,6 +107,9 @@ def members(f) -> dict[str, tuple[int, int]]:
     f.seek(size - tail)
     raw = f.read(tail)
     at = raw.rfind(b"PK\x05\x06")
+    # the comment after it may hold these bytes as well: its length must lead to the end
+    while at >= 0 and (at + 22 > len(raw) or at + 22 + struct.unpack_from("<H", raw, at + 20)[0] != len(raw)):
+        at = raw.rfind(b"PK\x05\x06", 0, at)
     if at < 0:
         raise ValueError("not a ZIP package: no end record")
     _, _, _, _, n, length, start, _ = struct.unpack_from("<IHHHHIIH", raw, at)
@@ -136,6 +141,47 @@ def members(f) -> dict[str, tuple[int, int]]:
     return out
 
 
+def index_row(name: str, offset: int, length: int) -> bytes:
+    return b"- - " + json.dumps({"offset": str(offset), "length": str(length), "filename": name}).encode() + b"\n"
+
+
+def _walked(f, start: int, size: int) -> Iterator[tuple[int, int]]:
+    """(offset, length) of each gzip member in size bytes from start."""
+    at, end = start, start + size
+    while at < end:
+        f.seek(at)
+        inflate, taken = zlib.decompressobj(31), 0
+        while not inflate.eof:
+            piece = f.read(min(1 << 16, end - at - taken))
+            if not piece:
+                raise ValueError("an archive ends within a record")
+            taken += len(piece)
+            inflate.decompress(piece)
+        taken -= len(inflate.unused_data)
+        yield at, taken
+        at += taken
+
+
+def located(f) -> list[tuple[int, int]]:
+    """(offset in the package, length) of every record of an open package, each once, in order."""
+    found, rows, known = members(f), set(), set()
+    for name, (at, size) in found.items():
+        if name.startswith("indexes/") and name.removesuffix(".gz").endswith((".cdx", ".cdxj")):
+            f.seek(at)
+            raw = f.read(size)
+            for line in (gzip.decompress(raw) if name.endswith(".gz") else raw).splitlines():
+                brace = line.find(b"{")
+                if brace >= 0:
+                    entry = json.loads(line[brace:])
+                    member = "archive/" + entry["filename"].removeprefix("archive/")
+                    known.add(member)
+                    rows.add((found[member][0] + int(entry["offset"]), int(entry["length"])))
+    for name, (at, size) in found.items():
+        if name.startswith("archive/") and name.endswith(".warc.gz") and name not in known:
+            rows.update(_walked(f, at, size))
+    return sorted(rows)
+
+
 def _uri(folder: str):
     from pyarrow import fs
 
@@ -146,11 +192,16 @@ def write(pages: DataFrame, folder: str, zip64: bool = False, least: int = 0) ->
     """Write (page_id, url, html) as packages. least: payloads of fewer bytes are always responses. A row a package: (file)."""
 
     @F.pandas_udf("struct<digest:string,size:long,gz:binary>")
-    def pack(ids: pd.Series, urls: pd.Series, html: pd.Series) -> pd.DataFrame:
+    def pack(ids: pd.Series, urls: pd.Series, html: pd.Series, same: pd.Series) -> pd.DataFrame:
+        # the largest id of each payload in the batch: whoever has less is a revisit, whatever other batches hold
+        top = ids.groupby(same).transform("max")
         rows = []
-        for i, u, h in zip(ids, urls, html):
+        for i, u, h, t in zip(ids, urls, html, top):
             body = h.encode() if isinstance(h, str) else b""
             digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+            if len(body) >= least and not pd.isna(t) and (pd.isna(i) or i < t):
+                rows.append((digest, len(body), None))
+                continue
             raw = record("response", None if pd.isna(i) else int(i), u if isinstance(u, str) else "", digest, len(body), body)
             rows.append((digest, len(body), gzip.compress(raw, 5, mtime=0)))
         return pd.DataFrame(rows, columns=["digest", "size", "gz"])
@@ -158,8 +209,9 @@ def write(pages: DataFrame, folder: str, zip64: bool = False, least: int = 0) ->
     body = F.coalesce("html", F.lit(""))
     keyed = pages.select("page_id", "url", "html", F.sha2(body, 256).alias("same"))
     keeps = keyed.filter(F.octet_length(body) >= least).groupBy("same").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    packed = keyed.select("page_id", "url", "same", pack("page_id", "url", "html").alias("x")).select("page_id", "url", "same", "x.*")
-    told = packed.join(keeps, "same", "left")
+    keeps = keeps.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    packed = keyed.select("page_id", "url", "same", pack("page_id", "url", "html", "same").alias("x")).select("page_id", "url", "same", "x.*")
+    told = packed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(keeps, ["same", "salt"], "left")
 
     def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -176,7 +228,7 @@ def write(pages: DataFrame, folder: str, zip64: bool = False, least: int = 0) ->
                     out.begin(DATA)
                 if not pd.isna(keep) and (pd.isna(i) or int(i) != int(keep)):
                     gz = gzip.compress(record("revisit", None if pd.isna(i) else int(i), u if isinstance(u, str) else "", digest, int(size), b"", int(keep)), 5, mtime=0)
-                index += struct.pack(_ROW, out.write(gz), len(gz))
+                index += index_row(DATA.removeprefix("archive/"), out.write(gz), len(gz))
         if out is not None:
             out.end()
             out.begin(INDEX)
@@ -191,27 +243,24 @@ def write(pages: DataFrame, folder: str, zip64: bool = False, least: int = 0) ->
 
 
 def read(packages: DataFrame, folder: str) -> DataFrame:
-    """packages: (file). (page_id, payload_bytes, payload_digest, record_type, refers_to) of every record."""
+    """packages: (file). (page_id, payload_bytes, payload_digest, record_type, refers_to) of every response and revisit; ids that are no page's are null."""
 
     def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, _ = _uri(folder)
         for batch in batches:
             for name in batch["file"]:
                 with store.open_input_file(name) as f:
-                    found = members(f)
-                    at, size = found[INDEX]
-                    f.seek(at)
-                    rows = list(struct.iter_unpack(_ROW, f.read(size)))
-                start, out, first = found[DATA][0], [], 0
+                    rows = located(f)
+                out, first = [], 0
                 for k, (offset, length) in enumerate(rows):
-                    if offset + length - rows[first][0] >= RANGE or k == len(rows) - 1:
-                        out.append((name, start + rows[first][0], [n for _, n in rows[first : k + 1]]))
+                    if k == len(rows) - 1 or offset + length - rows[first][0] >= RANGE or rows[k + 1][0] != offset + length:
+                        out.append((name, rows[first][0], [n for _, n in rows[first : k + 1]]))
                         first = k + 1
                 yield pd.DataFrame(out, columns=["file", "at", "lengths"])
 
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, _ = _uri(folder)
-        page = lambda x: int(x[len("<urn:page:") : -1]) if x and x != "<urn:page:>" else None
+        page = lambda x: int(x[len("<urn:page:") : -1]) if x and x.startswith("<urn:page:") and x != "<urn:page:>" else None
         for batch in batches:
             for name, at, lengths in zip(batch["file"], batch["at"], batch["lengths"]):
                 rows = []
@@ -219,10 +268,13 @@ def read(packages: DataFrame, folder: str) -> DataFrame:
                     f.seek(at)
                     for n in lengths:
                         warc, http, payload = parse_record(gzip.decompress(f.read(int(n))))
-                        digest = warc["WARC-Payload-Digest"].removeprefix("sha1:")
-                        if warc["WARC-Type"] == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+                        if warc["WARC-Type"] not in ("response", "revisit"):
+                            continue
+                        own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                        digest = warc.get("WARC-Payload-Digest", "sha1:" + own).removeprefix("sha1:")
+                        if warc["WARC-Type"] == "response" and own != digest:
                             raise ValueError(f"{name}: a payload differs from its digest")
-                        rows.append((page(warc["WARC-Record-ID"]), int(http["Content-Length"]), digest, warc["WARC-Type"], page(warc.get("WARC-Refers-To"))))
+                        rows.append((page(warc["WARC-Record-ID"]), int(http.get("Content-Length", len(payload))), digest, warc["WARC-Type"], page(warc.get("WARC-Refers-To"))))
                 out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
                 yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
