@@ -96,15 +96,15 @@ def test_report(spark, tmp_path):
     from tidegraph.operators import report
 
     questions = spark.createDataFrame([("q1", "hop", "Hỏi?", "Lan", ["lan"])], "question_id string, type string, question string, gold string, must_include array<string>")
-    flat = spark.createDataFrame([("q1", " LAN \n", 1, 10, 2, 0.5, 1.25)], "question_id string, answer string, calls int, input_tokens int, output_tokens int, usd double, seconds double")
+    flat = spark.createDataFrame([("q1", " LAN \n", 1, 10, 2, 0.5, 1.5)], "question_id string, answer string, calls int, input_tokens int, output_tokens int, usd double, seconds double")
     rows = agent.benchmark(questions, {"flat": flat, "graph": flat.select("question_id", F.lit("no").alias("answer"))}, lambda p: F.when(F.contains(p, F.lit("Câu trả lời:  LAN")), '{"score": 2}').otherwise("?"))
     assert {r["pipeline"]: (r["recall"], r["judge"], r["input_tokens"]) for r in rows.collect()} == {"flat": (1.0, 2, 10), "graph": (0.0, 0, 0)}
     lines = report.report("T", flat.withColumn("pipeline", F.lit("flat")), rows, questions)
     report.write_report(lines, str(tmp_path / "r"))
     text = "".join(p.read_text() for p in sorted((tmp_path / "r").glob("part-*")))
     assert text.split("\n") == [
-        "T", "", "== Indexing (one-off)", "pipeline  calls    in_tok  out_tok       USD  seconds", "flat          1        10        2   0.50000      1.2", "",
-        "== Querying (mean per question)", "pipeline  recall  judge   in_tok  out_tok       USD  seconds", "flat        1.00   2.00       10        2   0.50000     1.25",
-        "graph       0.00   0.00        0        0   0.00000     0.00", "", "== Per question", "--- q1 [hop] flat recall=1.00 judge=2 1.25s", "LAN",
+        "T", "", "== Indexing (one-off)", "pipeline  calls    in_tok  out_tok       USD  seconds", "flat          1        10        2   0.50000      1.5", "",
+        "== Querying (mean per question)", "pipeline  recall  judge   in_tok  out_tok       USD  seconds", "flat        1.00   2.00       10        2   0.50000     1.50",
+        "graph       0.00   0.00        0        0   0.00000     0.00", "", "== Per question", "--- q1 [hop] flat recall=1.00 judge=2 1.50s", "LAN",
         "--- q1 [hop] graph recall=0.00 judge=0 0.00s", "no", "",
-    ] or text.split("\n")[4].endswith("1.3")
+    ]

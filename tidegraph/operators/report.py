@@ -1,4 +1,4 @@
-"""The report of a benchmark as lines of text."""
+"""The report of a benchmark as lines of text. Figures halfway between two round up, as the JVM formats them."""
 
 from __future__ import annotations
 
