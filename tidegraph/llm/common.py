@@ -45,12 +45,14 @@ def kept_by_worker(key: str, build):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder as a URI; a temporary one only where the session names none (tests)."""
+    """The cluster's checkpoint folder as a URI; a temporary one only where the session names none and runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidegraph-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
