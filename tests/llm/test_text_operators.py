@@ -386,3 +386,14 @@ def test_rounds_equal_brute_force(spark):
     assert got == rounds(meets) and got["QX77-K1"] == "secret" and "2024" not in got
     spans = {r["doc_id"]: [x["kind"] for x in r["_p_spans"]] for r in pii.extract(fresh(spark, rows)).collect()}
     assert spans[200] == spans[300] == ["secret"] and spans[301] == []
+
+
+def test_crowds_of_near_copies_stay_off_the_driver(spark):
+    bits = [(i, j, k) for i in range(30) for j in range(i) for k in range(j)]  # one component, far more shared words than files tell of
+    values = [0x1234_5678 << 32 ^ 1 << i ^ 1 << j ^ 1 << k for i, j, k in bits]
+    spark.conf.set("spark.sql.maxBroadcastTableSize", 10_000_000)
+    try:
+        got = {(r["fp"], r["root"]) for r in simhash.components(spark.createDataFrame([(v,) for v in values], "fp long")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert got == {(v, min(values)) for v in values}

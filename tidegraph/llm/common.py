@@ -20,6 +20,8 @@ def ship(module: str) -> None:
 ship(__name__)
 #: Models that a Python worker keeps between tasks.
 KEPT = 2
+#: Rows up to which the planner may broadcast a side of a join, which passes through the driver's memory.
+SHIPPED = 1 << 17
 
 
 def forget() -> None:
@@ -89,3 +91,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
     """Whether df, a table, has at most max_rows rows."""
     return df.count() <= max_rows
+
+
+def apart(df: DataFrame, rows: int) -> DataFrame:
+    """df, a side of a join of at most so many rows: beyond SHIPPED both sides are sorted and merged. The planner goes by the bytes of files,
+    which tell little of rows that are exploded or pack well, and would send them through the driver."""
+    return df.hint("merge") if rows > SHIPPED else df

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import forget, materialise, ship, table
+from .common import apart, forget, materialise, ship, table
 from .similar import OUT, Sketcher, common_shingles, shingle_hashes, similar
 
 ship(__name__)
@@ -113,45 +113,48 @@ def _links(members: DataFrame) -> DataFrame:
     full = full.select("fp", "root", "half", "at", "home", F.explode(F.expr(f"concat({of_quarter})")).alias("y"))
     full = full.select("fp", "root", "half", "at", F.expr("home and y.home").alias("home"), "y.quarter", F.col("y.at").alias("sub"))
     every, by = calm.unionByName(full), ["half", "at", "quarter", "sub"]
+    rows = mixed.agg(F.sum(F.expr(f"if(n <= {CROWD}, 1, 18)")).alias("rows")).head()["rows"] or 0  # a quarter has 9 anchors at most
     home = every.filter("home").select(*by, F.col("fp").alias("a"), F.col("root").alias("ra"))
     there = every.select(*by, F.col("fp").alias("b"), F.col("root").alias("rb"))
-    links = home.join(there, by).filter(f"ra != rb and bit_count(a ^ b) <= {RADIUS}")
+    links = home.join(apart(there, rows), by).filter(f"ra != rb and bit_count(a ^ b) <= {RADIUS}")
     return links.select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
 
 def _components(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     """(fp, root): the least fingerprint of each node's component. edges: (a, b), each once, in any direction.
 
-    Large-star and small-star rounds: each keeps the components and the number of rows, and ends when nothing moves.
+    Large-star and small-star rounds: each keeps the components, makes no rows more, and ends when nothing moves.
     """
     edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), f"{name}-edges")
+    rows = edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.filter("b > a").join(apart(low, 2 * rows), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = materialise(large, f"{name}-large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+        small = large.join(apart(least, rows), "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         small = materialise(small, f"{name}-small")
-        same = edges.join(small, ["a", "b"], "left_anti").isEmpty() and small.join(edges, ["a", "b"], "left_anti").isEmpty()
+        same = edges.join(apart(small, rows), ["a", "b"], "left_anti").isEmpty() and small.join(apart(edges, rows), ["a", "b"], "left_anti").isEmpty()
         edges = small
         if same:
             break
-    return nodes.join(edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    tops = edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "fp")
+    return nodes.join(apart(tops, rows), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def components(prints: DataFrame) -> DataFrame:
     """(fp, root) of each distinct value of the column fp."""
     nodes = materialise(prints.select("fp").distinct(), "simhash-nodes")
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts, rows = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count()
     nodes = nodes.repartition(parts, "fp")  # few bytes, that become 65 times as many
     words = nodes.select("fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")).alias("word"))
     hubs = words.groupBy("word").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).filter("b < most").drop("most")
     # only members of shared words go on: few, unless there are many near copies
-    near = words.join(hubs, "word").select(F.col("fp").alias("a"), "b").filter("a != b")
+    near = words.join(apart(hubs, 65 * rows), "word").select(F.col("fp").alias("a"), "b").filter("a != b")
     first = materialise(_components(nodes, near, "simhash-two"), "simhash-first")
     joined = _components(first.select(F.col("root").alias("fp")).distinct(), _links(first), "simhash-three")
-    return first.join(joined.select(F.col("fp").alias("root"), F.col("root").alias("top")), "root").select("fp", F.col("top").alias("root"))
+    return first.join(apart(joined.select(F.col("fp").alias("root"), F.col("root").alias("top")), rows), "root").select("fp", F.col("top").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -160,10 +163,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     tops = components(prints.select(F.col("_s_fp").alias("fp")))
     # ids of equal fingerprints meet first, then those of a component
     least = prints.groupBy("_s_fp").agg(F.min("doc_id").alias("id")).withColumnRenamed("_s_fp", "fp")
-    least = tops.join(least, "fp")
+    rows = prints.count()
+    least = tops.join(apart(least, rows), "fp")
     of_top = least.groupBy("root").agg(F.min("id").alias("_s_component"))
-    named = materialise(tops.join(of_top, "root").select(F.col("fp").alias("_s_fp"), F.col("root").alias("_s_root"), "_s_component"), "simhash-named")
-    return prints.join(named, "_s_fp")
+    named = materialise(tops.join(apart(of_top, rows), "root").select(F.col("fp").alias("_s_fp"), F.col("root").alias("_s_root"), "_s_component"), "simhash-named")
+    return prints.join(apart(named, named.count()), "_s_fp")
 
 
 def _sketches(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
