@@ -397,3 +397,21 @@ def test_crowds_of_near_copies_stay_off_the_driver(spark):
     finally:
         spark.conf.unset("spark.sql.maxBroadcastTableSize")
     assert got == {(v, min(values)) for v in values}
+
+
+def test_texts_that_pack_well_stay_off_the_driver(spark):
+    rng = random.Random(12)
+    word = lambda: "abcdefghij" * 10 + str(rng.randrange(10**6))
+    rows = []
+    for g in range(350):  # 14 MB of text, in files of far less
+        base = [word() for _ in range(200)]
+        copy = list(base)
+        for at in (40, 90, 140):
+            copy[at] = word()
+        rows += [(10 * g, " ".join(base)), (10 * g + 1, " ".join(copy))]
+    spark.conf.set("spark.sql.maxBroadcastTableSize", 10_000_000)
+    try:
+        kept, groups = kept_groups(spark, rows)
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert sorted(kept) == sorted(groups)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fits_broadcast, forget, materialise, ship
+from .common import apart, fits_broadcast, forget, materialise, ship
 
 ship(__name__)
 
@@ -148,6 +148,12 @@ def _few(pairs: DataFrame) -> DataFrame:
     return F.broadcast(asked) if fits_broadcast(asked, ASKED) else asked
 
 
+def _weight(df: DataFrame, name: str) -> int:
+    """How many rows of 64 bytes, as `apart` counts them, the rows of df, a table, with a column of that name make up."""
+    found = df.agg(F.count("*").alias("n"), F.sum(F.octet_length(name)).alias("size")).head()
+    return found["n"] + (found["size"] or 0) // 64
+
+
 def _alike(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets are at least so similar."""
 
@@ -179,12 +185,16 @@ def _alike(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, shingle: int
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
     pairs = materialise(pairs, "similar-pairs")
-    bits = sketches.join(_few(pairs), "t", "left_semi").select("t", "n", "bits").dropDuplicates(["t"])
-    left, right = (bits.select(F.col("t").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
+    # near copies pack so well in files that the planner would broadcast many times the bytes it reckons with
+    bits = materialise(sketches.join(_few(pairs), "t", "left_semi").select("t", "n", "bits").dropDuplicates(["t"]), "similar-bits")
+    rows = _weight(bits, "bits")
+    left, right = (apart(bits.select(F.col("t").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")), rows) for x in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "bitsa", "nb", "bitsb")
     near = materialise(both.mapInArrow(room, "a long, b long"), "similar-near")
     own = materialise(texts.join(_few(near), "t", "left_semi").dropDuplicates(["t"]), "similar-own")
-    full = near.join(own.select(F.col("t").alias("a"), F.col("text").alias("x")), "a").join(own.select(F.col("t").alias("b"), F.col("text").alias("y")), "b")
+    rows = _weight(own, "text")
+    left, right = (apart(own.select(F.col("t").alias(k), F.col("text").alias(x)), rows) for k, x in (("a", "x"), ("b", "y")))
+    full = near.join(left, "a").join(right, "b")
     return materialise(full.select("a", "b", "x", "y").mapInArrow(same, "a long, b long"), "similar-found")
 
 
