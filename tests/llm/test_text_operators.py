@@ -4,10 +4,12 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import pytest
 import xxhash
 from tidegraph.llm import decontam, pii, quality, simhash, substrings
+from tidegraph.llm.common import shared_dir
 
 EXTRA = "doc_id long, text string, w string, t string, n int, ids string"
 
@@ -415,3 +417,28 @@ def test_texts_that_pack_well_stay_off_the_driver(spark):
     finally:
         spark.conf.unset("spark.sql.maxBroadcastTableSize")
     assert sorted(kept) == sorted(groups)
+
+
+def test_rounds_over_few_edges_take_little(spark):
+    rng = random.Random(9)
+    values = [rng.getrandbits(63) for _ in range(400)]
+    chains = [values[k : k + 20] for k in range(0, 400, 20)]
+    rows = [e for c in chains for e in zip(c, c[1:])]
+    conf = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "1k"}
+    was = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    spark.sparkContext.setJobGroup("few", "")
+    try:
+        nodes, edges = spark.createDataFrame([(v,) for v in values], "fp long"), spark.createDataFrame(rows, "a long, b long")
+        got = {r["fp"]: r["root"] for r in simhash._components(nodes, edges, "few").collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert got == {v: min(c) for c in chains for v in c}
+    told = spark.sparkContext.statusTracker()
+    stages = {s for j in told.getJobIdsForGroup("few") for s in told.getJobInfo(j).stageIds}
+    tasks = sum(x.numCompletedTasks for x in map(told.getStageInfo, stages) if x)  # Spark forgets those that it skipped, and old ones
+    left = [p.name for p in Path(shared_dir(spark).removeprefix("file:")).glob("few-*")]
+    assert tasks < 600 and len(left) == 1, (tasks, left)  # one table is what the result reads

@@ -20,7 +20,7 @@ def ship(module: str) -> None:
 ship(__name__)
 #: Models that a Python worker keeps between tasks.
 KEPT = 2
-#: Rows up to which the planner may broadcast a side of a join, which passes through the driver's memory.
+#: Rows up to which a side of a join is broadcast, which passes through the driver's memory.
 SHIPPED = 1 << 17
 
 
@@ -72,6 +72,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialise` wrote and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """From now on at most so many rows to an Arrow batch in this session: texts may be long, and a batch is held several times."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -94,6 +103,7 @@ def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
 
 
 def apart(df: DataFrame, rows: int) -> DataFrame:
-    """df, a side of a join of at most so many rows: beyond SHIPPED both sides are sorted and merged. The planner goes by the bytes of files,
-    which tell little of rows that are exploded or pack well, and would send them through the driver."""
-    return df.hint("merge") if rows > SHIPPED else df
+    """df, a side of a join of at most so many rows: up to SHIPPED it is broadcast, beyond both sides are sorted and merged. The planner goes by
+    the bytes of files, which tell little: rows that are exploded or pack well it would send through the driver, for a few rows in
+    many small files it would deal out both sides to all partitions."""
+    return df.hint("merge") if rows > SHIPPED else F.broadcast(df)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import apart, forget, materialise, ship, table
+from .common import SHIPPED, apart, discard, forget, materialise, ship, table
 from .similar import OUT, Sketcher, common_shingles, shingle_hashes, similar
 
 ship(__name__)
@@ -123,23 +123,25 @@ def _links(members: DataFrame) -> DataFrame:
 def _components(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     """(fp, root): the least fingerprint of each node's component. edges: (a, b), each once, in any direction.
 
-    Large-star and small-star rounds: each keeps the components, makes no rows more, and ends when nothing moves.
+    Large-star and small-star rounds: each keeps the components, makes no rows more, and shows whether all are stars already. What a
+    round has read is deleted; up to SHIPPED rows are not told apart again, which would deal them out once more.
     """
     edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), f"{name}-edges")
     rows = edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(apart(low, 2 * rows), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = materialise(both.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("most")), f"{name}-low")
+        if low.filter("m < a and m != most").isEmpty():  # each is the least of all it meets, or meets one, that is less
+            break
+        large = edges.join(apart(low.select(F.col("a").alias("b"), F.least("a", "m").alias("m")), 2 * rows), "b").select("a", F.col("m").alias("b"))
         large = materialise(large, f"{name}-large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(apart(least, rows), "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        small = materialise(small, f"{name}-small")
-        same = edges.join(apart(small, rows), ["a", "b"], "left_anti").isEmpty() and small.join(apart(edges, rows), ["a", "b"], "left_anti").isEmpty()
+        small = large.join(apart(least, rows), "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).filter("a != b")
+        small = materialise(small if rows <= SHIPPED else small.distinct(), f"{name}-small")
+        discard(edges, low, large)
         edges = small
-        if same:
-            break
-    tops = edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "fp")
+    discard(edges)
+    tops = low.filter("m < a").select(F.col("a").alias("fp"), F.col("m").alias("root"))
     return nodes.join(apart(tops, rows), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 

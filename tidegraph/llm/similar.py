@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import apart, fits_broadcast, forget, materialise, ship
+from .common import apart, discard, fits_broadcast, forget, materialise, ship
 
 ship(__name__)
 
@@ -131,7 +131,7 @@ def _mixed(rows: DataFrame) -> DataFrame:
 
 
 def _may_meet(left: DataFrame, right: DataFrame, keys: list[str], similarity: float, also: str) -> DataFrame:
-    """Pairs (a, b) of different groups that share a token, whose sizes and places of it allow the similarity."""
+    """Pairs (a, b) of different groups, (ga, gb), that share a token, whose sizes and places of it allow the similarity."""
     x = left.select(*keys, *[F.col(c).alias(f"{c}1") for c in ("t", "g", "n", "pos", "idx", *_SHORT)])
     y = right.select(*keys, *[F.col(c).alias(f"{c}2") for c in ("t", "g", "n", "pos", "idx", *_SHORT)])
     near = f"least(n1, n2) >= {similarity}D * greatest(n1, n2) - 1e-6D"
@@ -139,13 +139,16 @@ def _may_meet(left: DataFrame, right: DataFrame, keys: list[str], similarity: fl
     room = f"1 + least(pos1, pos2) + least(n1 - pos1, n2 - pos2) - 1 >= {similarity}D / (1 + {similarity}D) * (n1 + n2) - 1e-6D"
     bits = " + ".join(f"bit_count({c}1 ^ {c}2)" for c in _SHORT)
     near += f" and {bits} <= {(1 - similarity) / (1 + similarity)!r}D * (n1 + n2) + 1e-6D"
-    return x.join(y, keys).filter(f"g1 != g2 and {near} and {room} and {also}").select(F.expr("least(t1, t2)").alias("a"), F.expr("greatest(t1, t2)").alias("b")).distinct()
+    found = x.join(y, keys).filter(f"g1 != g2 and {near} and {room} and {also}")
+    return found.selectExpr("least(t1, t2) as a", "greatest(t1, t2) as b", "if(t1 < t2, g1, g2) as ga", "if(t1 < t2, g2, g1) as gb").distinct()
 
 
-def _few(pairs: DataFrame) -> DataFrame:
-    """The ids t in pairs; broadcast where there are at most ASKED."""
+def _asked(df: DataFrame, pairs: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """A row of df, as a table, for each id t in pairs; these are broadcast where there are at most ASKED."""
     asked = materialise(pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct(), "similar-asked")
-    return F.broadcast(asked) if fits_broadcast(asked, ASKED) else asked
+    own = materialise(df.join(F.broadcast(asked) if fits_broadcast(asked, ASKED) else asked, "t", "left_semi").select(*columns).dropDuplicates(["t"]), name)
+    discard(asked)
+    return own
 
 
 def _weight(df: DataFrame, name: str) -> int:
@@ -155,16 +158,16 @@ def _weight(df: DataFrame, name: str) -> int:
 
 
 def _alike(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets are at least so similar."""
+    """(a, b), of groups, of the pairs (a, b, ga, gb) whose sets are at least so similar."""
 
     def room(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n1, n2 = batch.column(2).to_pylist(), batch.column(4).to_pylist()
+            n1, n2 = batch.column(4).to_pylist(), batch.column(6).to_pylist()
             keep = [
                 differ(x.as_buffer(), y.as_buffer()) <= (1 - similarity) / (1 + similarity) * (p + q) + 1e-6
-                for x, p, y, q in zip(batch.column(3), n1, batch.column(5), n2)
+                for x, p, y, q in zip(batch.column(5), n1, batch.column(7), n2)
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:4]], names=["a", "b", "ga", "gb"])
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}  # of the side that comes sorted
@@ -178,24 +181,26 @@ def _alike(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, shingle: int
 
         for batch in batches:
             keep = []
-            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(4), batch.column(5)):
                 p, q = members(a, x), members(b, y)
                 met = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(met + 1e-9 >= similarity * (len(p) + len(q) - met))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[2:4]], names=["a", "b"])
 
     pairs = materialise(pairs, "similar-pairs")
     # near copies pack so well in files that the planner would broadcast many times the bytes it reckons with
-    bits = materialise(sketches.join(_few(pairs), "t", "left_semi").select("t", "n", "bits").dropDuplicates(["t"]), "similar-bits")
+    bits = _asked(sketches, pairs, ["t", "n", "bits"], "similar-bits")
     rows = _weight(bits, "bits")
     left, right = (apart(bits.select(F.col("t").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")), rows) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "bitsa", "nb", "bitsb")
-    near = materialise(both.mapInArrow(room, "a long, b long"), "similar-near")
-    own = materialise(texts.join(_few(near), "t", "left_semi").dropDuplicates(["t"]), "similar-own")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb", "na", "bitsa", "nb", "bitsb")
+    near = materialise(both.mapInArrow(room, "a long, b long, ga long, gb long"), "similar-near")
+    own = _asked(texts, near, ["t", "text"], "similar-own")
     rows = _weight(own, "text")
     left, right = (apart(own.select(F.col("t").alias(k), F.col("text").alias(x)), rows) for k, x in (("a", "x"), ("b", "y")))
     full = near.join(left, "a").join(right, "b")
-    return materialise(full.select("a", "b", "x", "y").mapInArrow(same, "a long, b long"), "similar-found")
+    found = materialise(full.select("a", "b", "ga", "gb", "x", "y").mapInArrow(same, "a long, b long"), "similar-found")
+    discard(pairs, bits, near, own)
+    return found
 
 
 def similar(sketches: DataFrame, texts: DataFrame, groups: DataFrame, components, shingle: int, similarity: float) -> DataFrame:
@@ -206,22 +211,26 @@ def similar(sketches: DataFrame, texts: DataFrame, groups: DataFrame, components
     """
     short = [F.col("short")[i].alias(c) for i, c in enumerate(_SHORT)]
     sizes = groups.join(sketches.select("t", "n", *short).dropDuplicates(["t"]), "t")
-    rows = _rows(sketches, materialise(sizes, "similar-sizes"), similarity)
-    rows = materialise(_mixed(materialise(rows, "similar-rows")), "similar-tokens")
-
-    def as_groups(found: DataFrame) -> DataFrame:
-        out = found.join(groups.select(F.col("t").alias("a"), F.col("g").alias("ga")), "a").join(groups.select(F.col("t").alias("b"), F.col("g").alias("gb")), "b")
-        return out.select(F.col("ga").alias("a"), F.col("gb").alias("b"))
-
-    # each text with one other of its size class under each token, round by round others, while this leaves half the pairs or less
+    sizes = materialise(sizes, "similar-sizes")
+    first = materialise(_rows(sketches, sizes, similarity), "similar-rows")
+    rows = materialise(_mixed(first), "similar-tokens")
+    discard(sizes, first)
+    names = materialise(groups.select(F.col("g").alias("fp")).distinct(), "similar-groups")
+    many = names.count()
+
+    # each text with one other of its size class under each token, round by round others, while this leaves half the pairs or less;
+    # links of later rounds are those of what earlier ones have joined, named by its least group
     links, rest, now, k = None, rows, math.inf, 0
     while True:
         banded = rest.withColumn("band", F.expr("cast(floor(ln(n) / ln(1.25D)) as int)")).withColumn("by", F.xxhash64("t", F.lit(k)))
         heads = banded.groupBy("token", "band").agg(F.min(F.struct("by", "t", "g", "n", "pos", "idx", *_SHORT)).alias("x")).select("token", "band", "x.*")
-        found = as_groups(_alike(_may_meet(banded, heads, ["token", "band"], similarity, "t1 != t2"), sketches, texts, shingle, similarity)).distinct()
-        links = materialise(found if links is None else links.union(found), "similar-links")
-        tops = materialise(components(groups.select(F.col("g").alias("fp")).distinct(), links, "similar-first").select(F.col("fp").alias("g"), "root"), "similar-tops")
-        rest = materialise(_mixed(rows.join(tops, "g").drop("g").withColumnRenamed("root", "g")), "similar-rest")
+        found = _alike(_may_meet(banded, heads, ["token", "band"], similarity, "t1 != t2"), sketches, texts, shingle, similarity)
+        links = found if links is None else links.union(found)
+        tops = materialise(components(names, links, "similar-first").select(F.col("fp").alias("g"), "root"), "similar-tops")
+        if k:
+            discard(rest, sizes)
+        rest = materialise(_mixed(rows.join(apart(tops, many), "g").drop("g").withColumnRenamed("root", "g")), "similar-rest")
+        discard(tops)
         sizes = materialise(rest.groupBy("token", "g").agg(F.count("*").alias("c")), "similar-sizes")
         left = sizes.groupBy("token").agg(F.sum("c").alias("n"), F.max("c").alias("most")).agg(F.sum(F.expr("n * (n - most)")).alias("pairs"), F.sum("n").alias("rows")).head()
         before, now = now, left["pairs"] or 0
@@ -231,5 +240,4 @@ def similar(sketches: DataFrame, texts: DataFrame, groups: DataFrame, components
     # of two in different groups at least one is not in the token's largest
     largest = sizes.groupBy("token").agg(F.max(F.struct("c", "g")).alias("x")).select("token", F.col("x.g").alias("most"))
     few = rest.join(largest, "token").filter("g != most").drop("most")
-    second = _alike(_may_meet(few, rest, ["token"], similarity, "if(n1 < n2 or (n1 = n2 and t1 < t2), idx1, idx2)"), sketches, texts, shingle, similarity)
-    return links.union(as_groups(second))
+    return links.union(_alike(_may_meet(few, rest, ["token"], similarity, "if(n1 < n2 or (n1 = n2 and t1 < t2), idx1, idx2)"), sketches, texts, shingle, similarity))
