@@ -4,11 +4,13 @@ import base64
 import gzip
 import hashlib
 import io
+import json
 import random
 import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -90,6 +92,49 @@ def test_huffman_of_nothing(spark, tmp_path):
     assert huffman.op8_huffman(spark, documents(spark, tmp_path, [])).count() == 0
 
 
+def ids_of(of, texts):
+    flat, ends = of(pa.array(texts, pa.string()))
+    return [flat[a:b].tolist() for a, b in zip([0, *ends.tolist()], ends.tolist())]
+
+
+def ids_by_library(texts):
+    return [[*TOKENIZER.encode(t or "", add_special_tokens=False).ids, huffman.END] for t in texts]
+
+
+def test_huffman_words_cut_without_the_library():
+    """Latin words with capitals, digits and marks are cut into pieces, each of which is asked for once."""
+    of = huffman._Ids(open(bpe.vocabulary_path(), encoding="utf-8").read())
+    texts = ["Osmiez. ofthan### +1 (238) LAAI!! \u00c9tre,*** x", "osmiez ofthan$$$ \u0181\u023a.,. 4460307498010481", "Plain words, here. And there", None, " "]
+    of.library = None
+    assert ids_of(of, texts) == ids_by_library(texts)
+    of.words = None  # all pieces are known, so other words of them are put together
+    texts = ["OSMIEZ,*** Ofthan!! x44", "Words"]
+    assert ids_of(of, texts) == ids_by_library(texts)
+
+
+@pytest.mark.parametrize("cache", [2, 60, 450_000])
+def test_huffman_words_forgotten(monkeypatch, cache):
+    monkeypatch.setattr(huffman, "CACHE", cache)
+    of = huffman._Ids(open(bpe.vocabulary_path(), encoding="utf-8").read())
+    for k in range(0, len(TEXTS), 40):
+        texts = ["the same words", *TEXTS[k : k + 40]]
+        assert ids_of(of, texts) == ids_by_library(texts)
+        assert cache > 60 or len(of.rows) <= 2 + cache
+
+
+def test_huffman_special_tokens_by_their_case():
+    of = huffman._Ids(open(bpe.vocabulary_path(), encoding="utf-8").read())
+    texts = ["a\x1cb", "<|ENDOFTEXT|> x", "<|endoftext|> x"]
+    assert ids_of(of, texts) == ids_by_library(texts)
+
+
+def test_huffman_ids_of_a_vocabulary_with_case():
+    spec = json.load(open(bpe.vocabulary_path(), encoding="utf-8")) | {"normalizer": None}
+    texts = ["Abc, DEF. x", "don't 123", "plain words"]
+    want = [[*Tokenizer.from_str(json.dumps(spec)).encode(t, add_special_tokens=False).ids, huffman.END] for t in texts]
+    assert ids_of(huffman._Ids(json.dumps(spec)), texts) == want
+
+
 class Bytes(io.BytesIO):
     def size(self):
         return len(self.getvalue())

@@ -20,7 +20,9 @@ import re
 import struct
 import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, compress, islice
 
 import numpy as np
 import pandas as pd
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import stretches, vocabulary_path
+from .bpe import _SPACE, vocabulary_path
 from .common import kept_by_worker, scratch, ship, table
 
 ship(__name__)
@@ -38,9 +40,17 @@ LIMIT, BLOCK, SEGMENT, END = 18, 256, 1 << 20, 2
 CACHE = 450_000
 SLICE = 8 << 20
 MAGIC = b"TGH1"
+#: Latin letters whose lower case is one of them too.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u02af\u2c65\u2c66"
 #: A text without a match is Latin letters, white space and single commas and full stops: in lower case, with those apart, its words are the tokenizer's.
-_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
-_OTHER = "[^A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f \n,.]|[,.][,.]"
+_OTHER = f"[^{_LATIN} \n,.]|[,.][,.]"
+#: A text without a match has the same ids in lower case: "<" may begin a special token, other letters are the library's to change.
+_CASED = f"[^{_LATIN}\t-\r -;=-~]"
+#: A word without a match is cut as the tokenizer cuts it: into letters, single digits and the rest.
+_UNCUT = f"[^{_LATIN}!-&(-;=-~]"
+#: White space beyond ASCII, and what is near it.
+_BLANK = "[\x85\xa0\u1680\u180e\u2000-\u206f\u3000]"
+_CUTS = re.compile(f"[{_LATIN}]+|[0-9]|\n|[!-&(-/:;=-@\\[-`{{-~]+")
 _PIECE = np.dtype([("doc", "<i8"), ("n", "<u4"), ("flags", "u1")])
 
 
@@ -124,7 +134,8 @@ def unpack(data: bytes, n: int, blocks: np.ndarray, ids: np.ndarray, sizes: np.n
 
 
 class _Ids:
-    """Ids of texts by the library, word by distinct word of a batch; words of letters that are new to the worker go in one call."""
+    """Ids of texts by the library, word by distinct word of a batch; pieces of Latin words that are new to the worker go in one call.
+    Of words known, the half of CACHE that batches asked for most is kept when there is no room for more."""
 
     def __init__(self, spec: str) -> None:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -132,7 +143,7 @@ class _Ids:
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
-        # for words of letters in lower case, composed and apart: the same merges, without looking for words again
+        # for pieces in lower case, composed and apart: the same merges, without looking for words again
         self.words = Tokenizer.from_str(spec)
         self.words.normalizer = normalizers.Sequence([])
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -140,51 +151,99 @@ class _Ids:
         self.width = 2 if max(vocab.values()) < 1 << 16 else 4
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.kept: dict[str, bytes] = {"": b""}
-
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if _LETTERS.fullmatch(w) and w == w.lower()]
-        if plain:  # each is one word to the tokenizer, so it has one token that ends a word, its last
-            ids = np.array(self.words.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(plain, ((np.nonzero(self.ends[ids])[0] + 1) * 4).tolist(), strict=True):
-                self.kept[w] = raw[at:end]
-                at = end
-        rest = [w for w in words if w not in self.kept]
-        for w, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
-            self.kept[w] = np.array(e.ids, "<u4").tobytes()
-
-    def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Which distinct word each word is, where each text's words end, and ids of the distinct words, flat, with their numbers."""
+        # of another kind of vocabulary all words go to the library as they are
+        ids = self.words.encode("ab 1 2 .; c\u00e9", add_special_tokens=False).ids
+        self.cuts = ids == self.library.encode("Ab12.;C\u00c9", add_special_tokens=False).ids and self.ends[ids].sum() == 5
+        self.cuts = self.cuts and all("<" in t.content for t in self.library.get_added_tokens_decoder().values())
+        # a row for each word known, the next one for a word looked up: where its ids begin, how many they are, how many batches had it
+        self._reset([], np.zeros(0, np.int64))
+
+    def _reset(self, words: list[str], rows: np.ndarray) -> None:
+        """Keep words, which are at these rows. The first two rows stay: no ids, and the end of a text, which a line feed stands for."""
+        self.flat, ends = self._ids(np.append([0, 1], rows)) if words else (np.array([END], f"<u{self.width}"), np.array([0, 1]))
+        self.sizes = np.diff(ends, prepend=0)
+        self.first = ends - self.sizes
+        self.hits = np.append([0, 0], self.hits[rows] // 2) if words else np.zeros(2, np.int64)
+        self.rows: defaultdict[str, int] = defaultdict(None, zip(["", "\n", *words], range(len(ends))))
+        self.rows.default_factory = self.rows.__len__
+
+    def _forget(self) -> None:
+        worth = np.where(self.sizes > 16, 0, self.hits)[2:]  # long words take room and seldom come again
+        keep = np.sort(np.lexsort((np.arange(len(worth)), worth))[len(worth) - min(CACHE // 2, np.count_nonzero(worth)) :])
+        words = list(self.rows)
+        self._reset([words[k] for k in (keep + 2).tolist()], keep + 2)
+
+    def _ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of rows, flat, and where each row's end."""
+        n = self.sizes[rows]
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(self.first[rows] - ends + n, n) + np.arange(n.sum())], ends
+
+    def _set(self, rows: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.first[rows], self.sizes[rows] = len(self.flat) + np.cumsum(sizes) - sizes, sizes
+        self.flat = np.concatenate([self.flat, ids.astype(self.flat.dtype)])
+
+    def _learn(self, words: list[str], odd: np.ndarray, known: int) -> None:
+        """Ids of words, which are at the rows from `known` on, and of the pieces that those not odd are cut into."""
+        plain, own = list(compress(words, (~odd).tolist())), known + np.nonzero(~odd)[0]
+        pieces = _CUTS.findall("\n".join(plain).lower())
+        at = np.fromiter(map(self.rows.__getitem__, pieces), np.int64, len(pieces))
+        more = len(self.rows) - known
+        self.first, self.sizes, self.hits = (np.pad(x, (0, more)) for x in (self.first, self.sizes, self.hits))
+        # a word that is its own first piece has no other one
+        border = at == 1
+        of = np.cumsum(border)
+        made = at[np.append(0, np.nonzero(border)[0] + 1)] != own if plain else np.zeros(0, bool)
+        new = np.ones(more, bool)
+        new[: len(words)] = ~odd
+        new[own[made] - known] = False
+        if new.any():  # each is one word to the tokenizer, so it has one token that ends a word, its last
+            names = chain(words, [*islice(reversed(self.rows), more - len(words))][::-1])
+            ids = np.array(self.words.encode_batch_fast([" ".join(compress(names, new.tolist()))], add_special_tokens=False)[0].ids, np.int64)
+            sizes = np.diff(np.nonzero(self.ends[ids])[0], prepend=-1)
+            if len(sizes) != np.count_nonzero(new):
+                raise ValueError(f"{len(sizes)} ends of words for {np.count_nonzero(new)} pieces")
+            self._set(known + np.nonzero(new)[0], ids, sizes)
+        if made.any():
+            some = made[of] & ~border
+            sizes = np.bincount(of[some], self.sizes[at[some]], len(plain))[made].astype(np.int64)
+            self._set(own[made], self._ids(at[some])[0], sizes)
+        if odd.any():
+            got = [e.ids for e in self.library.encode_batch_fast([*compress(words, odd.tolist())], add_special_tokens=False)]
+            self._set(known + np.nonzero(odd)[0], np.array([*chain(*got)], np.int64), np.array([len(ids) for ids in got]))
+
+    def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each word, and where each text's words end."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
-        if pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():  # white space to Arrow, not to the library
-            words = pa.array([stretches(t) for t in texts.to_pylist()], pa.large_list(pa.large_string()))
+        cased = pc.match_substring_regex(texts, _CASED)
+        beyond = texts.filter(cased)
+        if pc.any(pc.match_substring_regex(beyond, "[\x1c-\x1f]")).as_py():  # white space to Arrow, not to the library
+            words = pa.array([[x for x in _SPACE.split(t) if x] for t in texts.to_pylist()], pa.large_list(pa.large_string()))
         else:
-            plain = pc.invert(pc.match_substring_regex(texts, _OTHER))
-            apart = pc.replace_substring(pc.replace_substring(pc.utf8_lower(texts), ",", " , "), ".", " . ")
-            words = pc.utf8_split_whitespace(pc.if_else(plain, apart, texts))
+            if self.cuts:
+                low = pc.utf8_lower(texts)
+                apart = pc.replace_substring(pc.replace_substring(low, ",", " , "), ".", " . ")
+                texts = pc.if_else(cased, texts, pc.if_else(pc.match_substring_regex(texts, _OTHER), low, apart))
+            words = (pc.utf8_split_whitespace if pc.any(pc.match_substring_regex(beyond, _BLANK)).as_py() else pc.ascii_split_whitespace)(texts)
         ends = np.asarray(words.offsets)[1:].astype(np.int64) - np.asarray(words.offsets)[0]
         of = words.flatten().dictionary_encode()
-        distinct, kept = of.dictionary.to_pylist(), self.kept
-        new = [w for w in distinct if w not in kept]
-        if len(kept) + len(new) > CACHE:
-            kept.clear()
-            kept[""] = b""
-            new = [w for w in distinct if w]
-        self._learn(new)
-        raw = [kept[w] for w in distinct]
-        return np.asarray(of.indices).astype(np.int64), ends, np.frombuffer(b"".join(raw), "<u4"), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        distinct, known = of.dictionary.to_numpy(zero_copy_only=False).tolist(), len(self.rows)
+        rows = np.fromiter(map(self.rows.__getitem__, distinct), np.int64, len(distinct))
+        new = rows >= known
+        if new.any():
+            odd = pc.match_substring_regex(of.dictionary.filter(pa.array(new)), _UNCUT if self.cuts else "")
+            self._learn([*compress(distinct, new.tolist())], odd.to_numpy(zero_copy_only=False), known)
+        self.hits[rows] += 1
+        return rows[np.asarray(of.indices)], ends
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with its end id, and where each text's end."""
-        at, ends, ids, sizes = self._words(texts)
-        n, first = sizes[at], np.cumsum(sizes) - sizes
-        upto = np.concatenate([[0], np.cumsum(n)])
-        flat = ids[np.repeat(first[at] - upto[:-1], n) + np.arange(upto[-1])]
-        stops = upto[ends] + np.arange(1, len(ends) + 1)
-        out = np.full(len(flat) + len(ends), END, np.uint32)
-        out[np.delete(np.arange(len(out)), stops - 1)] = flat
-        return out, stops
+        known = len(self.rows)
+        at, ends = self._words(texts)
+        flat, upto = self._ids(np.insert(at, ends, 1))
+        if 2 * len(self.rows) - known > CACHE or len(self.flat) > 16 * CACHE:  # no room for as many new ones
+            self._forget()
+        return flat, upto[ends + np.arange(len(ends))]
 
 
 def _vocabulary(spec: str) -> dict[str, int]:
@@ -216,7 +275,7 @@ def tokenised(docs: DataFrame, spec) -> DataFrame:
             flat, stops = of(batch.column(1))
             wide = of.width
             ends = np.concatenate([[0], stops * wide])
-            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(stops), [None, pa.py_buffer(ends.astype("<i8")), pa.py_buffer(flat.astype(f"<u{wide}").tobytes())])
+            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(stops), [None, pa.py_buffer(ends.astype("<i8")), pa.py_buffer(flat)])
             yield pa.RecordBatch.from_arrays([batch.column(0), raw.cast(pa.binary())], names=["doc_id", "ids"])
 
     out, path = docs.mapInArrow(make, T.StructType([docs.schema["doc_id"], T.StructField("ids", T.BinaryType())])), scratch(docs.sparkSession, "huffman-ids")
