@@ -71,3 +71,23 @@ def test_every_benchmark_item_is_asked(spark, tmp_path):
     rows = registry.flat_prompt(spark, str(tmp_path)).collect()
     assert sorted(r["question_id"] for r in rows) == list(range(3, 63))
     assert all(f"question {r['question_id']}" in r["prompt"] for r in rows)
+
+
+@pytest.mark.parametrize("blocks", [0, 5])
+def test_batch_keeps_k_rows_a_query_and_task(spark, blocks, monkeypatch):
+    """The same rows as from all pairs, nulls, odd numbers, lengths, copies and ties among them; no join makes a row a pair."""
+    import random
+
+    from pyspark.sql import Window
+
+    monkeypatch.setattr(V, "QUERIES", 15)
+    r, nan, inf = random.Random(7), float("nan"), float("inf")
+    vec = lambda: r.choice([None, [], [nan, 1.0], [inf, 0.0, None], [0.1, 0.2, 0.3, 0.4]]) if r.random() < 0.1 else [r.choice([0.1, 0.3, -0.7, r.random()]) for _ in range(4)]
+    items = spark.createDataFrame([(f"d{i % 90}#{i}", vec(), f"c{i}", {"k": str(i)}) for i in range(400)], "seq string, embedding array<double>, content string, metadata map<string,string>")
+    asked = spark.createDataFrame([(i, vec()) for i in range(40)], "query_id long, query array<double>")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "seq"))
+    pairs = items.crossJoin(asked).withColumn("score", V.dot("embedding", "query")).withColumn("rank", rank).filter("rank <= 3")
+    shown = lambda df: sorted(map(str, df.select("query_id", "rank", "seq", "content", F.element_at("metadata", "k"), F.col("score").cast("string")).collect()))
+    got = V.top_k_batch(items, asked, 3, blocks=blocks)
+    assert shown(got) == shown(pairs)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()

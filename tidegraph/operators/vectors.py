@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.shipping import ship
 from ..functions.text import _c
@@ -145,16 +146,131 @@ def top_k(items: DataFrame, query: Column, k: int, order: str = "seq") -> DataFr
     return items.withColumn("score", dot("embedding", query)).orderBy(F.desc("score"), order).limit(k)
 
 
+#: Queries that go to the workers at a time, and rows of a tile of scores.
+QUERIES, TILE = 16_384, 2_048
+
+
 def top_k_batch(items: DataFrame, queries: DataFrame, k: int, order: str = "seq", by: str = "query_id", blocks: int = 64) -> DataFrame:
-    """queries (query_id, query): each query's k best items. The queries are a stated set and meet the items in blocks; a
-    block keeps its own k best, so what is ranked at the end is k rows a query and block."""
+    """queries (query_id, query): each query's k best items. The queries are a stated set and go to the workers QUERIES at a time;
+    a task holds the k best rows of each query and passes on nothing else, so what is ranked at the end is k rows a query and task.
+    Items are dealt over `blocks` tasks, with 0 blocks they stay where they lie."""
     if k < 0:
         raise ValueError("k must not be negative")
-    met = items.withColumn("block", F.pmod(F.xxhash64(order), F.lit(blocks))).crossJoin(F.broadcast(queries)).withColumn("score", dot("embedding", "query")).drop("query", "embedding")
-    for keys in ([by, "block"], [by]):
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), order))
-        met = met.withColumn("rank", rank).filter(F.col("rank") <= k)
-    return met.drop("block")
+    dealt = items.repartition(blocks, order) if blocks else items
+    asked = queries.select(by, F.col("query").cast("array<double>").alias("query"))
+    parts = [f for f in items.schema if f.name != "embedding"]
+    schema = T.StructType([*parts, asked.schema[by], T.StructField("score", T.DoubleType())])
+    sent = dealt.select(*[f.name for f in parts], F.col("embedding").cast("array<double>").alias("embedding"))
+    slices, met = max(1, -(-asked.count() // QUERIES)), None
+    for s in range(slices):
+        some = (asked if slices == 1 else asked.filter(F.pmod(F.xxhash64(by), F.lit(slices)) == s)).toArrow().combine_chunks()
+        found = sent.mapInArrow(_nearest(some, k, order, by), schema)
+        met = found if met is None else met.unionByName(found)
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), order))
+    return met.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _vectors(column):
+    """(matrix filled up with zeros, lengths, places of null elements) of an Arrow column of lists; a null list has length -1."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    n = np.asarray(pc.fill_null(pc.list_value_length(column), -1)).astype(np.int64)
+    flat, width = column.flatten(), max(0, int(n.max(initial=0)))
+    inside = np.arange(width) < n[:, None]
+    matrix, empty = np.zeros((len(n), width)), np.zeros((len(n), width), bool)
+    matrix[inside] = np.asarray(pc.fill_null(flat, 0.0))
+    empty[inside] = np.asarray(flat.is_null())
+    return matrix, n, empty
+
+
+def _nearest(asked, k: int, order: str, by: str):
+    """Batches of items to the rows that are among a query's k best of the task, with query and score.
+
+    A matrix product rules out what cannot be among the best, with a bound of its rounding; the rest is summed in the order of `dot`.
+    """
+    ids, (wanted, sizes, gaps) = asked.column(by).combine_chunks(), _vectors(asked.column("query").combine_chunks())
+
+    def scores(a, n, empty, i, q):
+        """(kind, score) of pairs: 2 for not a number, 1 for a number, 0 for null."""
+        import numpy as np
+
+        least = np.minimum(n[i], sizes[q])
+        total, null = np.zeros(len(i)), least < 0
+        with np.errstate(all="ignore"):
+            for d in range(min(a.shape[1], wanted.shape[1])):
+                total = np.where(d < least, total + a[i, d] * wanted[q, d], total)
+                null |= (d < least) & (empty[i, d] | gaps[q, d])
+        kind = np.where(null, 0, np.where(np.isnan(total), 2, 1))
+        return kind, np.where(kind == 1, total, 0.0)
+
+    def near(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        many, held = len(ids), None
+        # the best so far, a row a query: kind (-1 for none), score, and place among the rows held
+        kinds, best, rows = np.full((many, k), -1), np.zeros((many, k)), np.zeros((many, k), np.int64)
+        length = np.sqrt((wanted * wanted).sum(axis=1))
+        plain_queries = bool((sizes >= 0).all() and not gaps.any() and np.isfinite(wanted).all() and (length < 1e100).all())
+        for batch in batches:
+            if not (batch.num_rows and many and k):
+                continue
+            a, n, empty = _vectors(batch.column("embedding"))
+            own = pa.Table.from_batches([batch.drop_columns(["embedding"])])
+            before = 0 if held is None else held.num_rows
+            held = own if held is None else pa.concat_tables([held, own])
+            code = np.empty(held.num_rows, np.int64)
+            code[np.asarray(pc.sort_indices(held.column(order), null_placement="at_start"))] = np.arange(held.num_rows)
+            # of equal vectors only the first k can be among the best
+            mark = np.ascontiguousarray(np.column_stack([a + 0.0, empty, n])).view(np.uint64)
+            first = np.lexsort((code[before:], *mark.T))
+            new = np.r_[True, (mark[first][1:] != mark[first][:-1]).any(axis=1)]
+            at = np.arange(len(first))
+            use = np.sort(first[at - np.maximum.accumulate(np.where(new, at, 0)) < k])
+            norm = np.sqrt((a * a).sum(axis=1))
+            plain = plain_queries and bool((n >= 0).all() and not empty.any() and np.isfinite(a).all() and (norm < 1e100).all())
+            width = min(a.shape[1], wanted.shape[1])
+            for j in range(0, many, TILE):
+                for u in range(0, len(use), TILE):
+                    i, q = use[u : u + TILE], np.arange(j, min(many, j + TILE))
+                    if plain:
+                        about = wanted[q, :width] @ a[i, :width].T
+                        slack = 16 * (width + 2) * 2.0**-52 * length[q] * norm[i].max() + 1e-290
+                        full = kinds[q, k - 1]
+                        floor = np.where(full == 2, np.inf, np.where(full == 1, best[q, k - 1], -np.inf)) - slack
+                        if len(i) > k and (full < 1).any():  # the k-th of the tile is a floor as well
+                            floor = np.maximum(floor, np.partition(about, -k, axis=1)[:, -k] - 2 * slack)
+                        y, x = np.nonzero(about >= floor[:, None])
+                    else:
+                        y, x = (v.ravel() for v in np.indices((len(q), len(i))))
+                    for z in range(0, len(y), 1 << 18):
+                        qs, xs = q[y[z : z + (1 << 18)]], i[x[z : z + (1 << 18)]]
+                        kind, score = scores(a, n, empty, xs, qs)
+                        hit = np.unique(qs)
+                        old = np.repeat(hit, k), kinds[hit].ravel(), best[hit].ravel(), rows[hit].ravel()
+                        qs, kind, score, row = (np.concatenate(v) for v in zip(old, (qs, kind, score, xs + before)))
+                        by_rank = np.lexsort((code[row], -score, -kind, qs))
+                        qs, kind, score, row = qs[by_rank], kind[by_rank], score[by_rank], row[by_rank]
+                        begin = np.searchsorted(qs, hit)
+                        pick = begin[:, None] + np.arange(k)  # every query has k old places
+                        kinds[hit], best[hit], rows[hit] = kind[pick], score[pick], row[pick]
+            keep, place = np.unique(rows[kinds >= 0], return_inverse=True)
+            held = held.take(pa.array(keep)).combine_chunks()
+            rows[kinds >= 0] = place
+            rows[kinds < 0] = 0
+        if held is None:
+            return
+        q, r = np.nonzero(kinds >= 0)
+        kind, score = kinds[q, r], best[q, r]
+        score = pa.array(np.where(kind == 2, np.nan, score), pa.float64(), mask=kind == 0, from_pandas=False)
+        for z in range(0, len(q), 10_000):
+            some = slice(z, z + 10_000)
+            out = held.take(pa.array(rows[q, r][some])).append_column(by, ids.take(pa.array(q[some]))).append_column("score", score[some])
+            yield from out.combine_chunks().to_batches()
+
+    return near
 
 
 class EmbeddingStore:
