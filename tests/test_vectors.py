@@ -91,3 +91,14 @@ def test_batch_keeps_k_rows_a_query_and_task(spark, blocks, monkeypatch):
     got = V.top_k_batch(items, asked, 3, blocks=blocks)
     assert shown(got) == shown(pairs)
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hits_are_written_once(spark):
+    """What is asked of the hits reads a table of k rows a question and does not search again."""
+    from tidegraph.operators import agent
+
+    store = spark.createDataFrame([(f"d#{i}", f"text {i}", {"doc_id": f"d{i}"}, [float(i)]) for i in range(9)], "seq string, content string, metadata map<string,string>, embedding array<double>")
+    asked = spark.createDataFrame([(1, "7")], "question_id int, question string")
+    hits = agent._hits(store, asked, flat, 3)
+    assert [r["content"] for r in hits.orderBy("rank").collect()] == ["text 8", "text 7", "text 6"]
+    assert hits._jdf.queryExecution().optimizedPlan().toString().startswith("Relation")

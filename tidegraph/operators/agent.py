@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fill, keyword_recall, numbered
+from ..plans.tables import kept
 from .context import context
 from .linking import ordered_distinct
 from .metering import USAGE
@@ -54,7 +55,8 @@ def judge_prompt(question: Column, gold: Column, answer: Column) -> Column:
 
 def _hits(store: DataFrame, questions: DataFrame, embed: Callable[[Column], Column], top_k: int) -> DataFrame:
     asked = questions.select(F.col("question_id").alias("query_id"), embed(F.col("question")).alias("query"))
-    return top_k_batch(store, asked, top_k).withColumnRenamed("query_id", "question_id")
+    # chunks stay where they lie; the hits are few, and what is asked of them more than once reads them as a table
+    return kept(top_k_batch(store, asked, top_k, blocks=0).withColumnRenamed("query_id", "question_id"))
 
 
 def _chunks(hits: DataFrame) -> DataFrame:
