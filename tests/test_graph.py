@@ -108,3 +108,13 @@ def test_report(spark, tmp_path):
         "graph       0.00   0.00        0        0   0.00000     0.00", "", "== Per question", "--- q1 [hop] flat recall=1.00 judge=2 1.50s", "LAN",
         "--- q1 [hop] graph recall=0.00 judge=0 0.00s", "no", "",
     ]
+
+
+def test_hops_write_only_nodes(spark, monkeypatch):
+    """Edges are not written, and those that stand twice change nothing."""
+    nodes, edges = built(spark)
+    written, keep = [], graph.kept
+    monkeypatch.setattr(graph, "kept", lambda df: written.append(df.columns) or keep(df))
+    hops = graph.shortest_hops(edges.unionByName(edges), nodes.filter("doc_id = 'law1'"), nodes.filter("label = 'Case'")).collect()
+    assert {r["key"]: r["hops"] for r in hops} == {"Vụ một": 2, "Vụ hai": 4}
+    assert len(written) == 6 and all(set(c) <= {"label", "key", "hops"} for c in written)

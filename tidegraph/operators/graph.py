@@ -159,14 +159,22 @@ def first_edges(found: DataFrame, limit: int = 60) -> DataFrame:
 
 
 def shortest_hops(edges: DataFrame, start: DataFrame, goal: DataFrame, most: int = 4) -> DataFrame:
-    """(label, key, hops): goal nodes within `most` undirected edges of any start node, with the least number of them."""
+    """(label, key, hops): goal nodes within `most` undirected edges of any start node, with the least number of them.
+
+    Edges may stand more than once. They are read where they lie, each hop only those at a label that it starts from; the last
+    hop only those that end at a label of the goal. What is written is the nodes that a hop reached first.
+    """
     both = edges.select(F.col("src_label").alias("al"), F.col("src").alias("a"), F.col("dst_label").alias("bl"), F.col("dst").alias("b"))
     both = both.unionByName(both.select(F.col("bl").alias("al"), F.col("b").alias("a"), F.col("al").alias("bl"), F.col("a").alias("b")))
-    both = kept(both)
-    seen = start.select("label", "key").distinct().withColumn("hops", F.lit(0))
+    goal = kept(goal.select("label", "key").distinct())
+    labels = lambda df: [r["label"] for r in df.select("label").distinct().collect()]  # noqa: E731 a row a label
+    wanted = labels(goal)
+    seen = kept(start.select("label", "key").distinct().withColumn("hops", F.lit(0)))
     front = seen
     for hop in range(1, most + 1):
-        step = front.select(F.col("label").alias("al"), F.col("key").alias("a")).join(both, ["al", "a"]).select(F.col("bl").alias("label"), F.col("b").alias("key")).distinct()
+        near = both.filter(F.col("al").isin(labels(front)))
+        near = near.filter(F.col("bl").isin(wanted)) if hop == most else near
+        step = front.select(F.col("label").alias("al"), F.col("key").alias("a")).join(near, ["al", "a"]).select(F.col("bl").alias("label"), F.col("b").alias("key")).distinct()
         front = kept(step.join(seen, ["label", "key"], "left_anti").withColumn("hops", F.lit(hop)))
         seen = seen.unionByName(front)
-    return seen.join(goal.select("label", "key").distinct(), ["label", "key"]).groupBy("label", "key").agg(F.min("hops").alias("hops"))
+    return seen.join(goal, ["label", "key"]).groupBy("label", "key").agg(F.min("hops").alias("hops"))
