@@ -118,3 +118,29 @@ def test_hops_write_only_nodes(spark, monkeypatch):
     hops = graph.shortest_hops(edges.unionByName(edges), nodes.filter("doc_id = 'law1'"), nodes.filter("label = 'Case'")).collect()
     assert {r["key"]: r["hops"] for r in hops} == {"Vụ một": 2, "Vụ hai": 4}
     assert len(written) == 6 and all(set(c) <= {"label", "key", "hops"} for c in written)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_edges_at_seeds_are_chosen_before_they_are_merged(spark):
+    end = lambda x: F.col("id") % x
+    rows = spark.range(50).select(*graph.edge("A", end(7), "R", "B", end(5), ord=F.col("id")))
+    found = spark.createDataFrame([("q", "A", "3"), ("q", "B", "4"), ("r", "B", "9")], "question_id string, label string, key string")
+    got = graph.touching(graph.merge_edges(rows), F.broadcast(found))
+    assert sorted((r["src"], r["dst"]) for r in got.collect()) == sorted({(str(i % 7), str(i % 5)) for i in range(50) if i % 7 == 3 or i % 5 == 4})
+    semi = graph.at_ends(graph.merge_edges(rows), F.broadcast(found.select(F.col("label").alias("src_label"), F.col("key").alias("src"))), ["src_label", "src"])
+    plan = plan_of(semi)
+    assert "Aggregate" in plan.split("LeftSemi")[0] and "max(struct" not in plan.split("LeftSemi")[1]
+    assert plan_of(got).count("LeftSemi") == 2
+
+
+def test_context_finds_seeds_once(spark, monkeypatch):
+    from tidegraph.operators import context as C
+
+    nodes, edges = built(spark)
+    kept, keep = [], C.kept
+    monkeypatch.setattr(C, "kept", lambda df: kept.append(df.columns) or keep(df))
+    assert context(nodes, edges, ask(spark, ("q", "Lan làm gì?", []))).head()["facts"]
+    assert ["question_id", "label", "key"] in kept and ["question_id", *graph.EDGE] in kept

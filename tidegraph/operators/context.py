@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.tables import kept
 from . import graph as G
 
 _TEXTS = "array<string>"
@@ -22,14 +23,15 @@ def context(nodes: DataFrame, edges: DataFrame, questions: DataFrame, max_facts:
     low = F.lower("question")
     q = questions.withColumn("all", X.asks_all_penalties("question")).withColumn("terms", X.find_terms("question")).withColumn("amounts", X.quantities("question"))
     q = q.withColumn("articles", X.article_refs("question")).withColumn("prevention", X.asks_prevention_law("question"))
-    found = G.seeds(nodes, questions.select("question_id", "question", "doc_ids"))
+    # seeds and their edges are asked for again and again: they are found once
+    found = kept(G.seeds(nodes, questions.select("question_id", "question", "doc_ids")))
+    beside = kept(G.touching(edges, found))
     view = lambda label: nodes.filter(F.col("label") == label)
     rel = lambda name: edges.filter(F.col("rel") == name)
 
     # cases: seeds, beside a seed, or of an amount asked for; if the question names people, theirs only
     is_case = found.filter("label = 'Case'").select("question_id", F.col("key").alias("case"))
-    near = G.touching(edges, found)
-    near = near.select("question_id", F.explode(F.array(F.struct(F.col("src_label").alias("l"), F.col("src").alias("k")), F.struct(F.col("dst_label").alias("l"), F.col("dst").alias("k")))).alias("x"))
+    near = beside.select("question_id", F.explode(F.array(F.struct(F.col("src_label").alias("l"), F.col("src").alias("k")), F.struct(F.col("dst_label").alias("l"), F.col("dst").alias("k")))).alias("x"))
     # an edge at a seed leads to its other end; a case at either end is a seed itself or beside one
     near = near.filter("x.l = 'Case'").select("question_id", F.col("x.k").alias("case"))
     joined = F.replace(F.lower(F.concat("name", F.lit(" "), F.coalesce(F.element_at("props", "summary"), F.lit("")))), F.lit(" "), F.lit(""))
@@ -82,8 +84,9 @@ def context(nodes: DataFrame, edges: DataFrame, questions: DataFrame, max_facts:
     clause_facts = clauses.select("question_id", "g", F.struct(F.col("article").alias("a"), F.lit("").alias("b"), "number", F.array_join("terms", ",").alias("c")).alias("o"), X.clause_fact(F.col("article"), F.col("title"), F.col("number"), body).alias("fact"))
 
     # edges at the seeds, no clauses among them
-    shown = nodes.select("label", "key", F.coalesce("name", "key").alias("shown"))
-    lines = G.touching(edges, found, ("Clause",))
+    lines = beside.filter("src_label != 'Clause' and dst_label != 'Clause'")
+    ends = lines.select(F.col("src_label").alias("label"), F.col("src").alias("key")).unionByName(lines.select(F.col("dst_label").alias("label"), F.col("dst").alias("key")))
+    shown = G.at_ends(nodes, kept(ends.distinct()), ["label", "key"]).select("label", "key", F.coalesce("name", "key").alias("shown"))
     lines = lines.join(shown.select(F.col("label").alias("src_label"), F.col("key").alias("src"), F.col("shown").alias("from")), ["src_label", "src"])
     lines = lines.join(shown.select(F.col("label").alias("dst_label"), F.col("key").alias("dst"), F.col("shown").alias("to")), ["dst_label", "dst"])
     line = X.edge_fact(F.col("src_label"), F.col("from"), F.col("rel"), F.col("props"), F.col("dst_label"), F.col("to"))

@@ -147,9 +147,16 @@ def seeds(nodes: DataFrame, questions: DataFrame, least: int = 3) -> DataFrame:
 def touching(edges: DataFrame, found: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
     """(question_id, edge): edges that begin or end at a seed, each once for a question."""
     kept = edges.filter(~F.col("src_label").isin(*skip) & ~F.col("dst_label").isin(*skip)) if skip else edges
-    out = found.select("question_id", F.col("label").alias("src_label"), F.col("key").alias("src")).join(kept, ["src_label", "src"])
-    back = found.select("question_id", F.col("label").alias("dst_label"), F.col("key").alias("dst")).join(kept, ["dst_label", "dst"])
-    return out.unionByName(back).dropDuplicates(["question_id", "src_label", "src", "rel", "dst_label", "dst"])
+    sides = []
+    for ends in (["src_label", "src"], ["dst_label", "dst"]):
+        at = found.select("question_id", F.col("label").alias(ends[0]), F.col("key").alias(ends[1]))
+        sides.append(at.join(at_ends(kept, at, ends), ends).select("question_id", *EDGE))
+    return sides[0].unionByName(sides[1]).dropDuplicates(["question_id", "src_label", "src", "rel", "dst_label", "dst"])
+
+
+def at_ends(rows: DataFrame, some: DataFrame, ends: Sequence[str]) -> DataFrame:
+    """Rows whose `ends` are among those of some. Few of these go below the merge that made the rows, which then merges only what is asked for."""
+    return rows.join(some.select(*ends).distinct(), list(ends), "left_semi")
 
 
 def first_edges(found: DataFrame, limit: int = 60) -> DataFrame:
