@@ -144,3 +144,10 @@ def test_context_finds_seeds_once(spark, monkeypatch):
     monkeypatch.setattr(C, "kept", lambda df: kept.append(df.columns) or keep(df))
     assert context(nodes, edges, ask(spark, ("q", "Lan làm gì?", []))).head()["facts"]
     assert ["question_id", "label", "key"] in kept and ["question_id", *graph.EDGE] in kept
+
+
+def test_seeds_make_lower_case_before_pairs(spark):
+    nodes = spark.createDataFrame([("P", "1", "LAN", "d", None), ("P", "2", "no", None, ["x", "HUẾ"]), ("P", "3", "ab", None, None), ("P", "4", None, "e", None)], "label string, key string, name string, doc_id string, aliases array<string>")
+    found = graph.seeds(nodes, ask(spark, ("q", "Lan, ab và Huế?", ["e"]), ("r", "ai?", None)))
+    assert sorted(map(tuple, found.collect())) == [("q", "P", "1"), ("q", "P", "2"), ("q", "P", "4")]
+    assert all("lower(" not in line for line in plan_of(found).split("\n") if "Join" in line)

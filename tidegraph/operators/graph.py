@@ -138,10 +138,13 @@ def seeds(nodes: DataFrame, questions: DataFrame, least: int = 3) -> DataFrame:
 
     questions (question_id, question, doc_ids) are a stated set; each meets all nodes once.
     """
-    inside = lambda x: (F.length(x) >= least) & F.contains(F.lower("question"), F.lower(x))
-    by_doc = F.array_contains("doc_ids", F.col("doc_id"))
-    hit = F.coalesce(by_doc, F.lit(False)) | F.coalesce(inside(F.col("name")), F.lit(False)) | F.coalesce(F.exists(F.coalesce("aliases", F.array().cast("array<string>")), inside), F.lit(False))
-    return nodes.crossJoin(F.broadcast(questions)).filter(hit).select("question_id", "label", "key")
+    # lower case is made once a name and once a question, not once a pair
+    long = lambda x: F.length(x) >= least
+    asked = questions.select("question_id", F.lower("question").alias("_asked"), "doc_ids")
+    named = nodes.select("label", "key", "doc_id", F.when(long(F.col("name")), F.lower("name")).alias("_name"), F.transform(F.filter("aliases", long), F.lower).alias("_aliases"))
+    inside = lambda x: F.contains("_asked", x)
+    hit = F.coalesce(F.array_contains("doc_ids", F.col("doc_id")), F.lit(False)) | F.coalesce(inside(F.col("_name")), F.lit(False)) | F.coalesce(F.exists("_aliases", inside), F.lit(False))
+    return named.crossJoin(F.broadcast(asked)).filter(hit).select("question_id", "label", "key")
 
 
 def touching(edges: DataFrame, found: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
