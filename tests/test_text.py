@@ -76,3 +76,21 @@ def test_budget_skips_what_does_not_fit(spark):
 def test_recall(spark):
     df = spark.createDataFrame([("Mức PHẠT tù", ["phạt", "x"]), ("a", [])], "a string, k array<string>")
     assert [r[0] for r in df.select(X.keyword_recall("a", "k")).collect()] == [0.5, None]
+
+
+def test_link_compares_distinct_mentions_once_and_like_difflib(spark, tmp_path):
+    """However often a mention stands, it is compared once; what is left out by its characters could not have won."""
+    import difflib
+    import random
+
+    from tidegraph.operators import linking
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcé# 1ầ漢") for _ in range(r.randint(1, 9))).strip() or "a"
+    names, said = sorted({word() for _ in range(120)}), [word() for _ in range(60)]
+    known = spark.createDataFrame(list(enumerate(names)), "ord long, name string")
+    rows = spark.createDataFrame([(m,) for m in said * 3], "mention string")
+    got = {x["mention"]: x["linked"] for x in link(rows, known, normalize=lambda x: x).collect()}
+    assert got == {m: m if m in names else next(iter(difflib.get_close_matches(m, names, n=1, cutoff=linking.CUTOFF)), None) for m in said}
+    plan = link(rows, known, normalize=lambda x: x)._jdf.queryExecution().optimizedPlan().toString().split("ArrowEvalPython")
+    assert len(plan) == 2 and "Aggregate" in plan[1]

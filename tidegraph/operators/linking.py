@@ -32,6 +32,7 @@ def link(mentions: DataFrame, known: DataFrame, mention: str = "mention", name:
     if not fuzzy:
         return exact.withColumn("linked", F.when(F.col("_form") != "", F.col("_exact"))).drop("_form", "_exact")
     open_forms = exact.filter("_exact is null and _form is not null and _form != ''").select("_form").distinct()
+    open_forms = open_forms.repartition(TASKS, "_form")  # few and short, but each takes long
     slices, near = -(-forms.count() // SLICE), None
     for k in range(slices):  # so many names at a time are compared with all open forms
         some = [r["form"] for r in forms.filter(F.pmod(F.xxhash64("form"), F.lit(slices)) == k).select("form").collect()]
@@ -44,8 +45,8 @@ def link(mentions: DataFrame, known: DataFrame, mention: str = "mention", name:
     return out.withColumn("linked", F.when(F.col("_form") != "", F.coalesce("_exact", "_near"))).drop("_form", "_exact", "_near")
 
 
-#: Names that go to the workers at a time.
-SLICE = 20_000
+#: Names that go to the workers at a time, and tasks that compare.
+SLICE, TASKS = 20_000, 64
 
 
 def _closest(names: list[str]):
@@ -56,13 +57,31 @@ def _closest(names: list[str]):
     def of(forms: pd.Series) -> pd.DataFrame:
         import difflib
 
+        import numpy as np
+
+        def counts(text: str):
+            return np.bincount(np.array([ord(c) % 64 for c in text], np.int64), minlength=64).astype(np.int32)
+
+        all_counts, lengths = np.array([counts(n) for n in names]), np.array([len(n) for n in names])
         rows = []
         for form in forms:
-            best = next(iter(difflib.get_close_matches(form, names, n=1, cutoff=cutoff)), None)
-            rows.append((None, None) if best is None else (difflib.SequenceMatcher(None, best, form).ratio(), best))
+            # characters in common bound the ratio from above; the most promising names come first, and what can't reach the best is left out
+            bound = 2.0 * np.minimum(all_counts, counts(form)).sum(axis=1) / (lengths + len(form))
+            may = np.flatnonzero(bound >= cutoff)
+            best, match = (None, None), difflib.SequenceMatcher()
+            match.set_seq2(form)
+            for i in may[np.argsort(-bound[may], kind="stable")]:
+                if best[0] is not None and bound[i] < best[0]:
+                    break
+                match.set_seq1(names[i])
+                ratio = match.ratio()
+                if ratio >= cutoff and (best[0] is None or (ratio, names[i]) > best):
+                    best = ratio, names[i]
+            rows.append(best)
         return pd.DataFrame(rows, columns=["ratio", "form"])
 
-    return of
+    # else a filter on what it gives goes below the distinct, and every mention is compared
+    return of.asNondeterministic()
 
 
 def link_entity(name: str, known: list[str], spark, fuzzy: bool = True) -> str | None:
