@@ -85,3 +85,18 @@ def test_chunk_docs(spark):
     df = spark.createDataFrame([("d", "x" * 30, {"doc_id": "other", "k": "v"}), ("e", "", None)], "id string, content string, metadata map<string,string>")
     rows = chunk_docs(df, 20).orderBy("chunk_idx").collect()
     assert [(r["id"], r["metadata"]) for r in rows] == [("d#0", {"doc_id": "d", "k": "v"}), ("d#1", {"doc_id": "d", "k": "v"})]
+
+
+def test_compare_query_has_every_strategy(spark, tmp_path):
+    """The query and its SQL, over texts that every separator cuts."""
+    duckdb = pytest.importorskip("duckdb")
+    from tidegraph.plans import registry
+
+    texts = [t for t in TEXTS if t] + ["p. " * 90 + "\n\n" + "w" * 450 + " tail. " + "line of words\n" * 40, " \u2003" * 150, "y" * 401, "a b" * 300 + "\n\n\n" + "c. d" * 99, "  \n\n  " * 60]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["strategy"]): (r["n_chunks"], r["avg_length"]) for r in registry.chunk_compare(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = {(i, s): (n, x) for i, s, n, x in con.execute(registry.ORACLE_SQL["chunk_compare"]).fetchall()}
+    assert len(got) == 3 * len(texts)
+    assert {k: v for k, v in got.items() if k[1] != "by_sentences"} == {k: v for k, v in want.items() if k[1] != "by_sentences"}
