@@ -94,3 +94,16 @@ def test_link_compares_distinct_mentions_once_and_like_difflib(spark, tmp_path):
     assert got == {m: m if m in names else next(iter(difflib.get_close_matches(m, names, n=1, cutoff=linking.CUTOFF)), None) for m in said}
     plan = link(rows, known, normalize=lambda x: x)._jdf.queryExecution().optimizedPlan().toString().split("ArrowEvalPython")
     assert len(plan) == 2 and "Aggregate" in plan[1]
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_link_cases_by_one_map_or_by_maps_of_their_own(spark, few, monkeypatch):
+    from tidegraph.operators import linking
+
+    monkeypatch.setattr(linking, "FEW", few)
+    answers = ['{"cases": [{"charges": ["Tội B", "b", "A", "zzz"], "people": [{"name": "p", "charge": "TỘI A"}, {"name": "q"}]}, {"name": "n"}]}', '{"cases": [{"charges": ["zzz"]}]}', "{oops", None]
+    docs = parse_cases(spark.createDataFrame([(str(i), a) for i, a in enumerate(answers)], "id string, answer string")).drop("answer")
+    out = linking.link_cases(docs, spark.createDataFrame([(1, "a"), (2, "b")], "ord long, name string"), fuzzy=False)
+    got = {r["id"]: [(c["charges"], [p["charge"] for p in c["people"] or []]) for c in r["cases"]] for r in out.collect()}
+    assert got == {"0": [(["a", "b"], ["a", ""]), ([], [])], "1": [([], [])], "2": [], "3": []}
+    assert ("Join" in out._jdf.queryExecution().optimizedPlan().toString()) == (few == 0)

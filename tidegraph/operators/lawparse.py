@@ -31,11 +31,11 @@ def parse_articles(docs: DataFrame) -> DataFrame:
 
 def parse_cases(raw: DataFrame, answer: str = "answer") -> DataFrame:
     """raw and `cases`: what the model's JSON names; broken JSON or anything but an object gives none."""
-    text = X.strip_fences(F.col(answer))
-    parsed = F.from_json(text, CASE_SCHEMA, {"mode": "PERMISSIVE"})
-    is_object = F.rlike(text, F.lit(r"(?s)\A\s*\{"))
+    parsed = F.from_json("_text", CASE_SCHEMA, {"mode": "PERMISSIVE"})
+    is_object = F.rlike("_text", F.lit(r"(?s)\A\s*\{"))
     empty = F.from_json(F.lit('{"cases": []}'), CASE_SCHEMA)["cases"]
-    return raw.withColumn("cases", F.coalesce(F.when(is_object, parsed["cases"]), empty))
+    # a column of its own, for it is asked for twice
+    return raw.withColumn("_text", X.strip_fences(answer)).withColumn("cases", F.coalesce(F.when(is_object, parsed["cases"]), empty)).drop("_text")
 
 
 # The wording of the prompt. Names in braces are slots.

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions.shipping import ship
 from ..functions.text import normalize_name
+from ..plans.tables import kept
 
 ship(__name__)
 
@@ -101,19 +102,28 @@ def case_charges(cases: DataFrame, known: DataFrame, case: str = "case_id", char
 def link_cases(docs: DataFrame, known: DataFrame, fuzzy: bool = True) -> DataFrame:
     """docs (id, cases): of each case the charges become sorted distinct names, unknown ones go; each person's charge becomes its name or empty.
 
-    Every different mention is linked once; what a document's mentions link to comes back to it as one map.
+    Every different mention is linked once; if these are few they are one map for all documents, else what a document's mentions link
+    to comes back to it as a map of its own.
     """
     none = F.array().cast("array<string>")
     of_people = lambda c: F.transform(F.coalesce(c["people"], F.array()), lambda p: F.coalesce(p["charge"], F.lit("")))
     named = F.flatten(F.transform("cases", lambda c: F.concat(F.coalesce(c["charges"], none), of_people(c))))
-    each = docs.select(F.col("id").alias("_id"), F.explode(F.array_distinct(named)).alias("mention")).filter("mention is not null and mention != ''").distinct()
-    linked = link(each.select("mention").distinct(), known, fuzzy=fuzzy).filter("linked is not null")
-    found = each.join(linked, "mention").groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("mention", "linked"))).alias("_map"))
+    each = docs.select(F.col("id").alias("_id"), F.explode(F.array_distinct(named)).alias("mention")).filter("mention is not null and mention != ''")
+    linked = kept(link(each.select("mention").distinct(), known, fuzzy=fuzzy).filter("linked is not null").select("mention", "linked"))
+    some = linked.limit(FEW + 1).collect()
+    if len(some) <= FEW:  # one map serves all documents, which then stay where they lie
+        found = docs.withColumn("_map", F.create_map(*[F.lit(x) for r in some for x in (r["mention"], r["linked"])]).cast("map<string,string>"))
+    else:
+        maps = each.distinct().join(linked, "mention").groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("mention", "linked"))).alias("_map"))
+        found = docs.join(maps, docs["id"] == maps["_id"], "left").drop("_id")
     name = lambda m: F.element_at(F.coalesce("_map", F.create_map().cast("map<string,string>")), m)
     charges = lambda c: F.sort_array(F.array_distinct(F.filter(F.transform(F.coalesce(c["charges"], none), name), lambda x: x.isNotNull())))
     people = lambda c: F.transform(c["people"], lambda p: p.withField("charge", F.coalesce(name(p["charge"]), F.lit(""))))
-    out = docs.join(found, docs["id"] == found["_id"], "left").withColumn("cases", F.transform("cases", lambda c: c.withField("charges", charges(c)).withField("people", people(c))))
-    return out.drop("_id", "_map")
+    return found.withColumn("cases", F.transform("cases", lambda c: c.withField("charges", charges(c)).withField("people", people(c)))).drop("_map")
+
+
+#: So many different mentions that link to a name go with every document as one map.
+FEW = 100
 
 
 def ordered_distinct(df: DataFrame, by: str, value: str, order: str) -> DataFrame:
